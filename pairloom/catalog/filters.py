@@ -24,16 +24,15 @@ def flt_both_classes(spark, sf):
 
 @reg(
     "flt_modal_length",
-    sql("docs", """WITH e AS (SELECT doc_id, source, length(rna)//100 AS bin, substr(rna,1,0) AS z, rna, CASE WHEN doc_id % 5 < 3 THEN 'train' ELSE 'test' END AS split FROM docs),
- s AS (SELECT source, split, unnest(string_split(regexp_replace(lower(text),'[^a-z ]','','g'),' ')) AS word FROM (SELECT d.source, CASE WHEN doc_id % 5 < 3 THEN 'train' ELSE 'test' END AS split, text FROM documents d)),
+    """WITH s AS (SELECT source, split, unnest(string_split(regexp_replace(lower(text),'[^a-z ]','','g'),' ')) AS word FROM (SELECT d.source, CASE WHEN doc_id // 20 % 5 < 3 THEN 'train' ELSE 'test' END AS split, text FROM documents d)),
  c AS (SELECT source, length(word) AS l, count(*) AS n FROM s WHERE split='train' AND word<>'' GROUP BY ALL),
  m AS (SELECT source, l FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, l)=1)
- SELECT s.source, split, l AS modal_length, count(*) AS n FROM s JOIN m ON m.source=s.source AND length(word)=l GROUP BY ALL"""),
+ SELECT s.source, split, l AS modal_length, count(*) AS n FROM s JOIN m ON m.source=s.source AND length(word)=l GROUP BY ALL""",
 )
 def flt_modal_length(spark, sf):
     w = views.table(spark, sf, "documents").select(
         "source",
-        F.when(F.col("doc_id") % 5 < 3, "train").otherwise("test").alias("split"),
+        F.when(F.floor(F.col("doc_id") / 20) % 5 < 3, "train").otherwise("test").alias("split"),
         F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")).alias("word"),
     ).where(F.col("word") != "")
     kept = fl.modal_length(w, "source", seq="word", split="split")

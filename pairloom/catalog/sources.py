@@ -175,7 +175,7 @@ def src_motif_tables(spark, sf):
 @reg(
     "src_matrix_unpivot",
     """WITH w AS (SELECT l_partkey, sum(l_quantity) FILTER (l_returnflag='A') AS "A", sum(l_quantity) FILTER (l_returnflag='N') AS "N", sum(l_quantity) FILTER (l_returnflag='R') AS "R" FROM lineitem GROUP BY 1),
- u AS (UNPIVOT INCLUDE NULLS w ON "A","N","R" INTO NAME experiment_id VALUE z)
+ u AS (SELECT * FROM w UNPIVOT INCLUDE NULLS (z FOR experiment_id IN ("A","N","R")))
  SELECT l_partkey, experiment_id, round((z-avg(z) OVER (PARTITION BY experiment_id))/stddev_samp(z) OVER (PARTITION BY experiment_id),9)+0.0::DOUBLE AS z FROM u""",
 )
 def src_matrix_unpivot(spark, sf):
