@@ -160,7 +160,8 @@ def vector_products(q: DataFrame, t: DataFrame, key: str, vec: str, reduce_block
     nq, nt = sizes or (q.count(), t.count())
     bq, bt = max(1, -(-nq // BLOCK)), max(1, -(-nt // BLOCK))
     left = _blocks(q.select(key, vec), key, bq).withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1))))
-    right = _blocks(t.select(key, vec), key, bt).withColumnRenamed("_blk", "_tb").withColumn(
+    t = t.select(F.col(key).alias("_tk"), F.col(vec).alias("_tv"))
+    right = _blocks(t, "_tk", bt).withColumnRenamed("_blk", "_tb").withColumn(
         "_blk", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))
     )
 
@@ -172,7 +173,7 @@ def vector_products(q: DataFrame, t: DataFrame, key: str, vec: str, reduce_block
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return reduce_block(a[key].to_numpy(), unit(a[vec].to_list()), b[key].to_numpy(), unit(b[vec].to_list()))
+        return reduce_block(a[key].to_numpy(), unit(a[vec].to_list()), b["_tk"].to_numpy(), unit(b["_tv"].to_list()))
 
     return left.groupBy("_blk", "_tb").cogroup(right.groupBy("_blk", "_tb")).applyInPandas(run, schema)
 

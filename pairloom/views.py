@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Split a scan of too few files over all cores; a scan with enough splits is left alone."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
+
+
 def to_rna(c):
     return F.translate(F.regexp_replace(F.lower(c), "[^a-z]", ""), LETTERS, TO_RNA)
 
@@ -25,7 +31,7 @@ def to_protein(c):
 
 def docs(spark, sf) -> DataFrame:
     """Whole documents as RNA and as protein letters."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", "source", "lang", "n_chars", to_rna(F.col("text")).alias("rna"), to_protein(F.col("text")).alias("prot")
     )
 
