@@ -172,7 +172,7 @@ def vector_products(q: DataFrame, t: DataFrame, key: str, vec: str, reduce_block
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         return reduce_block(a[key].to_numpy(), unit(a[vec].to_list()), b["_tk"].to_numpy(), unit(b["_tv"].to_list()))
 
     return left.groupBy("_blk", "_tb").cogroup(right.groupBy("_blk", "_tb")).applyInPandas(run, schema)

@@ -151,7 +151,7 @@ def fit_groups(train, group, key, seq="rna_sequence", label=LABEL, k=3, l2s=(1.0
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf[label].to_numpy(float)
         if y.min() == y.max():
-            return pd.DataFrame({group: [], "model": [], "n": [], "weights": []})
+            return pd.DataFrame(columns=[group, "model", "n", "weights"])
         x = word_matrix(pdf[seq].tolist(), k)
         rows = [(pdf[group].iloc[0], f"l2={c:g}", len(pdf), logistic_fit(x, y, c)) for c in l2s]
         return pd.DataFrame(rows, columns=[group, "model", "n", "weights"])

@@ -11,8 +11,6 @@ A group that holds a third of the table is spread over many tasks in all three.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.plans.lineage import cut_lineage
@@ -33,12 +31,17 @@ def seed_long(seed, *cols) -> Column:
     return F.conv(F.substring(hash_order(seed, *cols), 1, 8), 16, 10).cast("long")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
+def keyed(df: DataFrame, keys, key="__k") -> DataFrame:
+    """Add the keys as one struct: structs compare null equal to null, and a join and a
+    window on the same struct share one shuffle."""
+    return df.withColumn(key, F.struct(*_names(keys)))
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys, how="inner", keep_key=False) -> DataFrame:
     """Equi-join on ``keys`` where null equals null; keeps the left key columns."""
     keys = _names(keys)
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+    out = keyed(left, keys).join(keyed(right, keys).drop(*keys), "__k", how)
+    return out if keep_key else out.drop("__k")
 
 
 def hash_rank(df: DataFrame, group, keys, seed, rank="rk", size=None) -> DataFrame:
@@ -62,12 +65,12 @@ def hash_rank(df: DataFrame, group, keys, seed, rank="rk", size=None) -> DataFra
         ).alias("__off"),
         F.sum("__c").over(per_group).alias("__n"),
     )
-    joined = null_safe(sliced, offsets, [*group, "__slice"])
-    local = Window.partitionBy(*group, "__slice").orderBy("__h", *keys)
+    joined = null_safe(sliced, offsets, [*group, "__slice"], keep_key=True)
+    local = Window.partitionBy("__k").orderBy("__h", *keys)
     out = joined.withColumn(rank, F.row_number().over(local) + F.col("__off"))
     if size:
         out = out.withColumn(size, F.col("__n"))
-    return out.drop("__h", "__slice", "__off", "__n")
+    return out.drop("__h", "__slice", "__off", "__n", "__k")
 
 
 def ordered_prefix(
@@ -93,11 +96,11 @@ def ordered_prefix(
     if totals:
         cols += [F.sum(f"_s_{o}").over(whole).alias(f"{o}_total") for o in sums]
     offsets = per.select(*group, "_chunk", *cols)
-    joined = null_safe(chunked, offsets, [*group, "_chunk"])
-    local = Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = null_safe(chunked, offsets, [*group, "_chunk"], keep_key=True)
+    local = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     added = {o: F.coalesce(F.sum(c).over(local), F.lit(0)) + F.col(f"_o_{o}") for o, c in sums.items()}
     added |= {o: F.greatest(F.max(c).over(local), F.col(f"_o_{o}")) for o, c in maxes.items()}
-    return joined.withColumns(added).drop("_chunk", *[f"_o_{o}" for o in [*sums, *maxes]])
+    return joined.withColumns(added).drop("_chunk", "__k", *[f"_o_{o}" for o in [*sums, *maxes]])
 
 
 def quantiles(df: DataFrame, group, value, probs: dict, weight: str | None = None) -> DataFrame:
