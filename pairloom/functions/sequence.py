@@ -98,7 +98,8 @@ def au_fraction(c) -> Column:
 
 
 def chars(c) -> Column:
-    return F.regexp_extract_all(_c(c), F.lit("(?s)(.)"), F.lit(1))
+    """Letters as an array; empty for the empty text."""
+    return F.when(_c(c) == "", F.array().cast("array<string>")).otherwise(F.split(_c(c), ""))
 
 
 def kmers(c, k: int, alphabet: str | None = None, distinct: bool = False) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions import names as nm, parsing as ps
 from pairloom.functions.sequence import kmer_cores, kmers, normalize_rna, sanitize_protein
-from pairloom.plans import hash_rank, top_per_group
+from pairloom.plans import cut_lineage, hash_rank, top_per_group
 
 # fixed values: transcript type order
 GENE_TYPES = ["protein_coding", "mRNA", "lncRNA", "transcribed_pseudogene", "ncRNA", "miRNA", "snRNA", "snoRNA"]
@@ -115,12 +115,15 @@ def pair_similarity(df: DataFrame, seq: str, k=3, min_sim=0.5) -> DataFrame:
     long posting lists are cut in slices.  Nothing is capped.
     """
     s = df.select(F.col(seq).alias("seq")).distinct().withColumn("words", kmers("seq", k, distinct=True))
-    s = s.where(F.size("words") > 0).withColumn("sid", F.sha2("seq", 256))
-    long = s.select("sid", F.size("words").alias("n"), F.explode("words").alias("w"))
+    s = s.where(F.size("words") > 0).withColumn("sid", F.unhex(F.md5("seq")))
+    # words travel as 64-bit hashes: a clash only adds a candidate, which the check below removes
+    long = s.select("sid", F.size("words").alias("n"), F.explode("words").alias("word")).withColumn("w", F.xxhash64("word")).drop("word")
     freq = long.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # a word of a single sequence can never meet another one; it only takes its place in the prefix
     ranked = long.join(freq, "w").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
     keep = (F.col("n") - F.ceil(F.col("n") * F.lit(min_sim) - 1e-9) + 1).cast("int")
-    index = ranked.select("sid", "n", F.explode(F.slice("ws", F.lit(1), keep)).alias("x")).select("sid", "n", "x.w", "x.df")
+    index = ranked.select("sid", "n", F.explode(F.slice("ws", F.lit(1), keep)).alias("x")).select("sid", "n", "x.w", "x.df").where("df > 1")
+    index = cut_lineage(index)
     slices = F.ceil(F.col("df") / POSTING).cast("int")
     left = index.select(
         F.col("sid").alias("a"), F.col("n").alias("na"), "w", F.pmod(F.xxhash64("sid"), slices.cast("long")).cast("int").alias("part")
@@ -128,20 +131,22 @@ def pair_similarity(df: DataFrame, seq: str, k=3, min_sim=0.5) -> DataFrame:
     right = index.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "w", F.explode(F.sequence(F.lit(0), slices - 1)).alias("part"))
     small, big = F.least("na", "nb"), F.greatest("na", "nb")
     cand = left.join(right, ["w", "part"]).where((F.col("a") < F.col("b")) & (small >= big * min_sim - 1e-9)).select("a", "b").distinct()
-    sets = s.select("sid", "seq", "words")
-    j = (
-        cand.join(sets.select(F.col("sid").alias("a"), F.col("seq").alias("seq_a"), F.col("words").alias("wa")), "a")
-        .join(sets.select(F.col("sid").alias("b"), F.col("seq").alias("seq_b"), F.col("words").alias("wb")), "b")
-    )
-    inter = F.size(F.array_intersect("wa", "wb"))
-    j = j.withColumn("inter", inter)
+    text = s.select("sid", "seq")
+    j = cand.join(text.select(F.col("sid").alias("a"), F.col("seq").alias("seq_a")), "a")
+    j = j.join(text.select(F.col("sid").alias("b"), F.col("seq").alias("seq_b")), "b")
+    # sequences are narrower than their word sets: cut the words again after the join
+    j = j.withColumns({"wa": kmers("seq_a", k, distinct=True), "wb": kmers("seq_b", k, distinct=True)})
+    j = j.withColumn("inter", F.size(F.array_intersect("wa", "wb")))
     na, nb = F.size("wa"), F.size("wb")
-    out = j.select(
-        "a", "b", "seq_a", "seq_b",
-        (F.col("inter") / (na + nb - F.col("inter"))).alias("jaccard"),
-        (F.col("inter") / F.least(na, nb)).alias("containment"),
+    j = j.withColumn("jaccard", F.col("inter") / (na + nb - F.col("inter"))).where(F.col("jaccard") >= min_sim)
+    ha, hb = F.sha2("seq_a", 256), F.sha2("seq_b", 256)
+    first = ha < hb
+    return j.select(
+        F.least(ha, hb).alias("a"), F.greatest(ha, hb).alias("b"),
+        F.when(first, F.col("seq_a")).otherwise(F.col("seq_b")).alias("seq_a"),
+        F.when(first, F.col("seq_b")).otherwise(F.col("seq_a")).alias("seq_b"),
+        "jaccard", (F.col("inter") / F.least(na, nb)).alias("containment"),
     )
-    return out.where(F.col("jaccard") >= min_sim)
 
 
 BLOCK = 2048

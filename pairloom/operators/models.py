@@ -325,6 +325,7 @@ def fit_scores(train, test, model, label=LABEL) -> DataFrame:
 
 def train_baselines(df, label=LABEL, split="split", seed=42) -> DataFrame:
     """LR, random forest and boosted trees on ``features``; validation metrics, best first."""
+    df = cut_lineage(df.select(label, split, "features"))
     train, val = df.where(F.col(split) == "train"), df.where(F.col(split) == "val")
     cols = dict(featuresCol="features", labelCol="label")
     kinds = {
