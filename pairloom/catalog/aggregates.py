@@ -182,7 +182,7 @@ def agg_pair_counts(spark, sf):
     return ag.pair_counts(views.reads(spark, sf)).orderBy(F.desc("n_reads"), "gene1", "gene2")
 
 
-RANKING = """WITH m AS (SELECT protein_name, experiment_id, avg(probe_intensity) AS a FROM pairs_seq WHERE binding_label=1 GROUP BY ALL), b AS (SELECT protein_name, experiment_id AS best FROM m QUALIFY row_number() OVER (PARTITION BY protein_name ORDER BY a DESC, experiment_id DESC)=1),
+RANKING = """WITH m AS (SELECT protein_name, experiment_id, avg(probe_intensity) AS a FROM pairs_seq WHERE binding_label=1 GROUP BY ALL), b AS (SELECT protein_name, experiment_id AS best FROM m QUALIFY row_number() OVER (PARTITION BY protein_name ORDER BY round(a,9) DESC, experiment_id DESC)=1),
  g AS (SELECT p.protein_name, avg(probe_intensity) FILTER (binding_label=1) AS mean_intensity, sum(binding_label)::BIGINT AS n_pos, sum(1-binding_label)::BIGINT AS n_neg, max(length(protein_sequence)) AS protein_length FROM pairs_seq p LEFT JOIN b USING (protein_name) WHERE best IS NULL OR best=experiment_id GROUP BY 1),
  rk AS (SELECT *, row_number() OVER (ORDER BY mean_intensity DESC, protein_name) AS rank FROM g WHERE mean_intensity IS NOT NULL)"""
 

@@ -67,7 +67,7 @@ def zscores(spark, sf):
     sql("pairs", ZSQL + """, t AS (SELECT experiment_id, avg(z) AS mz FROM (SELECT * FROM z WHERE z>=2 QUALIFY row_number() OVER (PARTITION BY experiment_id ORDER BY z DESC, kmer)<=10) GROUP BY 1),
  e AS (SELECT DISTINCT protein_name, experiment_id FROM pairs), zz AS (SELECT e.*, mz AS a FROM e JOIN t USING (experiment_id)),
  m AS (SELECT protein_name, experiment_id, avg(probe_intensity) AS a FROM pairs WHERE binding_label=1 AND protein_name NOT IN (SELECT protein_name FROM zz) GROUP BY ALL),
- b AS (SELECT protein_name, experiment_id AS best FROM (SELECT * FROM zz UNION ALL SELECT * FROM m) QUALIFY row_number() OVER (PARTITION BY protein_name ORDER BY a DESC, experiment_id DESC)=1)
+ b AS (SELECT protein_name, experiment_id AS best FROM (SELECT * FROM zz UNION ALL SELECT * FROM m) QUALIFY row_number() OVER (PARTITION BY protein_name ORDER BY round(a,9) DESC, experiment_id DESC)=1)
  SELECT pair_id, experiment_id FROM pairs LEFT JOIN b USING (protein_name) WHERE best IS NULL OR best=experiment_id"""),
 )
 def flt_best_experiment_z(spark, sf):

@@ -16,7 +16,7 @@ VIEWS = {
      CASE WHEN (length(rna)-60) % 60 <> 0 THEN [length(rna)-60] ELSE [] END) END) AS off
      FROM docs d JOIN labels l USING (doc_id) WHERE length(rna) >= 4))""",
     "pairs_seq": "pairs_seq AS (SELECT p.*, q.protein_sequence FROM pairs p JOIN proteins q USING (protein_name))",
-    "scores": """scores AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS row_id,
+    "scores": """scores AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || floor(l_extendedprice*100+0.5::DOUBLE)::BIGINT AS row_id,
   'P' || l_suppkey AS protein_name, 'R' || l_partkey AS rna_id,
   CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS binding_label, l_quantity/50 AS score_a, l_discount AS score_b,
   l_extendedprice AS score_c, 'F' || (l_suppkey % 7) AS family, (l_suppkey % 10)/10.0::DOUBLE AS identity, l_linestatus AS source FROM lineitem)""",

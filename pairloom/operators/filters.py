@@ -31,8 +31,9 @@ def modal_length(df, group, seq="rna_sequence", split=None, ref="train") -> Data
 
 
 def _best(df, means: DataFrame, group, experiment) -> DataFrame:
+    # means are compared at nine digits: the order of a sum must not decide a tie
     best = means.groupBy(group).agg(
-        F.max_by(experiment, F.struct(F.col("_mean"), F.col(experiment))).alias("_best")
+        F.max_by(experiment, F.struct(F.round("_mean", 9), F.col(experiment))).alias("_best")
     )
     return df.join(best, group, "left").where(F.col("_best").isNull() | (F.col(experiment) == F.col("_best"))).drop("_best")
 

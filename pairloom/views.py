@@ -73,7 +73,8 @@ def scores(spark, sf) -> DataFrame:
     """Line items as scored rows: score_a and score_b tie a lot, score_c little."""
     return table(spark, sf, "lineitem").select(
         F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
-                    F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("row_id"),
+                    F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                    F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("string")).alias("row_id"),
         F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("protein_name"),
         F.concat(F.lit("R"), F.col("l_partkey").cast("string")).alias("rna_id"),
         (F.col("l_returnflag") == "R").cast("int").alias("binding_label"),
