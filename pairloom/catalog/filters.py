@@ -50,7 +50,7 @@ def flt_best_experiment(spark, sf):
 
 
 ZSQL = """WITH kc AS (SELECT experiment_id, kmer, count(*) AS n FROM (SELECT experiment_id, unnest([substr(rna_sequence,i,5) for i in range(1,length(rna_sequence)-3)]) AS kmer FROM pairs) GROUP BY ALL),
- z AS (SELECT experiment_id, kmer, (n-avg(n) OVER w)/stddev_samp(n) OVER w AS z FROM kc WINDOW w AS (PARTITION BY experiment_id))"""
+ z AS (SELECT experiment_id, kmer, (n-avg(n) OVER w)/nullif(stddev_samp(n) OVER w,0) AS z FROM kc WINDOW w AS (PARTITION BY experiment_id))"""
 
 
 def zscores(spark, sf):

@@ -231,7 +231,8 @@ def profiles(spark, sf, group="experiment_id", k=4):
 def met_topk_overlap(spark, sf):
     p = profiles(spark, sf, "protein_name").select("protein_name", "kmer", rd("profile").alias("score"))
     pooled = km.pooled_profile(views.pairs(spark, sf), "rna_sequence", 4).select("kmer", rd("profile").alias("score"))
-    prior = p.select("protein_name").distinct().withColumn("_k", F.lit(1)).join(pooled.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    words = pooled.agg(F.collect_list(F.struct("kmer", "score"))).scalar()
+    prior = p.select("protein_name").distinct().withColumn("_w", words).select("protein_name", F.explode("_w").alias("_w")).select("protein_name", "_w.*")
     return rounded(mt.topk_overlap(p, prior, "protein_name", 20), "overlap")
 
 

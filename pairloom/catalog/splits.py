@@ -92,7 +92,14 @@ def spl_homology(spark, sf):
     return sp.homology_split_map(panel, smap, strong)
 
 
-@reg("spl_cluster")
+@reg(
+    "spl_cluster",
+    """WITH RECURSIVE l AS (SELECT 'N'||l_partkey AS query, 'N'||(l_partkey*7%1009+l_suppkey) AS target, l_discount*9 AS fident, l_quantity/50 AS qcov, l_tax*12 AS tcov FROM lineitem),
+ k AS (SELECT DISTINCT query, target FROM l WHERE query<>target AND ((fident>=0.85::DOUBLE AND greatest(qcov,tcov)>=0.98::DOUBLE) OR (fident>=0.89::DOUBLE AND greatest(qcov,tcov)>=0.97::DOUBLE))),
+ e AS (SELECT query AS a, target AS b FROM k UNION SELECT target, query FROM k), n AS (SELECT query AS node FROM l UNION SELECT target FROM l),
+ r AS (SELECT node, node AS cl FROM n UNION SELECT e.b, r.cl FROM r JOIN e ON e.a=r.node WHERE r.cl < e.b)
+ SELECT node, min(cl) AS cluster FROM r GROUP BY node""",
+)
 def spl_cluster(spark, sf):
     h = views.links(spark, sf)
     strong = sp.link_filter(h, min_id=0.85, cov=0.98, hi_id=0.89, hi_cov=0.97)

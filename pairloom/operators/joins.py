@@ -30,9 +30,14 @@ def flag_in(df: DataFrame, keys: DataFrame, on, name: str) -> DataFrame:
     return df.join(k, on, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def _digest(c):
+    """128-bit digest: long sequences meet by digest, so joins move 16 bytes instead of the text."""
+    return F.unhex(F.md5(c))
+
+
 def annotate_leakage(ev: DataFrame, train: DataFrame) -> DataFrame:
     """Five train-leakage flags per eval row."""
-    canon = {"_p": F.upper("protein_sequence"), "_r": normalize_rna("rna_sequence"), "_g": nm.gene_key("protein_name")}
+    canon = {"_p": _digest(F.upper("protein_sequence")), "_r": normalize_rna("rna_sequence"), "_g": nm.gene_key("protein_name")}
     e, t = ev.withColumns(canon), train.withColumns(canon)
     out = flag_in(e, t, "protein_name", "protein_name_in_train")
     out = flag_in(out, t, "_p", "protein_sequence_in_train")
@@ -521,9 +526,9 @@ def motif_vs_transfer(conc: DataFrame, transfer: DataFrame, key="protein_key") -
 
 def assay_overlap(df: DataFrame, literature: DataFrame, train: DataFrame) -> DataFrame:
     """One row: names, rows with both sequences, literature pairs and train leakage."""
-    canon = {"_p": F.upper("protein_sequence"), "_r": normalize_rna("rna_sequence"), "_g": nm.gene_key("protein_name")}
+    canon = {"_p": _digest(F.upper("protein_sequence")), "_r": normalize_rna("rna_sequence"), "_g": nm.gene_key("protein_name")}
     lit, d = literature.withColumns(canon), df.withColumns(canon)
-    has = (F.length("_p") > 0) & (F.length("_r") > 0)
+    has = (F.length("protein_sequence") > 0) & (F.length("_r") > 0)
     flagged = flag_in(annotate_leakage(d, train).withColumns(canon), lit, ["_p", "_r"], "pair_in_literature")
     flagged = flag_in(flagged, lit, "_g", "name_in_literature")
     both = F.coalesce(has, F.lit(False)).cast("int")

@@ -77,8 +77,9 @@ def knn_transfer(rows, weights, neighbours, key, group, seq, k=4, n=3) -> DataFr
         .agg(F.sum(F.col("weight") * F.col("fident") / F.col("_t")).alias("weight"))
     )
     missing = rows.select(group).distinct().join(blend.select(group).distinct(), group, "left_anti")
-    one = F.lit(1).alias("_k")
-    fallback = missing.select(group, one).join(mean_weights(weights).select("kmer", "weight", one), "_k").drop("_k")
+    # the mean model has at most 4^k words: it travels as one array value
+    mean = mean_weights(weights).agg(F.collect_list(F.struct("kmer", "weight"))).scalar()
+    fallback = missing.withColumn("_w", mean).select(group, F.explode("_w").alias("_w")).select(group, "_w.*")
     model = blend.unionByName(fallback.select(group, "kmer", "weight"))
     c = word_counts(rows, [key, group], seq, k)
     return c.join(model, [group, "kmer"], "left").groupBy(key, group).agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("score"))
