@@ -8,6 +8,7 @@ from pairloom import views
 from pairloom.catalog.registry import rd, register
 from pairloom.catalog.sqlviews import sql
 from pairloom.operators import bootstrap as bt, kmers as km, metrics as mt
+from pairloom.plans import cut_lineage
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -88,7 +89,7 @@ def met_group_summary(spark, sf):
 
 @reg("met_composition")
 def met_composition(spark, sf):
-    p = views.pairs(spark, sf)
+    p = cut_lineage(views.pairs(spark, sf))
     c = mt.composition_baseline(p.where("split = 'test'"), p.where("split = 'train'"), "experiment_id")
     return rounded(c, "auroc", "group_median", "share_rna_in_train")
 
@@ -246,9 +247,10 @@ def pair_table(spark, sf, digits=9):
     x = mt.profile_corr(profiles(spark, sf, "experiment_id", 3), "experiment_id", "kmer", "profile").withColumnRenamed("r", "x")
     y = mt.profile_corr(profiles(spark, sf, "experiment_id", 4), "experiment_id", "kmer", "profile").withColumnRenamed("r", "y")
     fam = lambda c: F.regexp_extract(c, "^(src[0-9])", 1)
-    return x.join(y, ["a", "b"]).withColumns(
+    j = x.join(y, ["a", "b"]).withColumns(
         {"x": F.round("x", 9), "y": F.round("y", digits) if digits else F.col("y"), "same_family": (fam("a") == fam("b")).cast("int")}
     )
+    return cut_lineage(j)
 
 
 PAIRTAB = prof_sql("experiment_id", 4) + """, c3 AS (SELECT grp AS grp, substr(kmer,1,3) AS kmer FROM kc WHERE false),

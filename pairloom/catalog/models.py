@@ -9,13 +9,19 @@ from pairloom.catalog.aggregates import exemplar_rows
 from pairloom.catalog.metrics import auc_sql, rounded
 from pairloom.catalog.registry import rd, register
 from pairloom.catalog.sqlviews import sql
-from pairloom.operators import joins as jn, metrics as mt, models as ml
+from pairloom.operators import metrics as mt, models as ml
+from pairloom.plans import cut_lineage
 
 QUERIES: dict = {}
 SQL: dict = {}
 reg = register(QUERIES, SQL)
 
 
+def rows(spark, sf):
+    """The derived rows, written once: the fits below pass over them several times."""
+    return cut_lineage(views.pairs(spark, sf))
+
+
 def by_split(spark, sf, name):
     return views.pairs(spark, sf).where(F.col("split") == name)
 
@@ -49,7 +55,7 @@ def ml_per_group(spark, sf):
 
 @reg("ml_per_group_cv")
 def ml_per_group_cv(spark, sf):
-    return rounded(ml.per_group_cv(views.pairs(spark, sf), "experiment_id", "pair_id"), "auroc", "auprc", digits=6)
+    return rounded(ml.per_group_cv(rows(spark, sf), "experiment_id", "pair_id"), "auroc", "auprc", digits=6)
 
 
 @reg("ml_exemplar_scores")
@@ -60,7 +66,7 @@ def ml_exemplar_scores(spark, sf):
 
 @reg("ml_within_transfer")
 def ml_within_transfer(spark, sf):
-    t = ml.transfer_matrix(views.pairs(spark, sf), "protein_name", "dataset_source", "pair_id")
+    t = ml.transfer_matrix(rows(spark, sf), "protein_name", "dataset_source", "pair_id")
     return rounded(t, "auroc", "auprc", "share_rna", digits=6)
 
 
@@ -113,18 +119,18 @@ def ml_label_prior(spark, sf):
 
 @reg("ml_marginals")
 def ml_marginals(spark, sf):
-    return rounded(ml.shortcut_audit(views.pairs(spark, sf), views.proteins(spark, sf), "pair_id"), "auroc", "auprc", digits=6)
+    return rounded(ml.shortcut_audit(rows(spark, sf), views.proteins(spark, sf), "pair_id"), "auroc", "auprc", digits=6)
 
 
 @reg("ml_rna_audit")
 def ml_rna_audit(spark, sf):
-    p = views.pairs(spark, sf)
+    p = rows(spark, sf)
     return rounded(ml.rna_audit(p, "protein_name", "dataset_source", "doc_id", "pair_id"), "auroc", digits=6)
 
 
 @reg("ml_reverse")
 def ml_reverse(spark, sf):
-    p = views.pairs(spark, sf)
+    p = rows(spark, sf)
     return rounded(ml.reverse_transfer(p.where("dataset_source = 'en'"), p.where("dataset_source <> 'en'"), "protein_name", "pair_id"), "auroc", digits=6)
 
 
@@ -146,7 +152,7 @@ def ml_profile_knn(spark, sf):
 
 @reg("ml_intensity")
 def ml_intensity(spark, sf):
-    p = views.pairs(spark, sf)
+    p = rows(spark, sf)
     w = ml.nb_weights(p.where("split = 'train'"), "protein_name", "rna_sequence", 3)
     s = ml.nb_scores(p, w, "pair_id", "protein_name", "rna_sequence", 3)
     return rounded(ml.intensity_spearman(p, s, "protein_name", "pair_id", "rna_sequence", "probe_intensity"), "rho", "ceiling", digits=6)

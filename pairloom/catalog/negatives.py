@@ -8,6 +8,7 @@ from pairloom import functions as fn, views
 from pairloom.catalog.registry import rd, register
 from pairloom.catalog.sqlviews import sql
 from pairloom.operators import intervals as iv, negatives as ng
+from pairloom.plans import cut_lineage
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -132,7 +133,7 @@ def peak_windows(spark, sf):
 
 @reg("neg_other_target")
 def neg_other_target(spark, sf):
-    peaks, cand = peak_windows(spark, sf)
+    peaks, cand = (cut_lineage(d) for d in peak_windows(spark, sf))
     cand = cand.unionByName(peaks.select(F.col("peak_id").alias("cand_id"), "chrom", "start_pos", "end_pos", "seq"))
     return ng.other_target(peaks, cand).drop("seq")
 
@@ -143,8 +144,8 @@ def neg_other_target(spark, sf):
  q AS (SELECT dataset_source, rna_sequence, sha256('42|'||dataset_source||'|'||rna_sequence) AS h FROM (SELECT DISTINCT dataset_source, rna_sequence FROM o)),
  u AS (SELECT DISTINCT protein_name, dataset_source FROM o)
  SELECT u.protein_name, u.dataset_source, q.rna_sequence FROM u JOIN q USING (dataset_source) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.protein_name=u.protein_name AND o.dataset_source=u.dataset_source AND o.rna_sequence=q.rna_sequence)
- QUALIFY row_number() OVER (PARTITION BY u.protein_name, u.dataset_source ORDER BY h) <= 500"""),
+ QUALIFY row_number() OVER (PARTITION BY u.protein_name, u.dataset_source ORDER BY h) <= 10000"""),
 )
 def neg_cross_unit(spark, sf):
     pos = views.pairs(spark, sf).where("binding_label = 1")
-    return ng.cross_unit(pos, "protein_name", "dataset_source", cap=500).drop("binding_label")
+    return ng.cross_unit(pos, "protein_name", "dataset_source").drop("binding_label")

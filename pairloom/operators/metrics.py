@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.sequence import au_fraction, gc_fraction
-from pairloom.plans import hash_rank, ordered_prefix, quantiles, top_per_group
+from pairloom.plans import cut_lineage, hash_rank, ordered_prefix, quantiles, top_per_group
 from pairloom.plans.ordering import null_safe
 
 LABEL = "binding_label"
@@ -200,7 +200,8 @@ def spearman(df, group, x, y, min_n=30, weight=None) -> DataFrame:
     group = _list(group)
     w = F.sum(weight) if weight else F.count(F.lit(1))
     c = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(w.alias("_c"))
-    c = c.where(F.col("_c") > 0)
+    # the cells are read three times and may come from model fits: write them once
+    c = cut_lineage(c.where(F.col("_c") > 0))
     j = null_safe(c, mid_ranks(c, group, "_x", "_c", "_rx"), [*group, "_x"])
     j = null_safe(j, mid_ranks(c, group, "_y", "_c", "_ry"), [*group, "_y"])
     s = lambda a, b: F.sum(F.col("_c") * F.col(a) * F.col(b))
