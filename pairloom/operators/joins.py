@@ -135,7 +135,10 @@ def pair_similarity(df: DataFrame, seq: str, k=3, min_sim=0.5) -> DataFrame:
     )
     right = index.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "w", F.explode(F.sequence(F.lit(0), slices - 1)).alias("part"))
     small, big = F.least("na", "nb"), F.greatest("na", "nb")
-    cand = left.join(right, ["w", "part"]).where((F.col("a") < F.col("b")) & (small >= big * min_sim - 1e-9)).select("a", "b").distinct()
+    cand = left.join(right, ["w", "part"]).where((F.col("a") < F.col("b")) & (small >= big * min_sim - 1e-9)).select("a", "b")
+    # few bytes but much work per row: a fixed partition count keeps the check spread out
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = cand.repartition(width, "a", "b").distinct()
     text = s.select("sid", "seq")
     j = cand.join(text.select(F.col("sid").alias("a"), F.col("seq").alias("seq_a")), "a")
     j = j.join(text.select(F.col("sid").alias("b"), F.col("seq").alias("seq_b")), "b")
