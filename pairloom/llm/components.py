@@ -1,0 +1,37 @@
+"""Connected components of an edge table by alternating large and small stars.
+
+Every round is a pair of joins on the edges; the edges are checkpointed between rounds and
+the rounds end when a round changes nothing, after about log n of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from pairloom.plans import cut_lineage
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return moved.union(low.select("u", "m")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b): (node, root) for every node of an edge; root is the smallest node reachable."""
+    edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while True:
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == state:
+            break
+        state = mark
+        edges = cut_lineage(_small_star(_large_star(edges)))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import suffix_dedup
+from pairloom.llm import rank_order, simhash_vptree, suffix_dedup
+from pairloom.llm.common import distinct_documents, fold, outer_id
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -27,3 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.strip_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
+@query("op2_simhash_vptree")
+def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op8_rank_order")
+def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    profiles = rank_order.learn_profiles(docs.where(F.coalesce(rest != 0, F.lit(True))))
+    found = rank_order.identify(distinct_documents(docs), profiles)
+    return found.select(outer_id(), F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
