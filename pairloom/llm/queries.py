@@ -33,7 +33,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash_vptree")
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 @query("op8_rank_order")

@@ -1,14 +1,20 @@
-"""Near-duplicate groups: 64-bit SimHash of word shingles, linked through a vantage-point tree.
-
-Fingerprints that differ in at most ``RADIUS`` bits are linked; groups are the connected
-components.  The tree is fitted on a bounded sample of distinct fingerprints (at most
-``SAMPLE``, the smallest by a hash): a node splits at the median Hamming distance to its
-vantage point.  Every distinct fingerprint has one home leaf.  By the triangle inequality a
-partner across a node's boundary lies within the radius of it, so a fingerprint near the
-boundary also visits the other side as a guest, and guests follow every branch that the
-bound leaves open.  A leaf compares homes with homes and guests, exactly, in blocks.  A leaf
-with many homes is dealt out to several tasks.  The sample decides speed only, never results.
-A leaf passes on a spanning forest of its links, not the pairs.
+"""Near-duplicate groups: SimHash of word shingles, linked through vantage-point trees.
+
+Fingerprints of ``64 * words`` bits that differ in at most ``radius`` bits are linked; groups
+are the connected components.  The bits are cut in ``parts``: a pair within the radius agrees
+to ``radius // parts`` bits in one part at least, so each part has a vantage-point tree of its
+own over its Hamming distance, and the small radius leaves few branches open.  A tree is
+fitted on a bounded sample of distinct fingerprints (at most ``SAMPLE``, the smallest by a
+hash): a node splits at the median distance to its vantage point.  Every fingerprint has one
+home leaf a tree.  By the triangle inequality a partner across a node's boundary lies within
+the radius of it, so a fingerprint near the boundary also visits the other side as a guest,
+and guests follow every branch that the bound leaves open.  A leaf holds homes against homes
+and guests, exactly, on all bits, in blocks; one with many homes is dealt out to several
+tasks.  The sample decides speed only, never results.  A leaf passes on a spanning forest of
+its links, not the pairs.
+
+``ratio`` (optional) links only texts of like length: shingle counts are cut in bands of this
+ratio, and a text meets its own band and the next.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; texts with fewer words
 than a shingle give one shingle of all words; texts without words have the fingerprint zero.
@@ -22,53 +28,73 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import blocks, byte_rows, distinct_documents, first_of_runs, outer_id
+from pairloom.llm.common import U64, blocks, byte_rows, distinct_documents, mix, outer_id
 from pairloom.llm.components import components
 from pairloom.plans import cut_lineage
 
-SHINGLE, RADIUS, SEED = 3, 3, 42
+SHINGLE, RADIUS, SEED, PARTS = 3, 3, 42, 2
 SAMPLE, LEAF, HOMES = 16_384, 4_096, 16_384
 BLOCK = 1 << 20
+POINT = "id long, n long, fp array<long>"
 
 
-def fingerprint_rows(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
-    """The fingerprints of some texts."""
+def _more_words(h: np.ndarray, words: int):
+    """Further 64-bit hashes of the shingles, each mixed from the first."""
+    yield h
+    for k in range(1, words):
+        yield mix(h * U64(2 * k + 1) ^ U64(0x9E3779B97F4A7C15 * k & (2**64 - 1)))
+
+
+def fingerprint_rows(texts: list[bytes], width: int = SHINGLE, words: int = 1):
+    """Fingerprints (a row of ``words`` numbers a text) and shingle counts."""
     hashes, counts = [], []
     digest = xxhash.xxh64_intdigest
     for raw in texts:
-        words = raw.lower().split()
-        n = max(1, len(words) - width + 1) if words else 0
+        tokens = raw.lower().split()
+        n = max(1, len(tokens) - width + 1) if tokens else 0
         counts.append(n)
         if n:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            joined = b" ".join(tokens)
+            ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
             starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-            hashes += [digest(joined[s:e], SEED) for s, e in zip(starts, ends[min(width, len(words)) - 1 :].tolist())]
+            hashes += [digest(joined[s:e], SEED) for s, e in zip(starts, ends[min(width, len(tokens)) - 1 :].tolist())]
     counts = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), words), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at = (np.cumsum(counts) - counts)[some]
-        votes = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        out[some] = np.packbits(votes * 2 > counts[some, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
-    return out
+        for k, h in enumerate(_more_words(np.array(hashes, np.uint64), words)):
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+            out[some, k] = np.packbits(votes * 2 > counts[some, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    return out, counts
+
+
+def fp_column(fp: np.ndarray) -> pa.Array:
+    n, words = fp.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(np.ascontiguousarray(fp).reshape(-1).view(np.int64)))
+
 
+def fp_matrix(column, words: int) -> np.ndarray:
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, words)
 
-def _fingerprints(width: int):
+
+def _fingerprints(width: int, words: int):
     def run(batches):
         for batch in batches:
             data, offs = byte_rows(batch.column("text"))
-            parts = [fingerprint_rows([data[offs[k] : offs[k + 1]].tobytes() for k in range(i, j)], width) for i, j in blocks(offs, BLOCK)]
-            fp = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            parts = [fingerprint_rows([data[offs[k] : offs[k + 1]].tobytes() for k in range(i, j)], width, words) for i, j in blocks(offs, BLOCK)]
+            if parts:
+                fp, n = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), fp_column(fp)], ["id", "n", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for rows of ``distinct_documents``."""
-    return docs.mapInArrow(_fingerprints(width), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataFrame:
+    """(id, n shingles, fp) for rows of ``distinct_documents``."""
+    return docs.mapInArrow(_fingerprints(width, words), POINT)
 
 
 def fit_tree(sample: np.ndarray, total: int, leaf: int = LEAF) -> list[tuple]:
@@ -94,11 +120,12 @@ def fit_tree(sample: np.ndarray, total: int, leaf: int = LEAF) -> list[tuple]:
     return nodes if root >= 0 else []
 
 
-def visits(tree: list, fp: np.ndarray, radius: int):
+def visits(tree: list, fp: np.ndarray, radius: int, at_home: bool = True):
     """(leaf, index into fp, home) for every leaf a fingerprint belongs to or must be held against."""
+    everyone = np.arange(len(fp)), np.full(len(fp), at_home)
     if not tree:
-        return np.zeros(len(fp), np.int64), np.arange(len(fp)), np.ones(len(fp), bool)
-    out, stack = [], [(0, np.arange(len(fp)), np.ones(len(fp), bool))]
+        return np.zeros(len(fp), np.int64), *everyone
+    out, stack = [], [(0, *everyone)]
     while stack:
         node, rows, home = stack.pop()
         if not len(rows):
@@ -118,16 +145,25 @@ def visits(tree: list, fp: np.ndarray, radius: int):
 
 
 def forest(fp: np.ndarray, homes: int, radius: int):
-    """Spanning edges of the links of the first ``homes`` fingerprints with all of them."""
+    """Spanning edges (positions) of the links of the first ``homes`` rows with all rows."""
     root = np.arange(len(fp))
+    columns = [np.ascontiguousarray(c) for c in fp.T]
     at, step = 0, 8
     while at < homes:
-        rows = fp[at : min(homes, at + step)]
+        end = min(homes, at + step)
         i, j = [], []
-        for lo in range(0, len(fp), 1 << 16):
-            a, b = np.nonzero(np.bitwise_count(rows[:, None] ^ fp[None, lo : lo + (1 << 16)]) <= radius)
-            i.append(a + at)
-            j.append(b + lo)
+        for lo in range(0, len(fp), 1 << 14):
+            hi = lo + (1 << 14)
+            d = np.bitwise_count(columns[0][at:end, None] ^ columns[0][None, lo:hi])
+            if len(columns) > 1:
+                d = d + np.bitwise_count(columns[1][at:end, None] ^ columns[1][None, lo:hi])
+            a, b = np.nonzero(d <= radius)
+            a, b = a + at, b + lo
+            if len(columns) > 2:
+                near = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= radius
+                a, b = a[near], b[near]
+            i.append(a)
+            j.append(b)
         i, j = root[np.concatenate(i)], root[np.concatenate(j)]
         while (open_ := i != j).any():
             i, j = i[open_], j[open_]
@@ -135,58 +171,79 @@ def forest(fp: np.ndarray, homes: int, radius: int):
             while not np.array_equal(up := root[root], root):
                 root = up
             i, j = root[i], root[j]
-        at, step = at + len(rows), min(256, step * 2)
+        at, step = end, min(256, step * 2)
     linked = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[linked], fp[root[linked]]
+    return linked, root[linked]
 
 
-def _leaf(radius: int):
+def _leaf(radius: int, words: int):
     def run(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        home = table.column("home").to_numpy()
+        ids, fp, home = table.column("id").to_numpy(), fp_matrix(table.column("fp"), words), table.column("home").to_numpy()
         order = np.argsort(~home, kind="stable")
+        ids = ids[order]
         a, b = forest(fp[order], int(home.sum()), radius)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
     return run
 
 
-def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """points (fp), distinct: edges (a, b) that connect just what links of ``radius`` connect."""
-    spark = points.sparkSession
-    total = points.count()
-    size = min(SAMPLE, max(256, 8 * -(-total // LEAF)))
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = fit_tree(sample, total) if len(sample) else []
+def masks(words: int, parts: int) -> list[tuple[int, int]]:
+    """(word, bits of it) of each part; parts: a multiple of words."""
+    each = parts // words
+    size = 64 // each
+    return [(w, ((1 << size) - 1) << (size * k)) for w in range(words) for k in range(each)]
 
-    def place(split: dict):
+
+def links(points: DataFrame, radius: int, words: int = 1, parts: int = PARTS, ratio: float | None = None, leaf: int = LEAF, homes: int = HOMES) -> DataFrame:
+    """points (id, n, fp), fp distinct: edges (a, b) that connect just what links connect."""
+    total = points.count()
+    size = min(SAMPLE, max(256, 8 * -(-total // leaf)))
+    drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow() if total > leaf else None
+    trees = [(0, 0, [])]
+    if drawn is not None:
+        sample = fp_matrix(drawn.column("fp"), words)
+        trees = [(w, m, fit_tree(np.unique(sample[:, w] & U64(m)), total, leaf)) for w, m in masks(words, parts)]
+    near = radius // parts
+
+    def place(split: dict, guests: bool):
         def run(batches):
             for batch in batches:
-                fp = batch.column("fp").to_numpy(zero_copy_only=False)
-                leaf, row, home = visits(tree, fp.view(np.uint64), radius)
-                parts = np.array([split.get(int(x), 1) for x in leaf], np.int64)
-                own = (np.abs(fp[row]) // 7) % parts
-                part = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-                row, leaf, home = np.repeat(row, parts), np.repeat(leaf, parts), np.repeat(home, parts) & (part == np.repeat(own, parts))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(fp[row], pa.int64()), pa.array(home)], ["leaf", "part", "fp", "home"])
+                ids, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
+                fp = fp_matrix(batch.column("fp"), words)
+                band = np.floor(np.log(np.maximum(1, n)) / -np.log(ratio)).astype(np.int64) if ratio else np.zeros(len(n), np.int64)
+                for t, (w, m, tree) in enumerate(trees):
+                    key = fp[:, w] & U64(m)
+                    for shift in (0, 1) if ratio and guests else (0,):
+                        at, row, home = visits(tree, key, near, shift == 0)
+                        if not guests:
+                            at, row, home = at[home], row[home], home[home]
+                        count = np.array([split.get((int(b), t, int(x)), 1) for b, x in zip(band[row] + shift, at)], np.int64)
+                        own = (mix(fp[row, 0]) >> U64(32)).astype(np.int64) % np.maximum(1, count)
+                        block = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                        row, at, home = np.repeat(row, count), np.repeat(at, count), np.repeat(home, count) & (block == np.repeat(own, count))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(band[row] + shift), pa.array(np.full(len(row), t)), pa.array(at), pa.array(block), pa.array(ids[row]), fp_column(fp[row]), pa.array(home)],
+                            ["band", "tree", "leaf", "block", "id", "fp", "home"],
+                        )
 
         return run
 
-    kind = "leaf long, part long, fp long, home boolean"
-    # the tree has at most one leaf a sampled point
-    heavy = points.mapInArrow(place({}), kind).where("home").groupBy("leaf").count().where(F.col("count") > HOMES).collect()
-    split = {r["leaf"]: -(-r["count"] // HOMES) for r in heavy}
-    rows = points.mapInArrow(place(split), kind)
-    return rows.groupBy("leaf", "part").applyInArrow(_leaf(radius), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the group's smallest id."""
-    rows = cut_lineage(fingerprints(distinct_documents(docs, id_col, text_col), width))
-    points = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    group = components(links(points.select("fp"), radius))
-    joined = points.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = cut_lineage(joined)
-    low = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_point = joined.join(low, "root").select("fp", "component_id")
-    return rows.join(of_point, "fp").select(outer_id(), "fp", outer_id("component_id"))
+    kind = "band long, tree long, leaf long, block long, id long, fp array<long>, home boolean"
+    # one row for each band, tree and leaf: at most as many leaves as sampled points
+    heavy = points.mapInArrow(place({}, False), kind).groupBy("band", "tree", "leaf").count().where(F.col("count") > homes).collect()
+    split = {(r["band"], r["tree"], r["leaf"]): -(-r["count"] // homes) for r in heavy}
+    rows = points.mapInArrow(place(split, True), kind)
+    return rows.groupBy("band", "tree", "leaf", "block").applyInArrow(_leaf(radius, words), "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, words: int = 1, parts: int = PARTS, ratio: float | None = None,
+    leaf: int = LEAF, homes: int = HOMES, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, fp, component_id): the fingerprint and the smallest id of the group."""
+    rows = cut_lineage(fingerprints(distinct_documents(docs, id_col, text_col), width, words))
+    same = ["n", "fp"] if ratio else ["fp"]
+    points = cut_lineage(rows.groupBy(*same).agg(F.min("id").alias("low"), *([] if ratio else [F.max("n").alias("n")])))
+    group = components(links(points.select(F.col("low").alias("id"), "n", "fp"), radius, words, parts, ratio, leaf, homes))
+    of_point = points.join(group.withColumnRenamed("node", "low"), "low", "left").select(*same, F.coalesce("root", "low").alias("component_id"))
+    return rows.withColumnRenamed("id", "doc_id").join(of_point, same).select(outer_id(), "fp", outer_id("component_id"))
