@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import rank_order, simhash_vptree, suffix_dedup
+from pairloom.llm import rank_order, simhash_vptree, spaced_seeds, suffix_dedup, vector_packing
 from pairloom.llm.common import distinct_documents, fold, outer_id
 
 QUERIES: dict = {}
@@ -43,3 +43,15 @@ def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = rank_order.learn_profiles(docs.where(F.coalesce(rest != 0, F.lit(True))))
     found = rank_order.identify(distinct_documents(docs), profiles)
     return found.select(outer_id(), F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_spaced_seeds")
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_vector_packing")
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return vector_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
