@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import rank_order, simhash_vptree, spaced_seeds, suffix_dedup, vector_packing
+from pairloom.llm import block_simhash, chat_format, extendible_sharding, rank_order, simhash_vptree, spaced_seeds, suffix_dedup, vector_packing
 from pairloom.llm.common import distinct_documents, fold, outer_id
 
 QUERIES: dict = {}
@@ -55,3 +55,52 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return vector_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op1_extendible_sharding",
+    f"""
+    WITH d AS (
+        SELECT doc_id, coalesce(strlen(text), 0) AS bytes, ('0x' || substr(md5(coalesce('v' || doc_id, 'n')), 1, 15))::BIGINT AS h FROM documents),
+    n AS (
+        SELECT depth, h >> (60 - depth) AS prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows
+        FROM d, (SELECT unnest(range(0, 61))::INT AS depth) GROUP BY ALL),
+    leaf AS (
+        SELECT doc_id, bytes, min(depth) AS depth, arg_min(prefix, depth) AS prefix, arg_min(n.shard_rows, depth) AS shard_rows, arg_min(n.shard_bytes, depth) AS shard_bytes
+        FROM d JOIN n ON n.prefix = d.h >> (60 - n.depth) WHERE n.shard_bytes <= {extendible_sharding.LIMIT} GROUP BY doc_id, bytes)
+    SELECT doc_id, bytes, depth::BIGINT AS depth, prefix, 0::BIGINT AS page, shard_rows, shard_bytes, (max(depth) OVER ())::BIGINT AS global_depth FROM leaf
+    """,
+)
+def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distinct_documents(table(spark, sf_dir, "documents")).select(outer_id(), F.octet_length("text").alias("bytes"))
+    out = extendible_sharding.assign(rows, "doc_id", "bytes")
+    return out.withColumnsRenamed({"key": "doc_id", "size": "bytes"})
+
+
+MARKED = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+
+
+@query(
+    "op5_chat_format",
+    f"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '{chat_format.PROBE}'), (-1, 1, 'assistant', '{chat_format.PROBE}'))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+        coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+        sum({len("".join(chat_format.MARKS))} + length({MARKED.format("r")}) + length({MARKED.format("x")}))::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id
+    """,
+)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat_format.PROBE), (-1, 1, "assistant", chat_format.PROBE)], turns.schema)
+    return chat_format.report(turns.unionByName(probe), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_block_simhash")
+def op7_block_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_simhash.edit_report(table(spark, sf_dir, "documents"))
