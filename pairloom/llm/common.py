@@ -21,17 +21,21 @@ NULL_ID = -(2**63)
 U64 = np.uint64
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text), one row per id; the id null becomes NULL_ID."""
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """(doc_id, text), one row per id; the id null becomes NULL_ID.  ``carry`` names columns to
+    keep, as fields of a column ``row``."""
+    extra = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     base = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
+        *extra,
     )
     repeated = cut_lineage(base.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return base
-    one = base.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNotNull().alias("b"), "text")).alias("m"))
-    return base.join(repeated, "doc_id", "left_anti").unionByName(one.select("doc_id", F.col("m.text").alias("text")))
+    rest = ["text", "row"] if carry else ["text"]
+    one = base.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNotNull().alias("b"), *rest)).alias("m"))
+    return base.join(repeated, "doc_id", "left_anti").unionByName(one.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in rest]))
 
 
 def outer_id(col="doc_id"):

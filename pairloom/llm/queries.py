@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import block_simhash, chat_format, extendible_sharding, rank_order, simhash_vptree, spaced_seeds, suffix_dedup, vector_packing
+from pairloom.llm import block_simhash, chat_format, extendible_sharding, lsa_neighbours, rank_order, simhash_vptree, spaced_seeds, suffix_dedup, vector_packing
 from pairloom.llm.common import distinct_documents, fold, outer_id
 
 QUERIES: dict = {}
@@ -104,3 +104,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_block_simhash")
 def op7_block_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_simhash.edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lsa_neighbours")
+def op9_lsa_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = distinct_documents(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long"), F.col("quality").alias("label"))
+    found = lsa_neighbours.score(docs, labels.where(F.coalesce(fold(4) != 2, F.lit(False))))
+    held_out = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
+    return found.select(outer_id(), held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

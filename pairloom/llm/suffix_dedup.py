@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from pairloom.llm.common import (
     Rolling,
@@ -243,7 +243,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.where("trigger IS NULL").select("doc_id", "start", "end").unionByName(partial)
 
 
-def _cut(keep_text: bool):
+def _cut(keep_text: bool, carry: bool):
     def run(batches):
         for batch in batches:
             data, offs = byte_rows(batch.column("text"))
@@ -263,15 +263,19 @@ def _cut(keep_text: bool):
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)] + [batch.column("row")] * carry, names + ["row"] * carry)
 
     return run
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
-    and ``kept``, the remaining text (bytes of a character cut in two are left out)."""
-    docs = distinct_documents(docs, id_col, text_col)
-    spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = docs.join(spans, "doc_id", "left").mapInArrow(_cut(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return out.withColumn("doc_id", outer_id())
+    and ``kept``, the remaining text (bytes of a character cut in two are left out).  The
+    columns named by ``carry`` come along in a column ``row``."""
+    docs = distinct_documents(docs, id_col, text_col, carry)
+    spans = repeated_spans(docs.select("doc_id", "text"), length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    kind = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    if carry:
+        kind = kind.add(docs.schema["row"])
+    return docs.join(spans, "doc_id", "left").mapInArrow(_cut(keep_text, bool(carry)), kind).withColumn("doc_id", outer_id())
