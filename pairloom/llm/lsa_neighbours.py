@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.llm.common import Rolling, U64, blocks, byte_rows, first_of_runs, mix, word_bounds
 
 FEATURES, RANK, SAMPLE, HEAVY, NEIGHBOURS = 1 << 15, 48, 8192, 512, 32
-BLOCK, ROWS, ROUNDS, SEED = 1 << 20, 512, 4, 7
+BLOCK, ROWS, ROUNDS, SEED = 1 << 18, 256, 4, 7
 
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -108,7 +108,7 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def directions(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, rank: int = RANK) -> np.ndarray:
     """The leading right singular vectors (FEATURES, rank) by subspace iteration."""
-    step = 1 << 18
+    step = 1 << 16
     by_feature = np.argsort(feature, kind="stable")
 
     def times(m, rows, cols, w, size):
@@ -148,8 +148,8 @@ def vectors(column, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     out = np.zeros((len(column), basis.shape[1]), np.float32)
     for i, j, (row, feature, count) in _feature_blocks(column):
         weight = _weights(feature, count, idf)
-        for lo in range(0, len(row), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
+        for lo in range(0, len(row), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
             out[i:j] += _sums(row[part], basis[feature[part]] * weight[part, None], j - i)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
@@ -181,17 +181,25 @@ def _project(idf, basis, known=None, labels=None, base=0.5):
     return run
 
 
+def _picker(ids: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), ids)))
+
+    return run
+
+
 def score(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> DataFrame:
     """docs: rows of ``distinct_documents``; labelled (doc_id, label): (doc_id, score)."""
     idf = inverse_frequencies(docs.select("text"))
     drawn = labelled.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     drawn = drawn.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
     base = float(drawn["label"].mean()) if len(drawn) else 0.5
-    ids = docs.sparkSession.createDataFrame(drawn[["doc_id"]], "doc_id long") if len(drawn) else None
     known, labels = np.zeros((0, rank), np.float32), np.zeros(0)
     basis = np.zeros((FEATURES, rank), np.float32)
     if len(drawn):
-        chosen = docs.join(ids, "doc_id", "left_semi")
+        # the sample is bounded: tasks pick its rows as they read, no text is dealt out
+        chosen = docs.mapInArrow(_picker(drawn["doc_id"].to_numpy(np.int64)), docs.schema)
         table = chosen.mapInArrow(_heaviest(idf, HEAVY), "doc_id long, features binary, weights binary").orderBy("doc_id").toArrow()
         cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("features", np.int32), ("weights", np.float32))]
         size = np.array([len(x) // 4 for x in table.column("features").to_pylist()], np.int64)
