@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.llm.common import U64, blocks, byte_rows, first_of_runs
 from pairloom.plans import top_per_group
 
-PROFILE, BLOCK, FLUSH = 300, 1 << 20, 1 << 25
+PROFILE, BLOCK, FLUSH = 300, 1 << 18, 1 << 24
 UNKNOWN = "und"
 CODE = 15  # bits of a letter
 

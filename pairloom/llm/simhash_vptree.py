@@ -23,6 +23,8 @@ Null texts count as empty.  Equal ids: see ``common``; the id null is the smalle
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,7 +36,7 @@ from pairloom.plans import cut_lineage
 
 SHINGLE, RADIUS, SEED, PARTS = 3, 3, 42, 2
 SAMPLE, LEAF, HOMES = 16_384, 4_096, 16_384
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 POINT = "id long, n long, fp array<long>"
 
 
@@ -194,9 +196,15 @@ def masks(words: int, parts: int) -> list[tuple[int, int]]:
     return [(w, ((1 << size) - 1) << (size * k)) for w in range(words) for k in range(each)]
 
 
+def _band(ratio: float | None):
+    """Texts whose shingle counts differ by a factor up to 1 / ratio lie at most one band apart."""
+    return F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(ratio)).cast("long") if ratio else F.lit(0).cast("long")
+
+
 def links(points: DataFrame, radius: int, words: int = 1, parts: int = PARTS, ratio: float | None = None, leaf: int = LEAF, homes: int = HOMES) -> DataFrame:
     """points (id, n, fp), fp distinct: edges (a, b) that connect just what links connect."""
-    total = points.count()
+    # the largest number of fingerprints that may meet; one count for each band
+    total = points.groupBy(_band(ratio).alias("band")).count().agg(F.max("count")).first()[0] or 0
     size = min(SAMPLE, max(256, 8 * -(-total // leaf)))
     drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow() if total > leaf else None
     trees = [(0, 0, [])]
@@ -208,9 +216,9 @@ def links(points: DataFrame, radius: int, words: int = 1, parts: int = PARTS, ra
     def place(split: dict, guests: bool):
         def run(batches):
             for batch in batches:
-                ids, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
                 fp = fp_matrix(batch.column("fp"), words)
-                band = np.floor(np.log(np.maximum(1, n)) / -np.log(ratio)).astype(np.int64) if ratio else np.zeros(len(n), np.int64)
+                band = batch.column("band").to_numpy(zero_copy_only=False)
                 for t, (w, m, tree) in enumerate(trees):
                     key = fp[:, w] & U64(m)
                     for shift in (0, 1) if ratio and guests else (0,):
@@ -228,6 +236,7 @@ def links(points: DataFrame, radius: int, words: int = 1, parts: int = PARTS, ra
 
         return run
 
+    points = points.withColumn("band", _band(ratio))
     kind = "band long, tree long, leaf long, block long, id long, fp array<long>, home boolean"
     # one row for each band, tree and leaf: at most as many leaves as sampled points
     heavy = points.mapInArrow(place({}, False), kind).groupBy("band", "tree", "leaf").count().where(F.col("count") > homes).collect()

@@ -28,7 +28,7 @@ from pairloom.llm.common import Rolling, U64, blocks, byte_rows, distinct_docume
 
 MASKS = ("111100011", "1000101111")
 STRETCH, SHARE = 13, 0.8
-ITEM_BYTES, BLOCK = 1 << 24, 1 << 20
+ITEM_BYTES, BLOCK = 1 << 24, 1 << 18
 FILTER_BITS = 22
 RESULT = "doc_id long, item_id long, matched long, overlap long, item_tokens long, doc_start long, item_start long"
 

@@ -46,7 +46,7 @@ from pairloom.llm.common import (
 from pairloom.plans import cut_lineage
 
 LENGTH, TRIGGER = 50, 20
-BLOCK, CHUNK = 1 << 20, 1 << 25  # bytes hashed at once, bytes parsed before rows are sent
+BLOCK, CHUNK = 1 << 18, 1 << 24  # bytes hashed at once, bytes parsed before rows are sent
 KEY = U64((1 << 48) - 1)
 FOUND = "doc_id long, start long, end long, trigger long"
 SPANS = "doc_id long, start long, end long"
@@ -130,9 +130,9 @@ def _parser(buckets: int, length: int):
             for i, j in blocks(offs, BLOCK):
                 # one long row is parsed in pieces that overlap by a window less one byte
                 lo, hi = int(offs[i]), int(offs[j])
-                cut = range(lo, max(lo + 1, hi - length + 1), BLOCK * 4) if j == i + 1 else [lo]
+                cut = range(lo, max(lo + 1, hi - length + 1), BLOCK * 8) if j == i + 1 else [lo]
                 for a in cut:
-                    z = min(hi, a + BLOCK * 4 + length - 1) if j == i + 1 else hi
+                    z = min(hi, a + BLOCK * 8 + length - 1) if j == i + 1 else hi
                     row, pos, n, trig, phrase = parse(data[a:z], np.array([0, z - a]) if j == i + 1 else offs[i : j + 1] - lo, length)
                     parts.append((ids[i:j][row], pos + (a - lo if j == i + 1 else 0), n, trig, phrase))
                     size += z - a
@@ -264,7 +264,7 @@ def _cut(keep_text: bool, carry: bool):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)] + [batch.column("row")] * carry, names + ["row"] * carry)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)] + ([batch.column("row")] if carry else []), names + ["row"] * carry)
 
     return run
 
