@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import block_simhash, chat_format, extendible_sharding, lsa_neighbours, rank_order, simhash_vptree, spaced_seeds, suffix_dedup, vector_packing
+from pairloom.llm import block_simhash, chat_format, deleted_interpolation, extendible_sharding, lsa_neighbours, rank_order, simhash_vptree, spaced_seeds, suffix_dedup, vector_packing
 from pairloom.llm.common import distinct_documents, fold, outer_id
 
 QUERIES: dict = {}
@@ -113,3 +113,11 @@ def op9_lsa_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsa_neighbours.score(docs, labels.where(F.coalesce(fold(4) != 2, F.lit(False))))
     held_out = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
     return found.select(outer_id(), held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_deleted_interpolation")
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = distinct_documents(table(spark, sf_dir, "documents")).withColumn("fold", F.coalesce(fold(7), F.lit(0)).cast("long"))
+    out = deleted_interpolation.score(docs)
+    held_out = F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out")
+    return out.select(outer_id(), held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
