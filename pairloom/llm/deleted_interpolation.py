@@ -12,7 +12,7 @@ tasks.  All rarer contexts are the lowest bucket, which backs off to c(w).
 
 Tasks pass on packed (word, context, document) counts, dealt out by word, so that c(w) and
 c(v, w) of a word are summed in one place; a frequent word, whose c(w) is known, is dealt out
-by word and context.  Documents gather partial sums of their scores.  For the weights,
+by word and context.  Chunks of documents gather packed partial sums of their scores.  For the weights,
 (context, word) counts of the two parts are summed in the same way, and each bucket's
 probabilities in cells of a quarter of a logarithm: a bounded table for any corpus.
 
@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import Rolling, U64, blocks, byte_rows, first_of_runs, mix, packed, shuffle_partitions, unpacked, word_bounds
+from pairloom.llm.common import Rolling, U64, blocks, byte_rows, first_of_runs, mix, packed, unpacked, word_bounds
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 CONTEXTS = 1 << 16
-BLOCK, CHUNK = 1 << 18, 1 << 24
+BLOCK, CHUNK, BUCKET, PARTS = 1 << 18, 1 << 23, 1 << 25, 16
 END, START = U64(1), U64(2)
 EM_ROUNDS = 200
 
@@ -122,7 +123,7 @@ def _runs(word: np.ndarray):
 
 
 def _steps(word: np.ndarray) -> np.ndarray:
-    return np.diff(word, prepend=U64(0))
+    return np.diff(word, prepend=word.dtype.type(0))
 
 
 def _place(word, context, ctx: Contexts, buckets: int):
@@ -160,6 +161,15 @@ def _unrolled(blob: bytes) -> np.ndarray:
     return np.repeat(np.cumsum(steps, dtype=np.uint64), size)
 
 
+def _ranges(words: np.ndarray):
+    """A bucket's rows in PARTS ranges of the word's hash, so that sorting needs little room."""
+    place = (words >> U64(60)).astype(np.uint8)
+    for k in range(PARTS):
+        own = np.flatnonzero(place == k)
+        if len(own):
+            yield own
+
+
 def _by_word(word, n):
     """Sum of n over each run of equal words, at every row."""
     at = np.flatnonzero(first_of_runs(word))
@@ -168,8 +178,11 @@ def _by_word(word, n):
 
 def _cells(ctx: Contexts, total_a: int):
     def run(table: pa.Table) -> pa.Table:
-        word = np.concatenate([_unrolled(x) for x in table.column("words").to_pylist()])
-        code, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*[unpacked(x) for x in table.column("counts").to_pylist()]))
+        words = np.concatenate([_unrolled(x) for x in table.column("words").to_pylist()])
+        counts = [np.concatenate(x) for x in zip(*[unpacked(x) for x in table.column("counts").to_pylist()])]
+        return pa.concat_tables([part(words[own], *[c[own].astype(np.int64) for c in counts]) for own in _ranges(words)])
+
+    def part(word, code, a, b) -> pa.Table:
         order = np.lexsort((code, word))
         word, code, a, b = (x[order] for x in (word, code, a, b))
         at = np.flatnonzero(first_of_runs(word, code))
@@ -210,7 +223,9 @@ def learn_weights(bucket: np.ndarray, n: np.ndarray, p1: np.ndarray, p2: np.ndar
 
 def _send_events(ctx: Contexts, buckets: int):
     def run(batches):
-        for ids, fold, word, context in _chunks(batches, ["doc_id", "fold"]):
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 32
+        for chunk, (ids, fold, word, context) in enumerate(_chunks(batches, ["doc_id", "fold"]), number):
             table, doc = np.unique(ids, return_inverse=True)
             train = np.zeros(len(table), np.uint32)
             train[doc[fold != HELD_OUT]] = 1
@@ -229,9 +244,10 @@ def _send_events(ctx: Contexts, buckets: int):
                 if i < j:
                     words, size = _runs(word[i:j])
                     own, local = np.unique(doc[i:j], return_inverse=True)
-                    rows.append((k, packed(_steps(words), size), packed(code[i:j].astype(np.uint32), local.astype(np.uint32), n[i:j].astype(np.uint32)), packed(table[own], train[own].astype(np.int64))))
+                    rows.append((k, chunk, packed(_steps(words), size), packed(code[i:j].astype(np.uint32), local.astype(np.uint32), n[i:j].astype(np.uint32)), packed(table[own], train[own].astype(np.int64))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)]], ["bucket", "words", "events", "docs"]
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (2, 3, 4)]],
+                ["bucket", "chunk", "words", "events", "docs"],
             )
 
     return run
@@ -241,14 +257,23 @@ def _partial_scores(ctx: Contexts, weights: np.ndarray, total: int, types: int):
     def run(table: pa.Table) -> pa.Table:
         parts, base, ids_all, train_all = [], 0, [], []
         for words, events, docs in zip(*[table.column(c).to_pylist() for c in ("words", "events", "docs")]):
-            code, local, n = (x.astype(np.int64) for x in unpacked(events))
+            code, local, n = unpacked(events)
             ids, train = unpacked(docs)
-            parts.append((_unrolled(words), code, local + base, n))
+            parts.append((_unrolled(words), code, local + np.uint32(base), n))
             ids_all.append(ids)
             train_all.append(train)
             base += len(ids)
-        word, code, doc, n = (np.concatenate(x) for x in zip(*parts))
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        parts.clear()
         ids, train = np.concatenate(ids_all), np.concatenate(train_all)
+        cols = np.zeros((4, len(ids)))
+        for own in _ranges(columns[0]):
+            cols += part(train, columns[0][own], *[c[own].astype(np.int64) for c in columns[1:]])
+        edges = np.cumsum([0, *map(len, ids_all)])
+        blobs = [packed(_steps(ids[i:j]), *[c[i:j].astype(np.uint32) for c in cols[:2]], *[c[i:j] for c in cols[2:]]) for i, j in zip(edges[:-1], edges[1:])]
+        return pa.table({"chunk": table.column("chunk"), "sums": pa.array(blobs, pa.binary())})
+
+    def part(train, word, code, doc, n):
         order = np.lexsort((code, word))
         word, code, doc, n = (x[order] for x in (word, code, doc, n))
         learned = n * train[doc]
@@ -260,22 +285,30 @@ def _partial_scores(ctx: Contexts, weights: np.ndarray, total: int, types: int):
         of_context = (ctx.a + ctx.b)[code]
         l2, l1, l0 = weights[ctx.bucket[code]].T
         p = l2 * np.where(code > 0, of_pair / np.maximum(1, of_context), 0.0) + l1 * of_word / max(1, total) + l0 / (types + 1)
-        m = len(ids)
-        cols = [np.bincount(doc, w, minlength=m) for w in (n, n * (of_word > 0), n * np.log10((of_word + 1) / (total + types + 1)), n * np.log10(p))]
-        return pa.table({"doc_id": pa.array(ids), "n_tokens": pa.array(cols[0].astype(np.int64)), "n_known": pa.array(cols[1].astype(np.int64)), "base_score": pa.array(cols[2]), "score": pa.array(cols[3])})
+        m = len(train)
+        return np.stack([np.bincount(doc, w, minlength=m) for w in (n, n * (of_word > 0), n * np.log10((of_word + 1) / (total + types + 1)), n * np.log10(p))])
 
     return run
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """The sums of a chunk's documents over all buckets."""
+    steps, *cols = zip(*[unpacked(x) for x in table.column("sums").to_pylist()])
+    ids, doc = np.unique(np.concatenate([np.cumsum(x) for x in steps]), return_inverse=True)
+    sums = [np.bincount(doc, np.concatenate(c), minlength=len(ids)) for c in cols]
+    kinds = (np.int64, np.int64, float, float)
+    return pa.table({"doc_id": pa.array(ids), **{n: pa.array(x.astype(k)) for n, x, k in zip(("n_tokens", "n_known", "base_score", "score"), sums, kinds)}})
+
+
 def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     """docs (doc_id, text, fold), ids unique; fold HELD_OUT is not learned from.
     (doc_id, n_tokens, n_known, train_tokens, base_score, score)."""
-    buckets = shuffle_partitions(docs.sparkSession)
     size, rows, starts_a, starts_b = docs.agg(
         F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)),
         F.count(F.when(~F.col("fold").isin(HELD_OUT, DELETED), 1)), F.count(F.when(F.col("fold") == DELETED, 1)),
     ).first()
     least = max(2, size // (6 * contexts))
+    buckets = max(1, -(-size // BUCKET))
     counted = docs.mapInArrow(_words, "word long, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # at most (size / 2 + rows) / least frequent words, and a row of totals for each task
     found = counted.mapInArrow(_frequent(least), "word long, a long, b long, types long").toArrow()
@@ -291,9 +324,7 @@ def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     weights = learn_weights(cell >> 32, n, p1 / np.maximum(n, 1), p2 / np.maximum(n, 1), 1 / (types + 1), int(ctx.bucket.max()) + 1)
     if not total_a + total_b:
         weights[:] = 0, 0, 1
-    events = docs.mapInArrow(_send_events(ctx, buckets), "bucket int, words binary, events binary, docs binary")
-    parts = events.groupBy("bucket").applyInArrow(_partial_scores(ctx, weights, total_a + total_b, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return parts.groupBy("doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(total_a + total_b).cast("long").alias("train_tokens"),
-        F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-    )
+    events = docs.mapInArrow(_send_events(ctx, buckets), "bucket int, chunk long, words binary, events binary, docs binary")
+    parts = events.groupBy("bucket").applyInArrow(_partial_scores(ctx, weights, total_a + total_b, types), "chunk long, sums binary")
+    out = parts.groupBy("chunk").applyInArrow(_merged, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total_a + total_b).cast("long").alias("train_tokens"), "base_score", "score")
