@@ -213,7 +213,7 @@ def learn_weights(bucket: np.ndarray, n: np.ndarray, p1: np.ndarray, p2: np.ndar
     for _ in range(EM_ROUNDS):
         share = out[bucket] * parts
         share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-        sums = np.stack([np.bincount(bucket, share[:, k], minlength=buckets) for k in range(3)], axis=1)
+        sums = np.stack([np.bincount(bucket, share[:, k], minlength=buckets) for k in range(3)], axis=1).astype(float)
         # one unseen token a bucket keeps the uniform part above zero
         sums[:, 2] += 1e-3
         seen = np.bincount(bucket, n, minlength=buckets) > 0

@@ -66,8 +66,9 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray):
     shift = U64(CODE)
     top = row << U64(3 * CODE)
     pair = (code[:-1] << shift) | code[1:]
-    parts = [(top | code)[code != 0], (top[:-1] | (pair << shift) | U64(0x7FFF))[(code[:-1] != 0) | (code[1:] != 0)]]
-    # a pair ends on a code that no letter has; a pair across a row's end is a blank in either
+    # a pair ends on a code that no letter has, and belongs to the row of its letter
+    of_pair = np.where(code[:-1] != 0, top[:-1], top[1:])
+    parts = [(top | code)[code != 0], (of_pair | (pair << shift) | U64(0x7FFF))[(code[:-1] != 0) | (code[1:] != 0)]]
     if len(code) > 2:
         middle = code[1:-1] != 0
         parts.append((top[1:-1] | (code[:-2] << (shift + shift)) | pair[1:])[middle])
