@@ -188,7 +188,7 @@ def src_matrix_unpivot(spark, sf):
     r"""WITH t AS (SELECT doc_id, CASE doc_id%4 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no' WHEN 2 THEN '1' ELSE 'maybe' END AS lab, CASE WHEN doc_id%7=0 THEN '' ELSE source END AS name, trim(replace(text,'ß','SS'),' ') AS full_seq, CASE WHEN doc_id%3=0 THEN trim(replace(source,'ß','SS'),' ') ELSE '' END AS dom FROM documents),
  s AS (SELECT doc_id, name, CASE WHEN lower(trim(lab)) IN ('yes','1','true') THEN 1 WHEN lower(trim(lab)) IN ('no','0','false') THEN 0 END AS y, full_seq AS rna, CASE WHEN length(dom)>=10 THEN dom ELSE full_seq END AS prot FROM t),
  c AS (SELECT *, regexp_replace(replace(upper(rna),'T','U'),'[^AUGC]','','g') AS rna_c, regexp_replace(upper(prot),'[^ACDEFGHIKLMNPQRSTVWY]','','g') AS prot_c FROM s)
- SELECT doc_id, 'curated_'||lpad(substr(doc_id::VARCHAR,1,4),4,'0') AS pair_id, y AS binding_label, length(rna_c) AS rna_len, length(prot_c) AS prot_len,
+ SELECT doc_id, 'curated_'||CASE WHEN doc_id BETWEEN 0 AND 999 THEN right('000'||doc_id,4) ELSE doc_id::VARCHAR END AS pair_id, y AS binding_label, length(rna_c) AS rna_len, length(prot_c) AS prot_len,
   CASE WHEN y IS NULL THEN 'ambiguous_label' WHEN length(rna)<4 OR length(prot)<10 OR name='' THEN 'missing_sequence' WHEN length(rna_c)<4 THEN 'invalid_rna' WHEN length(prot_c)<10 THEN 'invalid_protein' END AS skip_reason FROM c""",
 )
 def src_curated(spark, sf):
