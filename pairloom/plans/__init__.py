@@ -1,5 +1,6 @@
 """Scale primitives shared by all operators."""
 
+from pairloom.plans.components import components
 from pairloom.plans.lineage import cut_lineage
 from pairloom.plans.ordering import (
     hash_order,
@@ -11,6 +12,7 @@ from pairloom.plans.ordering import (
 )
 
 __all__ = [
+    "components",
     "cut_lineage",
     "hash_order",
     "hash_rank",

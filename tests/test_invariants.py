@@ -377,3 +377,21 @@ def test_windows_reader_needs_its_columns(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("chr\tstart\nc\t1\n")
     with pytest.raises(ValueError):
         load_windows(spark, str(tmp_path / "x.tsv"))
+
+
+def test_shuffled_chain_is_one_cluster(spark):
+    names = [f"n{k:03d}" for k in np.random.default_rng(5).permutation(300)]
+    nodes = spark.createDataFrame([(n,) for n in [*names, "lonely"]], "node string")
+    links = spark.createDataFrame(list(zip(names[:-1], names[1:])) + [("lonely", "elsewhere")], "query string, target string")
+    got = {r.node: r.cluster for r in sp.connected_clusters(nodes, links).collect()}
+    assert got == {n: "n000" for n in names} | {"lonely": "lonely"}
+
+
+def test_wide_row_ids_stay_distinct(spark):
+    from pairloom.sources.readers import parse_curated
+
+    raw = spark.createDataFrame(
+        [(k, "P1", "Yes", "ACGUACGU", "MKVLAAGGKLMN") for k in (7, 12345, 12346)],
+        "row long, Protein string, `Interaction (yes/no)` string, `RNA sequence` string, `Protein Sequence` string",
+    )
+    assert {r.pair_id for r in parse_curated(raw, "row").collect()} == {"curated_0007", "curated_12345", "curated_12346"}
