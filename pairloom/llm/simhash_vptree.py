@@ -31,8 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.common import U64, blocks, byte_rows, distinct_documents, mix, outer_id
-from pairloom.llm.components import components
-from pairloom.plans import cut_lineage
+from pairloom.plans import components, cut_lineage
 
 SHINGLE, RADIUS, SEED, PARTS = 3, 3, 42, 2
 SAMPLE, LEAF, HOMES = 16_384, 4_096, 16_384

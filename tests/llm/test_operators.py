@@ -112,7 +112,7 @@ def test_tree_finds_every_link(spark):
 
 
 def test_components_of_a_chain(spark):
-    from pairloom.llm.components import components
+    from pairloom.plans import components
 
     order = np.random.default_rng(0).permutation(400).tolist()
     got = components(spark.createDataFrame(list(zip(order[:-1], order[1:])), "a long, b long")).collect()
