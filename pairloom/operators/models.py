@@ -2,8 +2,9 @@
 many small per-group fits.
 
 Per-group fits never gather a group: a group above ``SHARD_ROWS`` rows is cut in
-even shards by row hash.  Ridge adds the shards' normal equations, which is
-exact.  Logistic fits are exact for one shard and averaged by rows for more.
+even shards by row hash.  Ridge adds the shards' normal equations.  Logistic fits take
+Newton steps: a group of one shard inside its task, a larger one from the added gradients
+and curvatures of its shards.  Both give the same weights.
 """
 
 from __future__ import annotations
@@ -119,50 +120,126 @@ def word_matrix(seqs, k: int) -> np.ndarray:
     return out
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 25) -> np.ndarray:
+STEPS, SETTLED = 25, 1e-6
+
+
+def _design(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.hstack([np.ones((len(x), 1)), x / scale])
+
+
+def _slopes(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the logistic loss over some rows; both add over rows."""
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return a.T @ (p - y), (a * (p * (1 - p))[:, None]).T @ a
+
+
+def _newton(w: np.ndarray, g: np.ndarray, h: np.ndarray, l2: float) -> tuple[np.ndarray, bool]:
+    """The next weights, and whether they have settled; the intercept is hardly penalised."""
+    pen = np.full(len(w), l2)
+    pen[0] = 1e-6
+    d = np.linalg.solve(h + np.diag(pen + 1e-9), g + pen * w)
+    return w - d, bool(np.abs(d).max() < SETTLED)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = STEPS) -> np.ndarray:
     """Newton steps for ridge-penalised logistic regression; first entry is the intercept."""
     scale = x.std(0)
-    scale[scale == 0] = 1.0
-    a = np.hstack([np.ones((len(x), 1)), x / scale])
-    pen = np.full(a.shape[1], l2)
-    pen[0] = 1e-6
-    w = np.zeros(a.shape[1])
+    scale[(scale == 0) | (x.min(0) == x.max(0))] = 1.0
+    a = _design(x, scale)
+    w, settled = np.zeros(a.shape[1]), False
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + pen * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(pen + 1e-9)
-        d = np.linalg.solve(h, g)
-        w -= d
-        if np.abs(d).max() < 1e-6:
+        w, settled = _newton(w, *_slopes(a, y, w), l2)
+        if settled:
             break
     w[1:] /= scale
     return w
 
 
 def sharded(df, group, key, limit=SHARD_ROWS) -> DataFrame:
-    n = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    shards = F.ceil(F.col("_gn") / limit)
-    return df.join(n, group).withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), key), shards)).drop("_gn")
+    """Rows with _shards, how many shards of at most about ``limit`` rows the group has, and _shard."""
+    n = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / limit).alias("_shards"))
+    return df.join(n, group).withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), key), F.col("_shards")))
+
+
+def combined(parts, keys, column, how=F.sum) -> DataFrame:
+    """Arrays of equal length, combined place by place: partial results meet before the shuffle."""
+    cells = parts.select(*keys, F.posexplode(column).alias("_i", "_v")).groupBy(*keys, "_i").agg(how("_v").alias("_v"))
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_v")))
+    return cells.groupBy(*keys).agg(F.transform(ordered, lambda c: c["_v"]).alias(column))
+
+
+def _fit_shards(rows, group, seq, label, k, l2s, steps=STEPS) -> DataFrame:
+    """``logistic_fit`` of groups of any size: (group, model, weights), one job a Newton step."""
+    shard, gtype, d = [group, "_shard"], dict(rows.dtypes)[group], 4**k
+    rows = cut_lineage(rows.repartition(*shard))
+
+    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = word_matrix(pdf[seq].tolist(), k), pdf[label].to_numpy(float)
+        sums = np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)])
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "sums": [sums], "ends": [np.concatenate([x.min(0), -x.max(0)])]})
+
+    def begin(batches):
+        for pdf in batches:
+            out = []
+            for g, sums, ends in zip(pdf[group], pdf["sums"], pdf["ends"]):
+                n, ones, mean, square = sums[0], sums[1], sums[2 : 2 + d] / sums[0], sums[2 + d :] / sums[0]
+                scale = np.sqrt(np.maximum(square - mean**2, 0))
+                scale[(scale == 0) | (ends[:d] == -ends[d:])] = 1.0
+                if 0 < ones < n:
+                    out += [(g, f"l2={c:g}", float(c), np.zeros(d + 1), scale, False) for c in l2s]
+            yield pd.DataFrame(out, columns=[group, "model", "l2", "w", "scale", "settled"])
+
+    def slopes(pdf: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(models) and len(pdf):
+            x, y = word_matrix(pdf[seq].tolist(), k), pdf[label].to_numpy(float)
+            for m in models.itertuples():
+                g, h = _slopes(_design(x, m.scale), y, m.w)
+                out.append((pdf[group].iloc[0], m.model, np.concatenate([g, h.ravel()])))
+        return pd.DataFrame(out, columns=[group, "model", "slopes"])
+
+    def step(batches):
+        for pdf in batches:
+            moved = [
+                (w, True) if settled else _newton(w, s[: d + 1], s[d + 1 :].reshape(d + 1, d + 1), l2)
+                for w, settled, s, l2 in zip(pdf["w"], pdf["settled"], pdf["slopes"], pdf["l2"])
+            ]
+            yield pdf.drop(columns="slopes").assign(w=[w for w, _ in moved], settled=[done for _, done in moved])
+
+    state = f"{group} {gtype}, model string, l2 double, w array<double>, scale array<double>, settled boolean"
+    first = cut_lineage(rows.groupBy(*shard).applyInPandas(moments, f"{group} {gtype}, sums array<double>, ends array<double>"))
+    models = cut_lineage(combined(first, [group], "sums").join(combined(first, [group], "ends", F.min), group).mapInPandas(begin, state))
+    shards = cut_lineage(rows.select(F.col(group).alias("_of"), F.col("_shard").alias("_part")).distinct())
+    for _ in range(steps):
+        ask = shards.join(models.where("not settled").select(F.col(group).alias("_of"), "model", "w", "scale"), "_of")
+        parts = rows.groupBy(*shard).cogroup(ask.groupBy("_of", "_part")).applyInPandas(slopes, f"{group} {gtype}, model string, slopes array<double>")
+        moved = models.join(combined(parts, [group, "model"], "slopes"), [group, "model"], "left")
+        models = cut_lineage(moved.select(*models.columns, "slopes").mapInPandas(step, state))
+        if models.where("not settled").isEmpty():
+            break
+    unscaled = F.transform("w", lambda w, i: F.when(i == 0, w).otherwise(w / F.get("scale", i - 1)))
+    return models.select(group, "model", unscaled.alias("weights"))
 
 
 def fit_groups(train, group, key, seq="rna_sequence", label=LABEL, k=3, l2s=(1.0,), limit=SHARD_ROWS) -> DataFrame:
-    """One logistic word model per group and penalty: (group, model, weights), weights[0] the intercept."""
+    """One logistic word model per group and penalty: (group, model, weights), weights[0] the intercept.
+
+    Groups with one label only get no model.
+    """
     gtype = dict(train.dtypes)[group]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf[label].to_numpy(float)
         if y.min() == y.max():
-            return pd.DataFrame(columns=[group, "model", "n", "weights"])
+            return pd.DataFrame(columns=[group, "model", "weights"])
         x = word_matrix(pdf[seq].tolist(), k)
-        rows = [(pdf[group].iloc[0], f"l2={c:g}", len(pdf), logistic_fit(x, y, c)) for c in l2s]
-        return pd.DataFrame(rows, columns=[group, "model", "n", "weights"])
+        rows = [(pdf[group].iloc[0], f"l2={c:g}", logistic_fit(x, y, c)) for c in l2s]
+        return pd.DataFrame(rows, columns=[group, "model", "weights"])
 
-    parts = sharded(train.select(group, F.col(key).alias("_key"), seq, label), group, "_key", limit).groupBy(group, "_shard").applyInPandas(
-        fit, f"{group} {gtype}, model string, n long, weights array<double>"
-    )
-    cells = parts.select(group, "model", "n", F.posexplode("weights").alias("i", "w"))
-    avg = cells.groupBy(group, "model", "i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
-    return avg.groupBy(group, "model").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda c: c["w"]).alias("weights"))
+    rows = cut_lineage(sharded(train.select(group, F.col(key).alias("_key"), seq, label), group, "_key", limit))
+    whole = rows.where("_shards = 1").groupBy(group).applyInPandas(fit, f"{group} {gtype}, model string, weights array<double>")
+    large = rows.where("_shards > 1")
+    return whole if large.isEmpty() else whole.unionByName(_fit_shards(large, group, seq, label, k, l2s))
 
 
 def word_index(word):
@@ -252,24 +329,24 @@ def transfer_matrix(df, group, protocol, key, seq="rna_sequence", label=LABEL, k
 
 def ridge_groups(df, group, key, seq, target, k=3, alpha=1.0, limit=SHARD_ROWS) -> DataFrame:
     """Exact ridge word model per group: shards emit normal equations, one small task per group solves."""
-    gtype = dict(df.dtypes)[group]
+    gtype, size = dict(df.dtypes)[group], 4**k + 1
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.hstack([np.ones((len(pdf), 1)), word_matrix(pdf[seq].tolist(), k)])
         y = pdf[target].to_numpy(float)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "xx": [(x.T @ x).ravel()], "xy": [x.T @ y]})
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "sums": [np.concatenate([(x.T @ x).ravel(), x.T @ y])]})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = np.sum(pdf["xy"].tolist(), axis=0)
-        xx = np.sum(pdf["xx"].tolist(), axis=0).reshape(len(xy), len(xy))
-        pen = np.full(len(xy), alpha)
+        both = pdf["sums"].iloc[0]
+        xx, xy = both[: size * size].reshape(size, size), both[size * size :]
+        pen = np.full(size, alpha)
         pen[0] = 1e-9
         return pd.DataFrame({group: [pdf[group].iloc[0]], "weights": [np.linalg.solve(xx + np.diag(pen), xy)]})
 
     parts = sharded(df.select(group, F.col(key).alias("_key"), seq, target), group, "_key", limit).groupBy(group, "_shard").applyInPandas(
-        partial, f"{group} {gtype}, xx array<double>, xy array<double>"
+        partial, f"{group} {gtype}, sums array<double>"
     )
-    return parts.groupBy(group).applyInPandas(solve, f"{group} {gtype}, weights array<double>")
+    return combined(parts, [group], "sums").groupBy(group).applyInPandas(solve, f"{group} {gtype}, weights array<double>")
 
 
 def intensity_spearman(df, scores, group, key, seq, value, k=3, folds=3, min_probes=200, alpha=0.01, seed=42) -> DataFrame:
@@ -373,8 +450,8 @@ def shortcut_audit(df, proteins, key, group="protein_name", seq="rna_sequence",
     return mt.ranking(cut_lineage(_union(parts)), ["split", "features_used"], "score", label)
 
 
-def rna_audit(df, dataset, cell, unit, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, cap=10000, seed=42) -> DataFrame:
-    """Per dataset RNA-only AUROC: random rows, held-out units, cross-unit negatives, GC alone."""
+def rna_audit(df, dataset, cell, unit, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, per_own=1.0, seed=42) -> DataFrame:
+    """Per dataset RNA-only AUROC: random rows, held-out units, cross-unit negatives (``per_own`` a positive), GC alone."""
     from pairloom.operators.negatives import cross_unit
     from pairloom.operators.splits import holdout_units, stratified_rows
 
@@ -392,7 +469,7 @@ def rna_audit(df, dataset, cell, unit, key, seq="rna_sequence", label=LABEL, k=3
     gc = mt.auroc(g, dataset, "score", label).select(dataset, F.lit("gc").alias("kind"), "auroc")
     held = holdout_units(base, unit, seed=seed).withColumnRenamed("held_out", "is_test")
     t, _ = evaluate(held, "unit")
-    neg = cross_unit(base.where(F.col(label) == 1), dataset, cell, seq, cap, seed).withColumn(label, F.lit(0))
+    neg = cross_unit(base.where(F.col(label) == 1), dataset, cell, seq, per_own=per_own, seed=seed).withColumn(label, F.lit(0))
     pos = base.where(F.col(label) == 1).select(dataset, seq, F.col(label), key)
     mixed = pos.unionByName(neg.select(dataset, seq, label, F.sha2(F.concat_ws("|", dataset, seq), 256).alias(key)))
     x = stratified_rows(mixed, dataset, key, label, f_test=0.2, f_val=0.0, seed=seed).withColumn("is_test", (F.col("split") == "test").cast("int"))
@@ -400,7 +477,7 @@ def rna_audit(df, dataset, cell, unit, key, seq="rna_sequence", label=LABEL, k=3
     return _union([r, gc, t, c])
 
 
-def reverse_transfer(source, target, group, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, folds=3, seed=42) -> DataFrame:
+def reverse_transfer(source, target, group, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, folds=3, per_own=1.0, seed=42) -> DataFrame:
     """Fit on one assay (its own or cross-group negatives), test on another; prior and own CV as bounds."""
     from pairloom.operators.negatives import cross_unit
 
@@ -409,7 +486,7 @@ def reverse_transfer(source, target, group, key, seq="rna_sequence", label=LABEL
     genomic = source.select(group, key, seq, label)
     parts.append((genomic, "genomic"))
     pos = source.where(F.col(label) == 1)
-    neg = cross_unit(pos.withColumn("_all", F.lit("all")), group, "_all", seq, cap=2000, seed=seed)
+    neg = cross_unit(pos.withColumn("_all", F.lit("all")), group, "_all", seq, per_own=per_own, seed=seed)
     cross = pos.select(group, key, seq, label).unionByName(neg.select(group, F.sha2(F.concat_ws("|", group, seq), 256).alias(key), seq, F.lit(0).alias(label)))
     parts.append((cross, "cross"))
     out = []

@@ -7,6 +7,7 @@ on the data use ``hash_rank``, which spreads a hot stratum over 4096 slices.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -100,42 +101,79 @@ def spectrum_sample(df, group: str, value: str, key: str, n: int = 100) -> DataF
     )
 
 
-GC_CELLS = 1000
+def nearest_first(pos: dict, neg: dict, reach: float) -> dict:
+    """{(label, value): rows taken} when the closest free pair at most ``reach`` apart is always taken next.
+
+    pos, neg: {value: rows}.  Of the values still free the closest pair are neighbours in
+    order, so only neighbours wait in the heap.  Ties: the smaller value first.
+    """
+    taken: dict = {}
+
+    def take(a, b, k):
+        for key in ((1, a), (0, b)):
+            taken[key] = taken.get(key, 0) + k
+
+    values, free, label = [], [], []
+    for v in sorted(pos.keys() | neg.keys()):
+        p, n = pos.get(v, 0), neg.get(v, 0)
+        if min(p, n):
+            take(v, v, min(p, n))
+        if p != n:
+            values.append(v)
+            free.append(abs(p - n))
+            label.append(1 if p > n else 0)
+    before, after = list(range(-1, len(values) - 1)), list(range(1, len(values) + 1))
+    heap: list = []
+
+    def meet(i, j):
+        if 0 <= i and j < len(values) and label[i] != label[j] and values[j] - values[i] <= reach:
+            heapq.heappush(heap, (values[j] - values[i], i, j))
+
+    for i in range(len(values) - 1):
+        meet(i, i + 1)
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        if not (free[i] and free[j]):
+            continue
+        k = min(free[i], free[j])
+        a, b = (i, j) if label[i] else (j, i)
+        take(values[a], values[b], k)
+        for x in (i, j):
+            free[x] -= k
+            if not free[x]:
+                lo, hi = before[x], after[x]
+                if lo >= 0:
+                    after[lo] = hi
+                if hi < len(values):
+                    before[hi] = lo
+                meet(lo, hi)
+    return taken
 
 
 def gc_match(df, group: str, key: str, label="binding_label", seq="rna_sequence", caliper=0.02, seed=42) -> DataFrame:
     """Pair positives with the nearest-GC unused negatives of the group, 1:1.
 
-    GC is cut in 1/1000 cells, so a group of any size becomes a histogram of at
-    most 1001 cells per label.  The nearest-first matching runs on that
-    histogram; rows are then taken from each cell in seeded order.
+    A group of any size becomes a histogram of its GC values, of which there are as many as
+    fractions of letters, not of rows.  Nearest-first matching runs on that histogram and
+    holds real distances against the caliper; rows are then taken from each value in seeded order.
     """
-    cells = df.withColumn("_gc", gc_fraction(seq)).withColumn("_cell", F.round(F.col("_gc") * GC_CELLS).cast("int"))
-    hist = cells.groupBy(group, label, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    reach = max(0, int(caliper * GC_CELLS) - 1)
+    cells = df.withColumn("_gc", gc_fraction(seq))
+    hist = cells.where(F.col("_gc").isNotNull()).groupBy(group, label, "_gc").agg(F.count(F.lit(1)).alias("_n"))
+    # a difference of two fractions is off by less than this
+    reach = caliper + 1e-12
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = {lab: dict(zip(g["_cell"], g["_n"])) for lab, g in pdf.groupby(label)}
-        pos, neg = free.get(1, {}), free.get(0, {})
-        taken: dict = {}
-        for d in range(reach + 1):
-            for cell in sorted(pos):
-                for other in {cell - d, cell + d}:
-                    k = min(pos[cell], neg.get(other, 0))
-                    if k:
-                        pos[cell] -= k
-                        neg[other] -= k
-                        taken[1, cell] = taken.get((1, cell), 0) + k
-                        taken[0, other] = taken.get((0, other), 0) + k
-        rows = [(pdf[group].iloc[0], lab, c, k) for (lab, c), k in taken.items()]
-        return pd.DataFrame(rows, columns=[group, label, "_cell", "_take"])
+        free = {lab: dict(zip(g["_gc"], g["_n"])) for lab, g in pdf.groupby(label)}
+        taken = nearest_first(free.get(1, {}), free.get(0, {}), reach)
+        rows = [(pdf[group].iloc[0], lab, v, k) for (lab, v), k in taken.items()]
+        return pd.DataFrame(rows, columns=[group, label, "_gc", "_take"])
 
     gtype = dict(df.dtypes)
-    taken = hist.groupBy(group).applyInPandas(match, f"{group} {gtype[group]}, {label} {gtype[label]}, _cell int, _take long")
-    ranked = hash_rank(cells, [group, label, "_cell"], key, seed, rank="_rk")
+    taken = hist.groupBy(group).applyInPandas(match, f"{group} {gtype[group]}, {label} {gtype[label]}, _gc double, _take long")
+    ranked = hash_rank(cells, [group, label, "_gc"], key, seed, rank="_rk")
     return (
-        ranked.join(taken, [group, label, "_cell"])
+        ranked.join(taken, [group, label, "_gc"])
         .where(F.col("_rk") <= F.col("_take"))
         .withColumn("gc", F.col("_gc"))
-        .drop("_gc", "_cell", "_rk", "_take")
+        .drop("_gc", "_rk", "_take")
     )

@@ -307,6 +307,39 @@ def test_sharded_fits(spark):
         m = ml.fit_groups(df, "g", "key", k=1, limit=limit).drop("model")
         a = {r["g"]: r["auroc"] for r in rows(mt.auroc(ml.score_groups(df, m, "g", k=1), "g", "score"))}
         assert min(a.values()) > 0.9
+    one_label = df.unionByName(df.selectExpr("'x' || key AS key", "'one' AS g", "rna_sequence", "1 AS binding_label"))
+    fits = [
+        {(r["g"], r["model"]): r["weights"] for r in rows(ml.fit_groups(one_label, "g", "key", k=2, l2s=(0.5, 2.0), limit=limit))}
+        for limit in (10**9, 100)
+    ]
+    assert set(fits[0]) == set(fits[1]) == {(g, m) for g in ("hot", "b") for m in ("l2=0.5", "l2=2")}
+    assert all(np.allclose(fits[0][m], fits[1][m], rtol=0, atol=1e-6) for m in fits[0])
+
+
+def test_cross_unit_has_no_limit_of_its_own(spark):
+    data = [(f"u{i % 3}", "w", f"s{i}") for i in range(9000)] + [("u0", "w", "s1"), ("u1", "v", "s1")]
+    pos = spark.createDataFrame(data, "unit string, within string, rna_sequence string")
+    own = {}
+    for u, w, x in data:
+        own.setdefault((u, w), set()).add(x)
+    foreign = {k: set().union(*(v for j, v in own.items() if j[1] == k[1])) - v for k, v in own.items()}
+    for kw, size in (({}, lambda k: len(foreign[k])), ({"cap": 7}, lambda k: min(7, len(foreign[k]))), ({"per_own": 0.5}, lambda k: min(-(-len(own[k]) // 2), len(foreign[k])))):
+        got = {}
+        for r in rows(ng.cross_unit(pos, "unit", "within", **kw)):
+            got.setdefault((r["unit"], r["within"]), []).append(r["rna_sequence"])
+        for k in own:
+            assert len(got.get(k, [])) == len(set(got.get(k, []))) == size(k) and set(got.get(k, [])) <= foreign[k]
+
+
+def test_nearest_first_leaves_no_partner_inside_the_caliper():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        pos, neg = ({int(a) / int(b): int(c) for a, b, c in zip(rng.integers(0, 30, 12), rng.integers(30, 60, 12), rng.integers(1, 4, 12))} for _ in range(2))
+        taken = sm.nearest_first(pos, neg, 0.02)
+        left = [[v for v, n in side.items() if n > taken.get((lab, v), 0)] for lab, side in ((1, pos), (0, neg))]
+        assert all(taken[lab, v] <= (neg, pos)[lab][v] for lab, v in taken)
+        assert sum(k for (lab, _), k in taken.items() if lab) == sum(k for (lab, _), k in taken.items() if not lab)
+        assert not any(abs(a - b) <= 0.02 for a in left[0] for b in left[1])
 
 
 def test_jvm_score_equals_numpy(spark):
