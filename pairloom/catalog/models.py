@@ -119,7 +119,7 @@ def ml_label_prior(spark, sf):
 
 @reg("ml_marginals")
 def ml_marginals(spark, sf):
-    return rounded(ml.shortcut_audit(rows(spark, sf), views.proteins(spark, sf), "pair_id"), "auroc", "auprc", digits=6)
+    return rounded(ml.shortcut_audit(rows(spark, sf), views.proteins(spark, sf), "pair_id"), "auroc", "auroc_std", "auprc", digits=6)
 
 
 @reg("ml_rna_audit")

@@ -10,7 +10,7 @@ from pairloom.operators.filters import best_experiment
 from pairloom.operators.joins import flag_in
 from pairloom.operators.metrics import spearman
 from pairloom.operators.sampling import group_cap
-from pairloom.plans import ordered_prefix, quantiles, top_per_group
+from pairloom.plans import cut_lineage, ordered_prefix, quantiles, top_per_group, with_quantiles
 from pairloom.plans.ordering import null_safe
 
 LABEL = "binding_label"
@@ -218,9 +218,10 @@ def crosstab(df, a, b, values) -> DataFrame:
 
 
 def transfer_summary(t, by, value="auroc") -> DataFrame:
-    return t.groupBy(*_list(by)).agg(
-        F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), F.percentile("overlap", F.lit(0.5)).alias("overlap_median")
-    )
+    t = cut_lineage(t)
+    out = t.groupBy(*_list(by)).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    out = with_quantiles(out, t, _list(by), value, {"median": 0.5})
+    return with_quantiles(out, t, _list(by), "overlap", {"overlap_median": 0.5})
 
 
 def signal_motif_panel(df, group, signal, score, min_n=30) -> DataFrame:
@@ -237,7 +238,9 @@ def signal_motif_panel(df, group, signal, score, min_n=30) -> DataFrame:
 
 def panel_summary(panel, pooled) -> DataFrame:
     one = F.lit(1).alias("_k")
-    m = panel.agg(_n().alias("n_experiments"), F.percentile("rho", F.lit(0.5)).alias("rho_median"), F.sum((F.col("rho") > 0).cast("int")).alias("n_positive_rho"))
+    panel = cut_lineage(panel)
+    m = panel.agg(_n().alias("n_experiments"), F.sum((F.col("rho") > 0).cast("int")).alias("n_positive_rho"))
+    m = with_quantiles(m, panel, [], "rho", {"rho_median": 0.5})
     return m.select("*", one).join(pooled.select(F.col("rho").alias("rho_pooled"), F.col("n").alias("n_rows"), one), "_k").drop("_k")
 
 
@@ -271,7 +274,9 @@ def score_trend(df, score, features: dict, bins=30, group=None) -> DataFrame:
 
 
 def transfer_pivot(t, protocols, a="train_protocol", b="test_protocol", value="auroc") -> DataFrame:
-    return t.groupBy(a).pivot(b, list(protocols)).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"))
+    t = cut_lineage(t)
+    cells = with_quantiles(t.groupBy(a, b).agg(F.count(value).alias("n")), t, [a, b], value, {"median": 0.5})
+    return cells.groupBy(a).pivot(b, list(protocols)).agg(F.max("median").alias("median"), F.max("n").alias("n"))
 
 
 def transfer_with_within(t, w, key) -> DataFrame:

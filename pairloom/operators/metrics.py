@@ -3,7 +3,7 @@
 All ranking metrics start from (group, score) cells with their label counts.
 The cells are range-partitioned by (group, score), so one group, or no group at
 all, still spreads over the cluster.  Medians over *groups* use Spark's exact
-``percentile`` on the already aggregated table (one row per group).
+``with_quantiles`` on the already aggregated table (one row per group).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.sequence import au_fraction, gc_fraction
-from pairloom.plans import cut_lineage, hash_rank, ordered_prefix, quantiles, top_per_group
+from pairloom.plans import cut_lineage, hash_rank, ordered_prefix, quantiles, top_per_group, with_quantiles
 from pairloom.plans.ordering import null_safe
 
 LABEL = "binding_label"
@@ -110,12 +110,14 @@ def sorted_groups(per_group) -> DataFrame:
 def group_summary(per_group, by=None, value="auroc", flag_below=0.6) -> DataFrame:
     v = F.col(value)
     over = lambda t: F.avg((v > t).cast("double"))
-    return per_group.where(v.isNotNull()).groupBy(*_list(by)).agg(
-        F.count(F.lit(1)).alias("n_groups"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"),
+    rows = cut_lineage(per_group.where(v.isNotNull()))
+    summary = rows.groupBy(*_list(by)).agg(
+        F.count(F.lit(1)).alias("n_groups"), F.avg(value).alias("mean"),
         F.min(value).alias("min"), F.max(value).alias("max"), over(0.5).alias("share_above_05"),
         over(0.6).alias("share_above_06"), over(0.7).alias("share_above_07"),
         F.sum((v < flag_below).cast("int")).alias("n_flagged"),
     )
+    return with_quantiles(summary, rows, _list(by), value, {"median": 0.5})
 
 
 def composition_baseline(test, train, group="protein_name", key="pair_id", seq="rna_sequence", seed=42) -> DataFrame:
@@ -128,8 +130,8 @@ def composition_baseline(test, train, group="protein_name", key="pair_id", seq="
     for subset, d in (("all", t), ("gc_matched", m)):
         long = d.select(group, LABEL, F.explode(F.create_map(F.lit("gc"), "gc", F.lit("au"), "au")).alias("feature", "score"))
         whole = auroc(long, "feature", "score").select("feature", "auroc", (F.col("n_pos") + F.col("n_neg")).alias("n"))
-        med = auroc(long, ["feature", group], "score").groupBy("feature").agg(F.percentile("auroc", F.lit(0.5)).alias("group_median"))
-        parts.append(whole.join(med, "feature").withColumn("subset", F.lit(subset)))
+        by_group = cut_lineage(auroc(long, ["feature", group], "score"))
+        parts.append(with_quantiles(whole, by_group, "feature", "auroc", {"group_median": 0.5}).withColumn("subset", F.lit(subset)))
     seen = train.select(seq).distinct().withColumn("_s", F.lit(1))
     share = test.select(seq).distinct().join(seen, seq, "left").agg(F.avg(F.coalesce("_s", F.lit(0))).alias("x")).scalar()
     return _union(parts).withColumn("share_rna_in_train", share)
@@ -346,8 +348,8 @@ def shuffle_control(df, real, shuffled, group="protein_name", label=LABEL) -> Da
         group, label, F.explode(F.create_map(F.lit("real"), F.col(real).cast("double"), F.lit("shuffled"), F.col(shuffled).cast("double"))).alias("kind", "score")
     )
     whole = auroc(long, "kind", "score").select("kind", "auroc")
-    med = auroc(long, ["kind", group], "score").groupBy("kind").agg(F.percentile("auroc", F.lit(0.5)).alias("group_median"))
-    j = whole.join(med, "kind")
+    by_group = cut_lineage(auroc(long, ["kind", group], "score"))
+    j = with_quantiles(whole, by_group, "kind", "auroc", {"group_median": 0.5})
     pick = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     return j.agg(
         pick("real", "auroc").alias("auroc_real"), pick("shuffled", "auroc").alias("auroc_shuffled"),

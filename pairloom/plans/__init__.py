@@ -9,6 +9,7 @@ from pairloom.plans.ordering import (
     quantiles,
     seed_long,
     top_per_group,
+    with_quantiles,
 )
 
 __all__ = [
@@ -20,4 +21,5 @@ __all__ = [
     "quantiles",
     "seed_long",
     "top_per_group",
+    "with_quantiles",
 ]

@@ -122,6 +122,15 @@ def quantiles(df: DataFrame, group, value, probs: dict, weight: str | None = Non
     return pre.groupBy(*group).agg(*aggs).select(*group, *final)
 
 
+def with_quantiles(summary: DataFrame, df: DataFrame, group, value, probs: dict) -> DataFrame:
+    """``summary`` (one row a group) with the exact quantiles of df beside it; null without values."""
+    group = _names(group)
+    q = quantiles(df, group, value, probs)
+    if group:
+        return null_safe(summary, q, group, "left")
+    return summary.select("*", *[q.select(name).scalar().alias(name) for name in probs])
+
+
 def top_per_group(df: DataFrame, group, order, n: int, rank="rk") -> DataFrame:
     """First n rows per group.
 
