@@ -428,3 +428,16 @@ def test_wide_row_ids_stay_distinct(spark):
         "row long, Protein string, `Interaction (yes/no)` string, `RNA sequence` string, `Protein Sequence` string",
     )
     assert {r.pair_id for r in parse_curated(raw, "row").collect()} == {"curated_0007", "curated_12345", "curated_12346"}
+
+
+def test_summaries_have_exact_medians(spark):
+    from pairloom.operators import aggregates as ag
+
+    panel = spark.createDataFrame([(i, x) for i, x in enumerate([0.3, -0.1, 0.5, 0.2, None])], "unit int, rho double")
+    pooled = spark.createDataFrame([(0.25, 90)], "rho double, n long")
+    r = rows(ag.panel_summary(panel, pooled))
+    assert len(r) == 1 and abs(r[0]["rho_median"] - 0.25) < 1e-12
+    assert (r[0]["n_experiments"], r[0]["n_positive_rho"], r[0]["n_rows"]) == (5, 3, 90)
+    t = spark.createDataFrame([("a", 0.1, 1.0), ("a", 0.4, None), (None, 0.5, 2.0), ("z", None, None)], "k string, auroc double, overlap double")
+    got = {r["k"]: (r["n"], r["median"], r["overlap_median"]) for r in rows(ag.transfer_summary(t, "k"))}
+    assert got == {"a": (2, 0.25, 1.0), None: (1, 0.5, 2.0), "z": (0, None, None)}
