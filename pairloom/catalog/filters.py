@@ -94,6 +94,17 @@ def flt_eval_subsets(spark, sf):
     return fl.eval_subsets(p.where("split = 'test'"), p.where("split = 'train'"), "pair_id", "experiment_id")
 
 
+@reg(
+    "flt_eval_subsets_seen",
+    sql("pairs", """WITH tr AS (SELECT * FROM pairs WHERE split='train')
+ SELECT * FROM (SELECT unnest(['full', CASE WHEN rna_sequence NOT IN (SELECT rna_sequence FROM tr) THEN 'rna_unseen' END, CASE WHEN experiment_id NOT IN (SELECT experiment_id FROM tr) THEN 'protein_unseen' END]) AS subset,
+   pair_id, experiment_id, binding_label FROM pairs WHERE split='test') WHERE subset IS NOT NULL"""),
+)
+def flt_eval_subsets_seen(spark, sf):
+    """The subsets that need no draw."""
+    return flt_eval_subsets(spark, sf).where("subset <> 'gc_matched'")
+
+
 @reg(
     "ddp_keys",
     sql("pairs", "SELECT protein_name, rna_sequence, binding_label, min(pair_id) AS pair_id, count(*) - 1 AS removed FROM pairs GROUP BY ALL"),

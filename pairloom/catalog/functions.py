@@ -183,12 +183,12 @@ def fn_kmer_multi(spark, sf):
 
 @reg(
     "fn_conjoint_triad",
-    sql("proteins", """WITH t AS (SELECT protein_name, translate(regexp_replace(protein_sequence,'[^AGVILFPYMTSHNQWRKDEC]','A','g'),'AGVILFPYMTSHNQWRKDEC','00011112222333344556') AS s FROM proteins),
+    sql("document_proteins", """WITH t AS (SELECT protein_name, translate(regexp_replace(protein_sequence,'[^AGVILFPYMTSHNQWRKDEC]','A','g'),'AGVILFPYMTSHNQWRKDEC','00011112222333344556') AS s FROM document_proteins),
  k AS (SELECT protein_name, unnest([substr(s,i,3) for i in range(1,length(s)-1)]) AS triad FROM t)
  SELECT protein_name, triad, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY protein_name),9) AS freq FROM k GROUP BY protein_name, triad"""),
 )
 def fn_conjoint_triad(spark, sf):
-    p = views.proteins(spark, sf).select("protein_name", fn.triad_letters("protein_sequence").alias("s"))
+    p = views.document_proteins(spark, sf).select("protein_name", fn.triad_letters("protein_sequence").alias("s"))
     f = km.kmer_freq(p, "protein_name", "s", [3], "0123456")
     return f.select("protein_name", F.col("kmer").alias("triad"), rd("freq").alias("freq"))
 
@@ -311,32 +311,19 @@ def fn_parse_kd(spark, sf):
 
 @reg(
     "fn_intervals",
-    sql("proteins", """, p AS (SELECT p_partkey, source_name, p_size AS a, p_size + 30 AS b, floor(p_retailprice)::INT AS c, floor(p_retailprice)::INT + 50 AS d FROM (SELECT *, 'src' || (p_partkey % 20) AS source_name FROM part)),
- j AS (SELECT p.*, q.protein_sequence AS s, length(q.protein_sequence) AS n FROM p JOIN proteins q ON q.protein_name = p.source_name)
- SELECT p_partkey, (CASE WHEN a>0 THEN a||'-'||b||';' ELSE '' END)||c||'-'||d AS spans, CASE WHEN d<=n AND c<=n THEN 1 ELSE 0 END AS fit,
+    sql("document_proteins", """WITH j AS (SELECT protein_name, no%50 AS a, no%50+30 AS b, no%1000+900 AS c, no%1000+950 AS d, protein_sequence AS s, length(protein_sequence) AS n
+   FROM (SELECT *, regexp_extract(protein_name,'d([0-9]+)$',1)::BIGINT AS no FROM document_proteins))
+ SELECT protein_name, (CASE WHEN a>0 THEN a||'-'||b||';' ELSE '' END)||c||'-'||d AS spans, CASE WHEN d<=n AND (a=0 OR b<=n) THEN 1 ELSE 0 END AS fit,
    (CASE WHEN a>0 THEN (a+5)||'-'||(b+5)||';' ELSE '' END)||(c+5)||'-'||(d+5) AS shifted,
-   md5(array_to_string([CASE WHEN (i BETWEEN a AND b AND a>0) OR i BETWEEN c AND d THEN substr(s,i,1) ELSE 'X' END for i in range(1,n+1)],'')) AS masked FROM j""".replace(", p AS", "WITH p AS", 1)),
+   md5(array_to_string([CASE WHEN (i BETWEEN a AND b AND a>0) OR i BETWEEN c AND d THEN substr(s,i,1) ELSE 'X' END for i in range(1,n+1)],'')) AS masked FROM j"""),
 )
 def fn_intervals(spark, sf):
-    p = views.table(spark, sf, "part").select(
-        "p_partkey",
-        F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("protein_name"),
-        F.concat_ws(
-            ";",
-            *[
-                c.cast("string")
-                for c in (
-                    F.col("p_size"),
-                    F.col("p_size") + 30,
-                    F.floor("p_retailprice").cast("int"),
-                    F.floor("p_retailprice").cast("int") + 50,
-                )
-            ],
-        ).alias("raw"),
-    )
-    j = p.join(views.proteins(spark, sf), "protein_name").withColumn("iv", fn.parse_intervals("raw"))
+    no = views.document_number()
+    ends = (no % 50, no % 50 + 30, no % 1000 + 900, no % 1000 + 950)
+    raw = F.concat_ws(";", *[c.cast("string") for c in ends])
+    j = views.document_proteins(spark, sf).withColumn("iv", fn.parse_intervals(raw))
     return j.select(
-        "p_partkey",
+        "protein_name",
         fn.intervals_text("iv").alias("spans"),
         fn.intervals_fit("iv", F.length("protein_sequence")).cast("int").alias("fit"),
         fn.intervals_text(fn.shift_intervals("iv", 5)).alias("shifted"),
@@ -445,11 +432,11 @@ def fn_seed(spark, sf):
 
 @reg(
     "fn_variant_key",
-    sql("proteins", "SELECT protein_name, length(protein_name || '||' || regexp_replace(protein_sequence,'[^ACDEFGHIKLMNPQRSTVWY]','','g')) AS n, md5(protein_name || '||' || regexp_replace(protein_sequence,'[^ACDEFGHIKLMNPQRSTVWY]','','g')) AS h FROM proteins"),
+    sql("document_proteins", "SELECT protein_name, length(protein_name || '||' || regexp_replace(protein_sequence,'[^ACDEFGHIKLMNPQRSTVWY]','','g')) AS n, md5(protein_name || '||' || regexp_replace(protein_sequence,'[^ACDEFGHIKLMNPQRSTVWY]','','g')) AS h FROM document_proteins"),
 )
 def fn_variant_key(spark, sf):
     v = fn.variant_key("protein_name", "protein_sequence")
-    return views.proteins(spark, sf).select("protein_name", F.length(v).alias("n"), F.md5(v).alias("h"))
+    return views.document_proteins(spark, sf).select("protein_name", F.length(v).alias("n"), F.md5(v).alias("h"))
 
 
 @reg(

@@ -174,7 +174,7 @@ def jn_cosine(spark, sf):
 
 def constructs(spark, sf):
     """Construct rows cut from the protein sequences: shorter, equal, reversed, repeated."""
-    p = views.proteins(spark, sf).withColumn("no", F.regexp_extract("protein_name", "([0-9]+)", 1).cast("int"))
+    p = views.document_proteins(spark, sf).withColumn("no", views.document_number())
     s, n = F.col("protein_sequence"), F.length("protein_sequence")
     rows = F.array(
         *[
@@ -193,23 +193,23 @@ def constructs(spark, sf):
     parts = F.array(*[F.lit(a) for a in ARCH])
     return x.select(
         F.concat("protein_name", F.lit("-construct"), F.col("r.i").cast("string")).alias("native"),
-        F.element_at(parts, (F.col("no") + F.col("r.i")) % 7 + 1).alias("architecture"),
+        F.element_at(parts, ((F.col("no") + F.col("r.i")) % 7 + 1).cast("int")).alias("architecture"),
         "r.construct_seq", "r.species", "r.boundaries", "r.z",
     )
 
 
-CONS_SQL = f"""WITH pn AS (SELECT protein_name, regexp_extract(protein_name,'([0-9]+)',1)::INT AS no, protein_sequence AS s FROM proteins),
- cr AS (SELECT protein_name, no, 0 AS i, substr(s,11,length(s)-20) AS c, 1 AS human, 1 AS fit, 2.5 AS z, '5-20;22-30' AS iv FROM pn WHERE no%5<>0 UNION ALL SELECT protein_name, no, 1, s, 0, 1, 3.0, '3-9' FROM pn WHERE no%2=0
-   UNION ALL SELECT protein_name, no, 2, reverse(s), 1, 1, 9.0, '1-4' FROM pn WHERE no%3=0 UNION ALL SELECT protein_name, no, 3, s||'ACDEF', 1, 0, 1.0, '9000000-9000001' FROM pn WHERE no%10=5),
- ca AS (SELECT cr.*, {ARCH_SQL}[(cr.no+cr.i)%7+1] AS arch, s, CASE WHEN s=c THEN 0 WHEN instr(s,c)>0 THEN 1 WHEN instr(c,s)>0 THEN 2 ELSE 3 END AS tier FROM cr JOIN pn USING (protein_name)),
+CONS_SQL = f"""WITH pn AS (SELECT protein_name, regexp_extract(protein_name,'d([0-9]+)$',1)::BIGINT AS no, protein_sequence AS s FROM document_proteins),
+ cr AS (SELECT protein_name, no, 0 AS i, substr(s,11,length(s)-20) AS c, 1 AS human, 30 AS last, 2.5 AS z, '5-20;22-30' AS iv FROM pn WHERE no%5<>0 UNION ALL SELECT protein_name, no, 1, s, 0, 9, 3.0, '3-9' FROM pn WHERE no%2=0
+   UNION ALL SELECT protein_name, no, 2, reverse(s), 1, 4, 9.0, '1-4' FROM pn WHERE no%3=0 UNION ALL SELECT protein_name, no, 3, s||'ACDEF', 1, 9000001, 1.0, '9000000-9000001' FROM pn WHERE no%10=5),
+ ca AS (SELECT cr.*, CASE WHEN last<=length(c) THEN 1 ELSE 0 END AS fit, {ARCH_SQL}[(cr.no+cr.i)%7+1] AS arch, s, CASE WHEN s=c THEN 0 WHEN instr(s,c)>0 THEN 1 WHEN instr(c,s)>0 THEN 2 ELSE 3 END AS tier FROM cr JOIN pn USING (protein_name)),
  best AS (SELECT *, count(*) OVER (PARTITION BY protein_name) AS n_candidates FROM ca QUALIFY row_number() OVER (PARTITION BY protein_name ORDER BY tier, -human, -fit, -z, i)=1),
  al AS (SELECT pn.protein_name, pn.s, coalesce(['exact','construct_in_train','train_in_construct','disjoint'][tier+1],'no_s1') AS relation, CASE tier WHEN 0 THEN 0 WHEN 1 THEN instr(pn.s,c)-1 ELSE -1 END AS off, c, arch, coalesce(fit,0) AS fit, iv,
    CASE WHEN tier IN (0,1) AND fit=1 THEN 1 ELSE 0 END AS safe, coalesce(n_candidates,0) AS n_candidates FROM pn LEFT JOIN best USING (protein_name))"""
 
 
-@reg("jn_construct_align", sql("proteins", CONS_SQL + " SELECT protein_name, relation, off::BIGINT AS off, coalesce(length(c),0) AS construct_len, fit, safe AS safe_train_mask, n_candidates FROM al"))
+@reg("jn_construct_align", sql("document_proteins", CONS_SQL + " SELECT protein_name, relation, off::BIGINT AS off, coalesce(length(c),0) AS construct_len, fit, safe AS safe_train_mask, n_candidates FROM al"))
 def jn_construct_align(spark, sf):
-    a = jn.align_constructs(views.proteins(spark, sf), jn.prepare_constructs(constructs(spark, sf)))
+    a = jn.align_constructs(views.document_proteins(spark, sf), jn.prepare_constructs(constructs(spark, sf)))
     return a.select(
         "protein_name", "relation", F.col("offset").cast("long").alias("off"), F.length("construct_seq").alias("construct_len"),
         F.col("fit").cast("int").alias("fit"), F.col("safe_train_mask").cast("int").alias("safe_train_mask"), "n_candidates",
@@ -222,18 +222,18 @@ MODES = [("full_length", "length_reducing_substring"), ("construct_replace", "le
 
 @reg(
     "jn_construct_apply",
-    sql("proteins", CONS_SQL + """, md AS (SELECT unnest(['full_length|length_reducing_substring','construct_replace|length_reducing_substring','construct_replace|aligned_any','construct_domain_mask|length_reducing_substring','train_domain_mask|length_reducing_substring']) AS mode),
+    sql("document_proteins", CONS_SQL + """, md AS (SELECT unnest(['full_length|length_reducing_substring','construct_replace|length_reducing_substring','construct_replace|aligned_any','construct_domain_mask|length_reducing_substring','train_domain_mask|length_reducing_substring']) AS mode),
  st AS (SELECT md.mode, al.*, CASE
    WHEN mode LIKE 'full%' THEN 'full_length'
    WHEN mode LIKE 'train%' THEN CASE WHEN relation='no_s1' THEN 'fallback_no_s1' WHEN safe=0 THEN 'fallback_unsafe_train_mask' ELSE 'train_domain_mask:'||relation END
    WHEN relation='no_s1' THEN 'noop_no_s1'
    WHEN mode='construct_replace|aligned_any' THEN CASE WHEN relation='disjoint' THEN 'fallback_unaligned' ELSE 'construct_replace:'||relation END
    WHEN relation='exact' THEN 'noop_exact_already_construct' WHEN relation='train_in_construct' THEN 'noop_would_lengthen' WHEN relation='disjoint' THEN 'noop_disjoint'
-   WHEN mode LIKE 'construct_replace%' THEN 'construct_replace:length_reducing_substring' ELSE 'construct_domain_mask:length_reducing_substring' END AS status FROM al, md)
+   WHEN mode LIKE 'construct_replace%' THEN 'construct_replace:length_reducing_substring' WHEN fit=0 THEN 'construct_replace_no_intervals' ELSE 'construct_domain_mask:length_reducing_substring' END AS status FROM al, md)
  SELECT mode, protein_name, status, CASE WHEN status LIKE 'construct%' THEN length(c) ELSE length(s) END AS model_len FROM st"""),
 )
 def jn_construct_apply(spark, sf):
-    a = jn.align_constructs(views.proteins(spark, sf), jn.prepare_constructs(constructs(spark, sf)))
+    a = jn.align_constructs(views.document_proteins(spark, sf), jn.prepare_constructs(constructs(spark, sf)))
     parts = [
         jn.apply_construct(a, m, p).select(F.lit(f"{m}|{p}").alias("mode"), "protein_name", "status", F.length("model_seq").alias("model_len"))
         for m, p in MODES
@@ -246,16 +246,16 @@ def jn_construct_apply(spark, sf):
 
 @reg(
     "jn_domain_labels",
-    sql("proteins", CONS_SQL + """, tb AS (SELECT upper(protein_name) AS protein_key, CASE WHEN no%4=0 THEN 'unknown' ELSE 'KH' END AS cls FROM pn),
+    sql("document_proteins", CONS_SQL + """, tb AS (SELECT upper(protein_name) AS protein_key, CASE WHEN no%4=0 THEN 'unknown' ELSE 'KH' END AS cls FROM pn),
  cl AS (SELECT protein_name, upper(protein_name) AS protein_key, CASE arch WHEN 'RRM1' THEN 'RRM' WHEN 'KH_dom' THEN 'KH' WHEN 'pumilio' THEN 'PUM' WHEN 'zf-ccch' THEN 'CCCH' WHEN 'SAM' THEN 'SAM' WHEN 'zinc knuckle' THEN 'ZF' ELSE 'unknown' END AS a FROM al),
  lb AS (SELECT protein_name, CASE WHEN a<>'unknown' THEN a WHEN cls<>'unknown' THEN cls ELSE 'unknown' END AS domain_class, CASE WHEN a<>'unknown' THEN 'alignment_qc' WHEN cls<>'unknown' THEN 'domains_table' ELSE 'unknown' END AS label_source FROM cl LEFT JOIN tb USING (protein_key)),
  r1 AS (SELECT protein_name, row_number() OVER (ORDER BY sha256('42|to|'||protein_name)) AS rk FROM lb), r2 AS (SELECT domain_class AS permuted, row_number() OVER (ORDER BY sha256('42|'||protein_name)) AS rk FROM lb)
  SELECT lb.*, permuted FROM lb JOIN r1 USING (protein_name) JOIN r2 USING (rk)"""),
 )
 def jn_domain_labels(spark, sf):
-    a = jn.align_constructs(views.proteins(spark, sf), jn.prepare_constructs(constructs(spark, sf)))
-    no = F.regexp_extract("protein_name", "([0-9]+)", 1).cast("int")
-    table = views.proteins(spark, sf).select(
+    a = jn.align_constructs(views.document_proteins(spark, sf), jn.prepare_constructs(constructs(spark, sf)))
+    no = views.document_number()
+    table = views.document_proteins(spark, sf).select(
         F.upper("protein_name").alias("protein_key"), F.when(no % 4 == 0, "unknown").otherwise("KH").alias("domain_class")
     )
     labels = jn.domain_labels(a, table).join(a.select("variant_id", "protein_name"), "variant_id").drop("variant_id")
@@ -316,7 +316,7 @@ def jn_motif_concordance(spark, sf):
 
 @reg(
     "jn_motif_transfer",
-    sql("pairs", CONC + """, tr AS (SELECT a.protein_name, a.protocol AS train_protocol, b.protocol AS test_protocol, len(list_intersect(a.w,b.w))/20.0::DOUBLE AS auroc FROM l a JOIN l b ON a.protein_name=b.protein_name AND a.protocol<>b.protocol WHERE a.protocol<>'de'),
+    sql("pairs", CONC + """, tr AS (SELECT a.protein_name, a.protocol AS train_protocol, b.protocol AS test_protocol, len(list_intersect(a.w,b.w))/20.0::DOUBLE AS auroc FROM l a JOIN l b ON a.protein_name=b.protein_name AND a.protocol<>b.protocol),
  tg AS (SELECT protein_name, least(train_protocol,test_protocol) AS protocol_a, greatest(train_protocol,test_protocol) AS protocol_b, avg(auroc) AS m, count(*) AS n FROM tr GROUP BY ALL)
  SELECT protein_name, protocol_a, protocol_b, round(jaccard,9) AS jaccard, round(m,9) AS mean_transfer_auroc, coalesce(n,0) AS n_transfer_dirs FROM conc LEFT JOIN tg USING (protein_name, protocol_a, protocol_b)"""),
 )
@@ -324,7 +324,7 @@ def jn_motif_transfer(spark, sf):
     l = top_lists(spark, sf).groupBy("protein_name", "protocol").agg(F.collect_set("kmer").alias("w"))
     a = l.select("protein_name", F.col("protocol").alias("train_protocol"), F.col("w").alias("wa"))
     b = l.select("protein_name", F.col("protocol").alias("test_protocol"), F.col("w").alias("wb"))
-    t = a.join(b, "protein_name").where("train_protocol <> test_protocol AND train_protocol <> 'de'")
+    t = a.join(b, "protein_name").where("train_protocol <> test_protocol")
     t = t.select("protein_name", "train_protocol", "test_protocol", (F.size(F.array_intersect("wa", "wb")) / 20.0).alias("auroc"))
     c = jn.motif_vs_transfer(_concordance(spark, sf), t, key="protein_name")
     return c.select("protein_name", "protocol_a", "protocol_b", rd("jaccard").alias("jaccard"), rd("mean_transfer_auroc").alias("mean_transfer_auroc"), "n_transfer_dirs")

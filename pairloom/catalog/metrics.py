@@ -94,6 +94,19 @@ def met_composition(spark, sf):
     return rounded(c, "auroc", "group_median", "share_rna_in_train")
 
 
+@reg(
+    "met_composition_all",
+    sql("pairs", """WITH te AS (SELECT *, length(rna_sequence) AS n, length(translate(rna_sequence,'GC','')) AS au FROM pairs WHERE split='test'),
+ lg AS (SELECT experiment_id, binding_label, 'gc' AS feature, (n-au)/n AS s FROM te UNION ALL SELECT experiment_id, binding_label, 'au', au/n FROM te),
+ """ + auc_sql("w", "lg", "feature", "s") + ", " + auc_sql("g", "lg", "feature, experiment_id", "s") + """, md AS (SELECT feature, quantile_cont(auroc,0.5) AS gm FROM g WHERE auroc IS NOT NULL GROUP BY 1),
+ sh AS (SELECT avg(CASE WHEN rna_sequence IN (SELECT rna_sequence FROM pairs WHERE split='train') THEN 1 ELSE 0 END) AS x FROM (SELECT DISTINCT rna_sequence FROM te))
+ SELECT 'all' AS subset, feature, round(auroc,9) AS auroc, n_pos+n_neg AS n, round(gm,9) AS group_median, round((SELECT x FROM sh),9) AS share_rna_in_train FROM w LEFT JOIN md USING (feature)"""),
+)
+def met_composition_all(spark, sf):
+    """The rows before matching; the matched ones are drawn and have no SQL."""
+    return met_composition(spark, sf).where("subset = 'all'")
+
+
 CALIB = """WITH e AS (SELECT protein_name, list_distinct([quantile_cont(score_a, 1/15.0::DOUBLE),""" + ",".join(f"quantile_cont(score_a,{i}/15.0::DOUBLE)" for i in range(2, 15)) + """]) AS edges FROM scores GROUP BY 1),
  b AS (SELECT s.*, len([x for x in edges if x < score_a]) AS bin FROM scores s JOIN e USING (protein_name)), g AS (SELECT protein_name, bin, count(*) AS n, avg(score_a) AS mean_predicted, avg(binding_label) AS observed_rate FROM b GROUP BY 1,2)"""
 
@@ -137,7 +150,7 @@ def boot_auc(name, rows, group):
  {name} AS (SELECT {group}, sum(p*(nb+n/2))/nullif(sum(p)*sum(n),0) AS auroc FROM {name}_w GROUP BY {group})"""
 
 
-N_BOOT = 20
+N_BOOT = 200
 
 
 @reg(
@@ -171,14 +184,14 @@ def met_bootstrap_delta(spark, sf):
 
 @reg(
     "met_bootstrap_stat",
-    sql("scores", "WITH un AS (SELECT protein_name, avg(score_a) AS v FROM scores GROUP BY 1), " + draws_sql("un", "protein_name", 50) + """,
+    sql("scores", "WITH un AS (SELECT protein_name, avg(score_a) AS v FROM scores GROUP BY 1), " + draws_sql("un", "protein_name", N_BOOT) + """,
  ex AS (SELECT replicate, unnest([v for i in range(0,m)]) AS v FROM mu JOIN un USING (protein_name)), st AS (SELECT replicate, quantile_cont(v,0.5) AS md, avg(v) AS mn FROM ex GROUP BY 1)
  SELECT 'median' AS kind, (SELECT round(quantile_cont(v,0.5),9) FROM un) AS point, (SELECT count(*) FROM un) AS n, round(quantile_cont(md,0.025),9) AS stat_lo, round(quantile_cont(md,0.975),9) AS stat_hi, count(*) AS n_replicates FROM st
  UNION ALL SELECT 'mean', (SELECT round(avg(v),9) FROM un), (SELECT count(*) FROM un), round(quantile_cont(mn,0.025),9), round(quantile_cont(mn,0.975),9), count(*) FROM st"""),
 )
 def met_bootstrap_stat(spark, sf):
     u = views.scores(spark, sf).groupBy("protein_name").agg(F.avg("score_a").alias("v"))
-    parts = [bt.bootstrap_stat(u, "protein_name", "v", k, n_boot=50).withColumn("kind", F.lit(k)) for k in ("median", "mean")]
+    parts = [bt.bootstrap_stat(u, "protein_name", "v", k, n_boot=N_BOOT).withColumn("kind", F.lit(k)) for k in ("median", "mean")]
     return rounded(parts[0].unionByName(parts[1]), "point", "stat_lo", "stat_hi")
 
 
@@ -267,7 +280,7 @@ SIMBIN = "CASE WHEN x<=0 THEN 'no_hit' WHEN x<0.3 THEN '<30%' WHEN x<0.5 THEN '3
     "met_similarity_curve",
     sql("pairs", PAIRTAB.replace("round(corr(a.v,b.v),9) AS y", "corr(a.v,b.v) AS y") + f""", lg AS (SELECT {SIMBIN} AS identity_bin, a||'|'||b AS pair_id, y, unnest(['all', CASE same_family WHEN 1 THEN 'same_family' ELSE 'different_family' END]) AS subset FROM pt),
  ix AS (SELECT *, row_number() OVER (PARTITION BY subset, identity_bin ORDER BY pair_id)-1 AS idx, count(*) OVER (PARTITION BY subset, identity_bin) AS n FROM lg),
- dr AS (SELECT subset, identity_bin, b AS replicate, ('0x'||substr(sha256('42|'||b||'|'||idx),1,8))::BIGINT % n AS idx FROM ix, range(0,20) r(b)),
+ dr AS (SELECT subset, identity_bin, b AS replicate, ('0x'||substr(sha256('42|'||b||'|'||idx),1,8))::BIGINT % n AS idx FROM ix, range(0,{N_BOOT}) r(b)),
  st AS (SELECT dr.subset, dr.identity_bin, replicate, quantile_cont(y,0.5) AS m FROM dr JOIN ix USING (subset, identity_bin, idx) GROUP BY 1,2,3), po AS (SELECT subset, identity_bin, quantile_cont(y,0.5) AS point, count(*) AS n FROM lg GROUP BY 1,2)
  SELECT subset, identity_bin, n, round(any_value(point),9) AS point, round(quantile_cont(m,0.025),9) AS stat_lo, round(quantile_cont(m,0.975),9) AS stat_hi FROM po JOIN st USING (subset, identity_bin) GROUP BY subset, identity_bin, n"""),
 )
@@ -275,26 +288,26 @@ def met_similarity_curve(spark, sf):
     from pairloom.functions import identity_bin
 
     p = pair_table(spark, sf, digits=None).withColumns({"identity_bin": identity_bin("x"), "pair_id": F.concat_ws("|", "a", "b")})
-    c = bt.similarity_curve(p, value="y", n_boot=20)
+    c = bt.similarity_curve(p, value="y", n_boot=N_BOOT)
     return rounded(c.drop("n_replicates"), "point", "stat_lo", "stat_hi")
 
 
 @reg(
     "met_mantel",
     sql("pairs", PAIRTAB + """, nd AS (SELECT a AS node FROM pt UNION SELECT b FROM pt), ix AS (SELECT node, row_number() OVER (ORDER BY node)-1 AS idx FROM nd),
- pm AS (SELECT b AS replicate, node, row_number() OVER (PARTITION BY b ORDER BY sha256('42|'||node), node)-1 AS idx FROM nd, range(1,10) r(b) UNION ALL SELECT 0, node, idx FROM ix),
+ pm AS (SELECT b AS replicate, node, row_number() OVER (PARTITION BY b ORDER BY sha256('42|'||node), node)-1 AS idx FROM nd, range(1,200) r(b) UNION ALL SELECT 0, node, idx FROM ix),
  pn AS (SELECT replicate, pm.node, ix.node AS dst FROM pm JOIN ix USING (idx)),
  mv AS (SELECT u.replicate, least(u.dst,v.dst) AS a, greatest(u.dst,v.dst) AS b, y FROM pt JOIN pn u ON u.node=pt.a JOIN pn v ON v.node=pt.b AND v.replicate=u.replicate),
  jj AS (SELECT mv.replicate, pt.x, mv.y FROM mv JOIN pt USING (a,b)), """ + spearman_sql("s", "jj", "replicate", "x", "y", 3) + """
  SELECT round((SELECT rho FROM s WHERE replicate=0),9) AS rho, round((sum(CASE WHEN abs(rho)>=abs((SELECT rho FROM s WHERE replicate=0))-1e-12 THEN 1 ELSE 0 END)+1)/(count(*)+1),9) AS p_value, count(*) AS n_perm FROM s WHERE replicate>0"""),
 )
 def met_mantel(spark, sf):
-    return rounded(bt.mantel(pair_table(spark, sf), n_perm=9), "rho", "p_value")
+    return rounded(bt.mantel(pair_table(spark, sf), n_perm=199), "rho", "p_value")
 
 
 @reg(
     "met_node_bootstrap",
-    sql("pairs", PAIRTAB + ", nd AS (SELECT a AS node FROM pt UNION SELECT b FROM pt), " + draws_sql("nd", "node", 8) + """,
+    sql("pairs", PAIRTAB + ", nd AS (SELECT a AS node FROM pt UNION SELECT b FROM pt), " + draws_sql("nd", "node", N_BOOT) + """,
  lg AS (SELECT 'fine' AS layer, a, b, x, y FROM pt UNION ALL SELECT 'family', a, b, same_family::DOUBLE, y FROM pt),
  ex AS (SELECT layer, u.replicate, x, y, unnest(range(0, u.m*v.m)) AS z FROM lg JOIN mu u ON u.node=lg.a JOIN mu v ON v.node=lg.b AND v.replicate=u.replicate),
  """ + spearman_sql("s", "ex", "layer, replicate", "x", "y", 3) + """, df AS (SELECT s.layer, s.rho, s.rho-f.rho AS diff FROM s JOIN s f ON f.replicate=s.replicate AND f.layer='family')
@@ -305,22 +318,38 @@ def met_node_bootstrap(spark, sf):
     long = p.select("a", "b", "x", "y", F.lit("fine").alias("layer")).unionByName(
         p.select("a", "b", F.col("same_family").cast("double").alias("x"), "y", F.lit("family").alias("layer"))
     )
-    return rounded(bt.node_bootstrap(long, 8, ref="family"), "rho_mean", "rho_lo", "rho_hi", "diff_lo", "diff_hi")
+    return rounded(bt.node_bootstrap(long, N_BOOT, ref="family"), "rho_mean", "rho_lo", "rho_hi", "diff_lo", "diff_hi")
+
+
+@reg(
+    "met_nearest_neighbour",
+    sql("pairs", PAIRTAB + """, bo AS (SELECT a AS q, b AS t, x, y FROM pt UNION ALL SELECT b, a, x, y FROM pt), nx AS (SELECT q, y AS by_x FROM bo QUALIFY row_number() OVER (PARTITION BY q ORDER BY x DESC, t DESC)=1),
+ g AS (SELECT q, max(y) AS o, avg(y) AS r FROM bo GROUP BY 1) SELECT round(quantile_cont(by_x,0.5),9) AS by_x, round(quantile_cont(o,0.5),9) AS oracle, round(quantile_cont(r,0.5),9) AS random, count(*) AS n_nodes FROM g JOIN nx USING (q)"""),
+)
+def met_nearest_neighbour(spark, sf):
+    return rounded(bt.nearest_vs_oracle(pair_table(spark, sf), sims=("x",), value="y"), "by_x", "oracle", "random")
 
 
 @reg("met_decision", sql("scores", "WITH " + auc_sql("m", "scores", "family, protein_name", "score_a") + ", " + auc_sql("f", "scores", "family", "score_a") + """, md AS (SELECT family, quantile_cont(auroc,0.5) AS gm FROM m GROUP BY 1),
- j AS (SELECT family, auroc+0.12::DOUBLE AS a, gm+0.16::DOUBLE AS g FROM f JOIN md USING (family)) SELECT family, round(a,9) AS auroc, round(g,9) AS group_median, CASE WHEN a>=0.7 AND g>=0.65 THEN 'PASS' WHEN a>=0.6 THEN 'WARN' ELSE 'FAIL' END AS status FROM j"""))
+ j AS (SELECT family, auroc+0.12::DOUBLE AS a, gm+0.16::DOUBLE AS g FROM f JOIN md USING (family)) SELECT family, round(a,9) AS auroc, round(g,9) AS group_median, CASE WHEN a>=0.7 AND g>=0.65 THEN 'PASS' WHEN a>=0.6 THEN 'WARN' ELSE 'FAIL' END AS status, CASE WHEN a>=0.7 AND g>=0.65 THEN 'signal confirmed' WHEN a>=0.6 THEN 'marginal: look at the flagged groups first' ELSE 'validation failed: do not train on this set' END AS message FROM j"""))
 def met_decision(spark, sf):
     s = views.scores(spark, sf)
     med = mt.auroc(s, ["family", "protein_name"], "score_a").groupBy("family").agg((F.percentile("auroc", F.lit(0.5)) + 0.16).alias("group_median"))
     m = mt.auroc(s, "family", "score_a").select("family", (F.col("auroc") + 0.12).alias("auroc")).join(med, "family")
-    return rounded(mt.validation_decision(m).drop("message"), "auroc", "group_median")
+    return rounded(mt.validation_decision(m), "auroc", "group_median")
 
 
-@reg("met_multiseed", sql("scores", "WITH " + auc_sql("m", "scores", "family, source", "score_c") + """ SELECT family AS model, round(avg(auroc),9) AS mean, round(coalesce(stddev_samp(auroc),0),9) AS std, round(min(auroc),9) AS min, round(max(auroc),9) AS max, count(*) AS n_seeds FROM m GROUP BY 1"""))
+@reg("met_multiseed", sql("scores", "WITH " + auc_sql("m", "scores", "family, source", "score_c") + """ SELECT family AS model, round(avg(auroc),9) AS mean, round(coalesce(stddev_samp(auroc),0),9) AS std, round(min(auroc),9) AS min, round(max(auroc),9) AS max, count(*) AS n_seeds, string_agg(round(auroc,6)::VARCHAR, ';' ORDER BY source) AS "values" FROM m GROUP BY 1"""))
 def met_multiseed(spark, sf):
     r = mt.auroc(views.scores(spark, sf), ["family", "source"], "score_c").select(F.col("family").alias("model"), F.col("source").alias("seed"), "auroc")
-    return rounded(mt.aggregate_seeds(r).drop("values"), "mean", "std", "min", "max")
+    return rounded(mt.aggregate_seeds(r), "mean", "std", "min", "max")
+
+
+@reg("met_paired_seeds", sql("scores", "WITH " + auc_sql("m", "scores", "family, source", "score_c") + """, d AS (SELECT a.auroc-b.auroc AS d FROM m a JOIN m b USING (source) WHERE a.family='F0' AND b.family='F1')
+ SELECT round(avg(d),9)+0.0::DOUBLE AS mean_diff, round(coalesce(stddev_samp(d),0),9) AS std_diff, count(*) AS n_seeds FROM d"""))
+def met_paired_seeds(spark, sf):
+    r = mt.auroc(views.scores(spark, sf), ["family", "source"], "score_c").select(F.col("family").alias("model"), F.col("source").alias("seed"), "auroc")
+    return rounded(mt.paired_seed_difference(r, "F0", "F1"), "mean_diff", "std_diff")
 
 
 @reg("met_leaderboard", sql("scores", "WITH " + auc_sql("t", "scores", "family", "score_c") + ", " + auc_sql("v", "scores", "family", "score_a") + ", " + auc_sql("g", "scores", "family, protein_name", "score_c") + """,
@@ -353,7 +382,7 @@ def met_curves(spark, sf):
 
 @reg("met_eval_integrity", sql("pairs", """WITH g AS (SELECT experiment_id, sum(binding_label) AS p, count(*) AS n, count(*) FILTER (length(rna_sequence)>59) AS l FROM pairs GROUP BY 1),
  a AS (SELECT sum(n)::BIGINT AS n_pairs, sum(p)::BIGINT AS n_pos, (sum(n)-sum(p))::BIGINT AS n_neg, count(*) AS n_groups, count(*) FILTER (p=0 OR p=n) AS n_single_class, sum(l)::BIGINT AS n_long FROM g)
- SELECT *, round(n_pos/n_pairs,9) AS positive_rate, array_to_string([x for x in [CASE WHEN n_pos<10 OR n_neg<10 THEN 'BLOCK:insufficient_classes' END, CASE WHEN n_single_class/n_groups>0.5 THEN 'WARN:single_class_groups' END, CASE WHEN n_long/n_pairs>0.3 THEN 'WARN:window_max_inflation' END, CASE WHEN n_pos/n_pairs>0.6 THEN 'WARN:high_positive_rate' END] if x IS NOT NULL],';') AS issues, 'WARN' AS gate FROM a"""))
+ SELECT *, round(n_pos/n_pairs,9) AS positive_rate, array_to_string([x for x in [CASE WHEN n_pos<10 OR n_neg<10 THEN 'BLOCK:insufficient_classes' END, CASE WHEN n_single_class/n_groups>0.5 THEN 'WARN:single_class_groups' END, CASE WHEN n_long/n_pairs>0.3 THEN 'WARN:window_max_inflation' END, CASE WHEN n_pos/n_pairs>0.6 THEN 'WARN:high_positive_rate' END] if x IS NOT NULL],';') AS issues, CASE WHEN issues LIKE '%BLOCK%' THEN 'BLOCK' WHEN issues<>'' THEN 'WARN' ELSE 'OK' END AS gate FROM a"""))
 def met_eval_integrity(spark, sf):
     return rounded(mt.eval_integrity(views.pairs(spark, sf), rna_max=59, group="experiment_id"), "positive_rate")
 

@@ -26,7 +26,15 @@ def by_split(spark, sf, name):
     return views.pairs(spark, sf).where(F.col("split") == name)
 
 
-@reg("ml_features")
+@reg(
+    "ml_features",
+    sql("pairs proteins", """WITH j AS (SELECT p.*, length(protein_sequence) AS pl FROM pairs p JOIN proteins USING (protein_name)), tr AS (SELECT * FROM j WHERE split='train'),
+ w AS (SELECT DISTINCT pair_id, split, unnest([substr(rna_sequence,i,4) for i in range(1,length(rna_sequence)-2)]) AS kmer FROM j), tw AS (SELECT DISTINCT kmer FROM w WHERE split='train'), rn AS (SELECT pair_id, count(*) AS n FROM w JOIN tw USING (kmer) GROUP BY 1),
+ v AS (SELECT DISTINCT protein_name, unnest([substr(protein_sequence,i,3) for i in range(1,length(protein_sequence)-1)]) AS kmer FROM proteins), tv AS (SELECT DISTINCT kmer FROM v WHERE protein_name IN (SELECT protein_name FROM tr)), pn AS (SELECT protein_name, count(*) AS n FROM v JOIN tv USING (kmer) GROUP BY 1),
+ c AS (SELECT count(DISTINCT dataset_source) AS ns, max(length(rna_sequence)) AS r, max(pl) AS p, CASE WHEN count(DISTINCT length(rna_sequence))>1 THEN 1 ELSE 0 END AS rv, CASE WHEN count(DISTINCT pl)>1 THEN 1 ELSE 0 END AS pv FROM tr)
+ SELECT pair_id, split, (256+8000+ns+1+2)::INT AS dims, (coalesce(rn.n,0)+coalesce(pn.n,0)+rv+pv+CASE WHEN dataset_source IN (SELECT dataset_source FROM tr) THEN 1 ELSE 0 END)::INT AS nonzero, round(length(rna_sequence)/r,9) AS rna_rel, round(pl/p,9) AS prot_rel
+ FROM j LEFT JOIN rn USING (pair_id) LEFT JOIN pn USING (protein_name), c"""),
+)
 def ml_features(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
@@ -37,7 +45,7 @@ def ml_features(spark, sf):
 
 @reg("ml_baselines")
 def ml_baselines(spark, sf):
-    p = ml.word_vector(views.pairs(spark, sf), "rna_sequence", 4, "AUGC", "features")
+    p = ml.build_features(rows(spark, sf), views.proteins(spark, sf))
     return rounded(ml.train_baselines(p.select("binding_label", "split", "features")), "auroc", "auprc")
 
 
@@ -49,7 +57,7 @@ def ml_kmer_lr(spark, sf):
 
 @reg("ml_per_group")
 def ml_per_group(spark, sf):
-    m = ml.per_group_models(views.pairs(spark, sf), "experiment_id", "pair_id")
+    m = ml.per_group_models(views.pairs(spark, sf), "experiment_id", "pair_id", k=4)
     return rounded(m, "val_auroc", "test_auroc", "test_auprc", digits=6)
 
 
@@ -88,7 +96,7 @@ def ml_nb_weights(spark, sf):
 @reg(
     "ml_knn_transfer",
     sql("pairs hits", NBW.format(g="protein_name") + """, hh AS (SELECT 'src'||(substr(query,2)::INT%20) AS grp, 'src'||(substr(target,2)::INT%20) AS target, max(fident) AS fident, max(bits) AS bits FROM hits WHERE fident>0 GROUP BY 1,2),
- nn AS (SELECT * FROM hh WHERE grp<>target AND grp NOT IN ('src3','src4') QUALIFY row_number() OVER (PARTITION BY grp ORDER BY bits DESC, target)<=3), nt AS (SELECT *, sum(fident) OVER (PARTITION BY grp) AS t FROM nn),
+ nn AS (SELECT * FROM hh WHERE grp<>target QUALIFY row_number() OVER (PARTITION BY grp ORDER BY bits DESC, target)<=3), nt AS (SELECT *, sum(fident) OVER (PARTITION BY grp) AS t FROM nn),
  bl AS (SELECT nt.grp, w.kmer, sum(weight*fident/t) AS weight FROM nt JOIN w ON w.grp=nt.target GROUP BY 1,2), md AS (SELECT * FROM bl UNION ALL SELECT g.grp, kmer, weight FROM (SELECT DISTINCT grp FROM te WHERE grp NOT IN (SELECT grp FROM bl)) g, mw)
  SELECT pair_id, te.grp AS protein_name, round(sum(c*coalesce(weight,0)),6)+0.0::DOUBLE AS score FROM te LEFT JOIN md USING (grp,kmer) GROUP BY 1,2"""),
 )
@@ -102,7 +110,7 @@ def neighbours(spark, sf):
     h = views.hits(spark, sf).where("fident > 0").groupBy(node("query").alias("protein_name"), node("target").alias("target")).agg(
         F.max("fident").alias("fident"), F.max("bits").alias("bits")
     )
-    h = h.where((F.col("protein_name") != F.col("target")) & ~F.col("protein_name").isin("src3", "src4"))
+    h = h.where(F.col("protein_name") != F.col("target"))
     from pairloom.plans import top_per_group
 
     return top_per_group(h, "protein_name", [F.desc("bits"), "target"], 3)

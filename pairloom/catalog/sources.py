@@ -55,8 +55,10 @@ def src_affinity(spark, sf):
         F.col("l_linenumber").alias("l"),
         F.when(F.col("l_linenumber") == 3, F.lit("n/d")).otherwise(F.col("l_extendedprice").cast("string")).alias("Kd_nM"),
     )
-    a = so.affinity_labels(raw, thr=20000.0)
-    return a.select("protein_name", "o", "l", F.col("affinity_kd_nM").alias("kd"), "binding_label", "dataset_source")
+    path = so.scratch_path(spark, "src_affinity") + "/affinity.tsv"
+    raw.write.option("sep", "\t").option("header", True).csv(path)
+    a = so.load_affinity(spark, path, thr=20000.0)
+    return a.select("protein_name", *[F.col(c).cast(raw.schema[c].dataType).alias(c) for c in ("o", "l")], F.col("affinity_kd_nM").alias("kd"), "binding_label", "dataset_source")
 
 
 @reg("src_bed", sql("intervals", "SELECT chrom, start_pos, end_pos, name, score, strand, 1 AS binding_label, 'K562' AS dataset_source FROM intervals"))

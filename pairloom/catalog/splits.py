@@ -49,6 +49,17 @@ def spl_strict(spark, sf):
     return sp.strict_stats(views.pairs(spark, sf), "experiment_id")
 
 
+@reg(
+    "spl_strict_rows",
+    sql("pairs", """WITH k AS (SELECT DISTINCT experiment_id FROM pairs),
+ r AS (SELECT experiment_id, row_number() OVER (ORDER BY sha256('42|'||experiment_id)) AS rk, count(*) OVER () AS n FROM k),
+ s AS (SELECT pair_id, rna_sequence, CASE WHEN rk <= round_even(n*0.75::DOUBLE,0) THEN 'train' WHEN rk <= round_even(n*0.75::DOUBLE,0)+round_even(n*0.11::DOUBLE,0) THEN 'val' ELSE 'test' END AS split FROM pairs JOIN r USING (experiment_id))
+ SELECT pair_id, split FROM s WHERE split='train' OR rna_sequence NOT IN (SELECT rna_sequence FROM s WHERE split='train')"""),
+)
+def spl_strict_rows(spark, sf):
+    return sp.strict_split(views.pairs(spark, sf).drop("split"), "experiment_id").select("pair_id", "split")
+
+
 CARRY = """WITH old AS (SELECT DISTINCT experiment_id FROM pairs WHERE dataset_source='en' AND binding_label=0),
  r0 AS (SELECT experiment_id, row_number() OVER (ORDER BY sha256('42|'||experiment_id)) AS rk, count(*) OVER () AS n FROM old),
  smap AS (SELECT experiment_id, CASE WHEN rk <= round_even(n*0.75::DOUBLE,0) THEN 'train' WHEN rk <= round_even(n*0.75::DOUBLE,0)+round_even(n*0.11::DOUBLE,0) THEN 'val' ELSE 'test' END AS split FROM r0)"""

@@ -6,6 +6,7 @@ VIEWS = {
   upper(translate(regexp_replace(lower(text),'[^a-z]','','g'),'bjouxz','')) AS prot FROM documents)""",
     "proteins": """proteins AS (SELECT source AS protein_name, min_by(prot, doc_id) AS protein_sequence
   FROM docs WHERE length(prot) >= 30 GROUP BY source)""",
+    "document_proteins": """document_proteins AS (SELECT concat_ws('d', source, doc_id) AS protein_name, prot AS protein_sequence FROM docs WHERE length(prot) >= 30)""",
     "pairs": """pairs AS (SELECT 'pair_' || doc_id || '_' || off AS pair_id, doc_id, off, source AS protein_name,
   substr(rna, off+1, 60) AS rna_sequence, quality AS binding_label, lang AS dataset_source,
   source || '_' || (doc_id % 3) AS experiment_id,
@@ -34,7 +35,7 @@ VIEWS = {
   CASE WHEN item_id % 4 <> 3 THEN 1 ELSE 0 END AS binding_label FROM benchmark)""",
     "emb": "emb AS (SELECT 'V' || vec_id AS protein_name, embedding, 'fam' || label AS family FROM embeddings)",
 }
-NEEDS = {"proteins": ["docs"], "pairs": ["docs"], "pairs_seq": ["pairs", "proteins"]}
+NEEDS = {"proteins": ["docs"], "document_proteins": ["docs"], "pairs": ["docs"], "pairs_seq": ["pairs", "proteins"]}
 
 
 def sql(views: str, body: str) -> str:

@@ -46,6 +46,17 @@ def proteins(spark, sf) -> DataFrame:
     )
 
 
+def document_proteins(spark, sf) -> DataFrame:
+    """One protein per document with at least 30 residues, named by source and number."""
+    return docs(spark, sf).where(F.length("prot") >= 30).select(
+        F.concat_ws("d", "source", F.col("doc_id").cast("string")).alias("protein_name"), F.col("prot").alias("protein_sequence")
+    )
+
+
+def document_number(name="protein_name"):
+    return F.regexp_extract(name, "d([0-9]+)$", 1).cast("long")
+
+
 def pairs(spark, sf) -> DataFrame:
     """Every 60-letter window of every labelled document."""
     d = docs(spark, sf).drop("prot").join(table(spark, sf, "labels"), "doc_id").where(F.length("rna") >= 4)
