@@ -205,6 +205,59 @@ def test_language_model(odd):
     assert deleted_interpolation.score(docs.limit(0)).count() == 0
 
 
+def brute_model(tokens, folds):
+    """Scores of a bigram model with every word as context, by dictionaries."""
+    bigrams = {i: list(zip([1, *t[:-1]], t)) for i, t in tokens.items()}
+
+    def counts(use):
+        one, two, of = collections.Counter(), collections.Counter(), collections.Counter()
+        for i in tokens:
+            if folds[i] in use:
+                one.update(tokens[i])
+                two.update(bigrams[i])
+                of.update(v for v, _ in bigrams[i])
+        return one, two, of
+
+    def bucket(c):
+        return 0 if not c else 1 + (c - 1).bit_length()
+
+    one, two, of = counts(set(range(7)) - {2})
+    a1, a2, a0 = counts(set(range(7)) - {2, 3})
+    total, total_a, p0 = sum(one.values()), sum(a1.values()), 1 / (len(one) + 1)
+    held = sorted(counts({3})[1].items(), key=str)
+    columns = zip(*[(bucket(a0[v]), n, a1[w] / total_a, a2[v, w] / max(1, a0[v])) for (v, w), n in held])
+    kinds = int, float, float, float
+    l = deleted_interpolation.learn_weights(*[np.array(c, k) for c, k in zip(columns, kinds)], p0, bucket(max(of.values())) + 1)  # noqa: E741
+    p = lambda v, w: l[bucket(of[v])] @ [two[v, w] / max(1, of[v]), one[w] / total, p0]
+    return {i: sum(np.log10(p(v, w)) for v, w in b) for i, b in bigrams.items()}
+
+
+@pytest.mark.parametrize("contexts", [1 << 16, 3])
+def test_language_model_by_brute_force(spark, contexts, monkeypatch):
+    monkeypatch.setattr(deleted_interpolation, "BUCKET", 1 << 12)
+    rng = np.random.default_rng(8)
+    words = [f"w{int(x)}" for x in rng.zipf(1.3, 12_000) % 3000]
+    texts = {i: " ".join(words[20 * i : 20 * i + 20]) for i in range(600)}
+    texts |= {600 + i: f"rare{i // 3} follows{i // 3} w1" for i in range(300)}
+    folds = {i: i % 7 for i in texts}
+    want = brute_model({i: [*t.split(), None] for i, t in texts.items()}, folds)
+    docs = spark.createDataFrame([(i, t, folds[i]) for i, t in texts.items()], "doc_id long, text string, fold long").repartition(4)
+    got = {r.doc_id: r.score for r in deleted_interpolation.score(docs, contexts).collect()}
+    assert set(got) == set(want)
+    # the weights are learned on cells of a quarter of a logarithm
+    assert max(abs(got[i] / want[i] - 1) for i in want) < 0.01
+
+
+def test_bigrams_of_a_word_outlast_growth(spark):
+    """The estimates after a rare word stay when many other documents are added."""
+    rows = [(i, "seldom seen pair here", 0 if i % 3 else 3) for i in range(9)]
+    rows += [(100 + i, f"x{i % 50} y{i * 7 % 50} " * 20, i % 7) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fold long")
+    got = {r.doc_id: r for r in deleted_interpolation.score(docs, contexts=16).collect()}
+    unigram = sum(np.log10(9 / got[1].train_tokens) for _ in range(4))
+    assert got[1].score > unigram / 2
+
+
 def test_em_finds_the_mixture():
     n = np.array([70.0, 30.0])
     w = deleted_interpolation.learn_weights(np.array([1, 1]), n, np.array([1.0, 0.0]), np.array([0.0, 0.0]), 1e-2, 2)
