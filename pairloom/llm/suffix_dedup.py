@@ -14,6 +14,11 @@ stand, so each window lies in exactly one phrase and can only recur under the sa
    window; a run of equal suffixes belongs to its smallest document.
 4. corpus order: the spans are merged by document and cut out.
 
+A trigger that many phrases share (a common header, say) is split: each of its windows is a
+phrase of its own with a trigger from its own hash, which equal windows share.  Such triggers are
+found on every ``SHARE``-th document (by hash), where they have ``OFTEN`` phrases or more; which
+ones are found decides speed only, never results.
+
 No step gathers more than one bucket of the dictionary or one document.  Triggers replace
 the usual "hash modulo p" rule, which leaves windows without any trigger.
 
@@ -37,6 +42,7 @@ from pairloom.llm.common import (
     distinct_documents,
     first_of_runs,
     merged,
+    mix,
     outer_id,
     packed,
     repeat_ranges,
@@ -48,6 +54,7 @@ from pairloom.plans import cut_lineage
 LENGTH, TRIGGER = 50, 20
 BLOCK, CHUNK = 1 << 18, 1 << 24  # bytes hashed at once, bytes parsed before rows are sent
 KEY = U64((1 << 48) - 1)
+SHARE, OFTEN, SPLIT = 32, 64, 1 << 20  # SPLIT: most triggers that are sent to the tasks
 FOUND = "doc_id long, start long, end long, trigger long"
 SPANS = "doc_id long, start long, end long"
 
@@ -61,8 +68,9 @@ def window_minimum(h: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - span : width - span + n]) if span < width else m[:n]
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
-    """Phrases of the rows: (row, place in the row, windows, trigger, phrase hash)."""
+def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, split: np.ndarray = np.zeros(0, np.uint64)):
+    """Phrases of the rows: (row, place in the row, windows, trigger, phrase hash).  Windows under
+    a trigger of ``split`` (sorted) are phrases of their own."""
     n = len(data) - length + 1
     if n <= 0:
         return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
@@ -82,8 +90,37 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     first[1:] &= ~valid[:-1] | change
     last[:-1] &= ~valid[1:] | change
     s, e = np.flatnonzero(first), np.flatnonzero(last)
+    trigger = m[s] & KEY
+    if len(split):
+        cut = split[np.minimum(np.searchsorted(split, trigger), len(split) - 1)] == trigger
+        count = np.where(cut, e - s + 1, 1)
+        at = repeat_ranges(s, count)
+        cut, e = np.repeat(cut, count), np.repeat(e, count)
+        s, e, trigger = at, np.where(cut, at, e), np.repeat(trigger, count)
+        own = mix(roll.spans(s[cut], s[cut] + length) ^ U64(0x9E3779B97F4A7C15))
+        trigger[cut] = own & KEY
     row = np.searchsorted(offsets, s, "right") - 1
-    return row, s - offsets[row], e - s + 1, m[s] & KEY, roll.spans(s, e + length) & KEY
+    return row, s - offsets[row], e - s + 1, trigger, roll.spans(s, e + length) & KEY
+
+
+def _triggers(length: int):
+    def run(batches):
+        for batch in batches:
+            data, offs = byte_rows(batch.column("text"))
+            for i, j in blocks(offs, BLOCK):
+                _, _, _, trig, phrase = parse(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
+                trig, n = np.unique(np.unique(np.stack([trig, phrase]), axis=1)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(trig.astype(np.int64)), pa.array(n)], ["trigger", "n"])
+
+    return run
+
+
+def common_triggers(docs: DataFrame, length: int, share: int, often: int) -> np.ndarray:
+    """Sorted triggers with at least ``often`` phrases in every ``share``-th document."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    counts = some.mapInArrow(_triggers(length), "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= often).orderBy(F.desc("n"), "trigger").limit(SPLIT).toArrow()
+    return np.sort(found.column("trigger").to_numpy().astype(np.uint64))
 
 
 def _span_rows(doc, start, end, trigger=None) -> pa.RecordBatch:
@@ -93,7 +130,7 @@ def _span_rows(doc, start, end, trigger=None) -> pa.RecordBatch:
     )
 
 
-def _parser(buckets: int, length: int):
+def _parser(buckets: int, length: int, split: np.ndarray):
     step = ((1 << 48) + buckets - 1) // buckets
 
     def send(parts):
@@ -133,7 +170,7 @@ def _parser(buckets: int, length: int):
                 cut = range(lo, max(lo + 1, hi - length + 1), BLOCK * 8) if j == i + 1 else [lo]
                 for a in cut:
                     z = min(hi, a + BLOCK * 8 + length - 1) if j == i + 1 else hi
-                    row, pos, n, trig, phrase = parse(data[a:z], np.array([0, z - a]) if j == i + 1 else offs[i : j + 1] - lo, length)
+                    row, pos, n, trig, phrase = parse(data[a:z], np.array([0, z - a]) if j == i + 1 else offs[i : j + 1] - lo, length, split)
                     parts.append((ids[i:j][row], pos + (a - lo if j == i + 1 else 0), n, trig, phrase))
                     size += z - a
                 if size >= CHUNK:
@@ -230,12 +267,13 @@ def byte_rows_binary(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(arr.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, share: int = SHARE, often: int = OFTEN) -> DataFrame:
     """(doc_id, start, end): bytes covered by a ``length``-byte string that also starts in a
     document with a smaller id.  ``docs``: the rows of ``distinct_documents``.  Spans of a
     document may touch or overlap."""
     buckets = 2 * shuffle_partitions(docs.sparkSession)
-    rows = docs.mapInArrow(_parser(buckets, length), "bucket int, phrases binary, rest binary")
+    split = common_triggers(docs, length, share, often)
+    rows = docs.mapInArrow(_parser(buckets, length, split), "bucket int, phrases binary, rest binary")
     found = cut_lineage(rows.groupBy("bucket").applyInArrow(_dictionary(length), FOUND))
     asked = found.where("trigger IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "trigger")).alias("asked"))
     texts = docs.join(asked, "doc_id").mapInArrow(_fetch, "trigger long, doc_id long, start long, phrase binary")

@@ -77,6 +77,32 @@ def test_suffix_dedup(odd):
     assert sum(x[1] for x in want.values()) > 500
 
 
+def test_suffix_dedup_splits_common_triggers(spark):
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    head = "a common header of forty bytes, or more."
+    texts = [letters(40) + head + letters(40) for _ in range(300)]
+    texts += [texts[i][20 : 110 - i % 40] + letters(30) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    first, want = {}, {i: set() for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                want[i] |= set(range(p, p + 50))
+    split = suffix_dedup.common_triggers(docs, 50, 1, 100)
+    assert len(split)
+    for often in (100, 1 << 40):
+        got = {i: set() for i in want}
+        for r in suffix_dedup.repeated_spans(docs, 50, 1, often).collect():
+            got[r.doc_id] |= set(range(r.start, r.end))
+        assert got == want
+    # no trigger has more phrases than equal windows have places
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *map(len, texts)])
+    _, _, _, trig, phrase = suffix_dedup.parse(data, offs, 50, split)
+    assert np.unique(np.unique(np.stack([trig, phrase]), axis=1)[0], return_counts=True)[1].max() < 100
+
+
 def test_simhash_groups(odd):
     docs = plain(odd)
     fps = {}
