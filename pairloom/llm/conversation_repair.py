@@ -82,8 +82,8 @@ def step(costs: tuple, initial: str, fault: int):
 class _Backward:
     """The state of one conversation, fed from its last turn to its first."""
 
-    def __init__(self, conv):
-        self.conv, self.costs, self.spent, self.ops, self.chunks = conv, END, 0, bytearray(), 0
+    def __init__(self, conv, chunk):
+        self.conv, self.size, self.costs, self.spent, self.ops, self.chunks = conv, chunk, END, 0, bytearray(), 0
         self.faults, self.illegal, self.after = [0] * 5, 0, None
         self.high = self.low = self.seen = None
         self.turns = 0
@@ -104,7 +104,7 @@ class _Backward:
         self.spent += low
         self.ops.append(byte)
         self.first = (turn, digest)
-        return self.chunk() if len(self.ops) >= CHUNK else None
+        return self.chunk() if len(self.ops) >= self.size else None
 
     def chunk(self):
         self.chunks += 1
@@ -141,36 +141,39 @@ class _Out:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, self.schema.types)], schema=self.schema)
 
 
-def _backward(batches):
-    out, state, last = _Out(PLAN), None, None
-
-    def take(row, twin):
-        # of equal rows side by side the first stays, which is the last one read
-        conv, turn, digest, initial, fault, later = row
-        if fault in (SOUND, TRUNCATED) and (later or twin):
-            fault = DUPLICATE
-        full = state.feed(turn, digest, initial, fault)
-        if full:
-            out.add(full, len(full[5]))
-
-    for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "turn", "digest", "initial", "fault", "later")]):
-            if last is not None:
-                take(last, row[:3] == last[:3])
-                if row[0] != last[0]:
-                    for x in state.finish():
-                        out.add(x)
-                    state = None
-            if state is None:
-                state = _Backward(row[0])
-            last = row
-            if out.full():
-                yield out.send()
-    if last is not None:
-        take(last, False)
-        for x in state.finish():
-            out.add(x)
-    yield out.send()
+def _backward(chunk: int):
+    def run(batches):
+        out, state, last = _Out(PLAN), None, None
+
+        def take(row, twin):
+            # of equal rows side by side the first stays, which is the last one read
+            conv, turn, digest, initial, fault, later = row
+            if fault in (SOUND, TRUNCATED) and (later or twin):
+                fault = DUPLICATE
+            full = state.feed(turn, digest, initial, fault)
+            if full:
+                out.add(full, len(full[5]))
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "turn", "digest", "initial", "fault", "later")]):
+                if last is not None:
+                    take(last, row[:3] == last[:3])
+                    if row[0] != last[0]:
+                        for x in state.finish():
+                            out.add(x)
+                        state = None
+                if state is None:
+                    state = _Backward(row[0], chunk)
+                last = row
+                if out.full():
+                    yield out.send()
+        if last is not None:
+            take(last, False)
+            for x in state.finish():
+                out.add(x)
+        yield out.send()
+
+    return run
 
 
 class _Edits:
@@ -265,23 +268,24 @@ def _turns(turns: DataFrame) -> DataFrame:
     return rows.withColumn("digest", F.unhex(F.sha2(whole, 256)))
 
 
-def plan(rows: DataFrame) -> DataFrame:
+def plan(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Rows of ``_turns``: one row of counts (part 0) for each conversation, and the chunks of its backpointers."""
     fault = F.when(F.col("gone"), GONE).when(~F.col("text").rlike(f"[^{_SPACE}]"), BLANK).when(F.col("text").rlike(rf"[.!?][{_SPACE}]*\z"), SOUND).otherwise(TRUNCATED)
     slim = rows.select("conv_id", "turn", "digest", F.substring("role", 1, 1).alias("initial"), fault.alias("fault"))
-    key, when = F.struct("conv_id", "digest"), F.struct(F.col("turn").isNotNull().alias("b"), "turn")
+    key = F.struct("conv_id", "digest")
     # turns of equal role and text are compared by their digests; only those found at two places are joined back
-    again = slim.where(~F.col("fault").isin(GONE, BLANK)).groupBy(key.alias("key")).agg(F.min(when).alias("first"), F.max(when).alias("last"))
-    again = again.where("first <> last").select("key", "first")
-    marked = slim.withColumn("key", key).join(again, "key", "left").withColumn("later", F.coalesce(when != F.col("first"), F.lit(False)))
+    again = slim.where(~F.col("fault").isin(GONE, BLANK)).groupBy(key.alias("key"))
+    again = again.agg(F.min("turn").alias("low"), F.max("turn").alias("high"), F.max(F.col("turn").isNull()).alias("open")).where("low < high OR (open AND low IS NOT NULL)")
+    later = F.when(F.col("open"), F.col("turn").isNotNull()).otherwise(F.col("turn") > F.col("low"))
+    marked = slim.withColumn("key", key).join(again, "key", "left").withColumn("later", F.coalesce(later, F.lit(False)))
     stream = marked.repartition("conv_id").sortWithinPartitions("conv_id", F.desc_nulls_last("turn"), F.desc("digest"))
     stream = stream.select("conv_id", "turn", "digest", "initial", "fault", "later")
-    return cut_lineage(stream.mapInArrow(_backward, PLAN))
+    return cut_lineage(stream.mapInArrow(_backward(chunk), PLAN))
 
 
-def _follow(turns: DataFrame, kind) -> DataFrame:
+def _follow(turns: DataFrame, kind, chunk: int) -> DataFrame:
     rows = _turns(turns)
-    found = plan(rows).withColumns({"role": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
+    found = plan(rows, chunk).withColumns({"role": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
     there = rows.where("NOT gone").select(
         "conv_id", F.lit(1).alias("part"), "turn", "digest", F.lit(0).cast("long").alias("ord"),
         F.lit(None).cast("binary").alias("ops"), F.lit(None).cast("array<long>").alias("counts"), "role", "text",
@@ -290,9 +294,9 @@ def _follow(turns: DataFrame, kind) -> DataFrame:
     return both.select("conv_id", "part", "ops", "counts", "role", "text").mapInArrow(_forward(kind), kind.schema)
 
 
-def edits(turns: DataFrame) -> DataFrame:
+def edits(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """turns (conv_id, turn, role, text): (conv_id, place, op, role, text), the edits in order."""
-    return _follow(turns, _Edits)
+    return _follow(turns, _Edits, chunk)
 
 
 def repair(turns: DataFrame) -> DataFrame:
@@ -300,9 +304,9 @@ def repair(turns: DataFrame) -> DataFrame:
     return edits(turns).where("op <> 'D'").drop("op")
 
 
-def report(turns: DataFrame) -> DataFrame:
+def report(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row a conversation: its gaps, faults, cost, edits and the digest of the repaired turns."""
-    return _follow(turns, _Digest)
+    return _follow(turns, _Digest, chunk)
 
 
 def damaged(turns: DataFrame) -> DataFrame:
