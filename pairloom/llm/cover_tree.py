@@ -13,14 +13,16 @@ Candidates are dealt by id to shards of about ``SHARD`` rows, which hold one tre
 label; every query visits every shard (a stated query set against all rows, in blocks), where
 a shard's candidates are read first and its queries then stream by.  Of candidates with equal
 label and vector only the smallest ids can be among the first, ``k`` and one more of them stay.
-Each shard sends on its best k a window, which are then ranked.
+Each shard sends on its best k a window, which are then ranked.  Rows that repeat id, label and
+vector count once.
 
 Components are whole numbers: floor(256 x), x as a double.  Scores are exact: in doubles below
 2**53, beyond that in Python's integers, where they stop at the ends of a long.  Vectors of
 different length are compared as if the shorter had zeros.  Rows with a null label, a null
-vector or a null or non-finite component take no part, nor do rows with a null id; repeated ids
-are different rows, but a row is never its own positive, and rows that repeat an anchor's id
-count as that anchor.  Of anchors that repeat an id one is used, of the least label and vector.
+vector or a null or non-finite component (also once scaled) take no part, nor do rows with a
+null id.  Rows of one id but other vectors are different candidates; those with an anchor's id
+are never its positives, and of anchors that repeat an id the one of the least label and vector
+is used.
 Ties go to the smaller id, empty tables give no rows, other columns are not read.
 """
 
@@ -30,22 +32,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import first_of_runs
+from pairloom.llm.common import first_of_runs, repeat_ranges
 from pairloom.plans import cut_lineage, top_per_group
 
-SHARD, FAN, LEAF, WIDTH = 8192, 64, 32, 16
+SHARD, FAN, LEAF, WIDTH = 8192, 64, 32, 64
 LONG = 2**63 - 1
 FOUND = "id long, window int, other long, score long"
 
 
 def whole(rows: DataFrame, scale: float = 256.0) -> DataFrame:
     """(vec_id, label, v): rows that take part, v the scaled components rounded down, as doubles."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * F.lit(float(scale)))
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"))
     out = out.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", odd))
-    # floor() of a double is a long and would overflow; the tasks round down
-    return out.withColumn("v", F.transform("v", lambda x: x * F.lit(float(scale))))
+    # floor() gives a long; doubles from 2**53 on are whole already
+    down = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+    return out.withColumn("v", F.transform("v", down))
 
 
 class Forest:
@@ -69,22 +72,24 @@ class Forest:
         at = 0
         while todo:
             node, members = todo.pop()
-            if len(members) <= LEAF or self.radius[node] <= self.slack:
+            parts = self._split(members, self.centre[node], self.radius[node] / 2) if len(members) > LEAF else []
+            if len(parts) < 2:  # few vectors, or all in one place
                 self.leaf[node], self.first[node], self.last[node] = True, at, at + len(members)
                 placed.append(members)
                 at += len(members)
                 continue
-            children = [(self._node(own, c), own) for c, own in self._split(members, self.centre[node], self.radius[node] / 2)]
+            children = [(self._node(own, c), own) for c, own in parts]
             self.first[node], self.last[node] = children[0][0], children[-1][0] + 1
             todo += children
         put = np.concatenate(placed) if placed else np.zeros(0, np.int64)
         self.points, self.ids = self.x[put], ids[put]
         self.centres = self.x[np.array(self.centre, np.int64)]
-        self.radius, self.first, self.last, self.leaf = (np.array(a) for a in (self.radius, self.first, self.last, self.leaf))
+        self.radius, self.first, self.last, self.leaf = (np.array(a, t) for a, t in ((self.radius, float), (self.first, np.int64), (self.last, np.int64), (self.leaf, bool)))
 
     def _far(self, members, centre):
         d = self.aug[members] - self.aug[centre]
-        return np.sqrt(np.einsum("ij,ij->i", d, d))
+        with np.errstate(all="ignore"):
+            return np.sqrt(np.einsum("ij,ij->i", d, d))
 
     def _node(self, members, centre):
         self.centre.append(centre)
@@ -112,62 +117,55 @@ class Forest:
         whole_q = [int(a) for a in q]
         return np.array([max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(row, whole_q)))) for row in x], np.int64)
 
+    def _inside(self, nodes):
+        """What first to last of the nodes holds: children of inner nodes, vectors of leaves."""
+        return repeat_ranges(self.first[nodes], self.last[nodes] - self.first[nodes])
+
     def search(self, q, roots, windows, k, skip):
-        """For each window (low, high): (ids, scores) of the k best inside, ties by id."""
-        if q.size < self.points.shape[1]:
-            q = np.append(q, np.zeros(self.points.shape[1] - q.size))
-        q = q[: self.points.shape[1]]
+        """For each window (low, high): (ids, scores) of the k best inside, ties by id.  Bounds and
+        scores that a window has needed are kept for the next ones."""
+        width = self.points.shape[1]
+        q = np.append(q, np.zeros(max(0, width - q.size)))[:width]
         length = float(np.sqrt(q @ q))
         self.exact = length * self.most < 2**52
-        products: dict = {}
-
-        def ups(nodes):
-            """Centres' products with q, remembered for the other windows."""
-            key = (int(nodes[0]), len(nodes))
-            if key not in products:
-                products[key] = self.centres[nodes] @ q
-            return products[key]
+        scores, seen = np.zeros(len(self.points), np.int64), np.zeros(len(self.leaf), bool)
+        top, bottom, bounded = np.zeros(len(self.leaf)), np.zeros(len(self.leaf)), np.zeros(len(self.leaf), bool)
+
+        def bound(nodes):
+            """Highest and lowest product of q with a node's vectors."""
+            new = nodes[~bounded[nodes]]
+            if len(new):
+                mid = self.centres[new] @ q
+                reach = length * self.radius[new] * (1 + 1e-9) + 1e-9 * length * self.most + 1e-6
+                # as the scores do, bounds stop at the ends of a long; no number bounds nothing
+                top[new] = np.clip(np.nan_to_num(mid + reach, nan=np.inf), -LONG, LONG)
+                bottom[new] = np.clip(np.nan_to_num(mid - reach, nan=-np.inf), -LONG, LONG)
+                bounded[new] = True
+            return nodes
 
-        leaves: dict = {}
         for low, high in windows:
             best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            nodes = np.array(roots, np.int64)
-            mid = np.concatenate([ups(nodes[i : i + 1]) for i in range(len(nodes))]) if len(nodes) else np.zeros(0)
-            reach = length * self.radius[nodes] * (1 + 1e-9) + 1e-9 * length * self.most + 1e-6
-            top, bottom = mid + reach, mid - reach
+            nodes = bound(np.array(roots, np.int64))
             while len(nodes):
                 least = max(low, int(best[-1])) if len(best) == k else low
-                keep = (top >= least) & (bottom <= high)
-                nodes, top, bottom = nodes[keep], top[keep], bottom[keep]
-                if not len(nodes):
-                    break
-                take = np.argpartition(-top, WIDTH)[:WIDTH] if len(nodes) > WIDTH else np.arange(len(nodes))
-                now = nodes[take]
-                rest = np.ones(len(nodes), bool)
-                rest[take] = False
-                nodes, top, bottom = [nodes[rest]], [top[rest]], [bottom[rest]]
-                got_id, got = [best_id], [best]
-                for node in now:
-                    a, b = self.first[node], self.last[node]
-                    if self.leaf[node]:
-                        score = leaves.get(node)
-                        if score is None:
-                            score = leaves[node] = self.products(self.points[a:b], q)
-                        fits = (score >= low) & (score <= high)
-                        if skip is not None:
-                            fits &= self.ids[a:b] != skip
-                        got_id.append(self.ids[a:b][fits])
-                        got.append(score[fits])
-                    else:
-                        below = np.arange(a, b)
-                        m = ups(below)
-                        r = length * self.radius[below] * (1 + 1e-9) + 1e-9 * length * self.most + 1e-6
-                        nodes.append(below)
-                        top.append(m + r)
-                        bottom.append(m - r)
-                nodes, top, bottom = (np.concatenate(a) for a in (nodes, top, bottom))
-                if len(got) > 1:
-                    best_id, best = np.concatenate(got_id), np.concatenate(got)
+                nodes = nodes[(top[nodes] >= least) & (bottom[nodes] <= high)]
+                cut = np.argpartition(-top[nodes], WIDTH) if len(nodes) > WIDTH else np.arange(len(nodes))
+                now, nodes = nodes[cut[:WIDTH]], nodes[cut[WIDTH:]]
+                leaf = self.leaf[now]
+                if not leaf.all():
+                    nodes = np.concatenate([nodes, bound(self._inside(now[~leaf]))])
+                if leaf.any():
+                    now = now[leaf]
+                    new = self._inside(now[~seen[now]])
+                    if len(new):
+                        scores[new] = self.products(self.points[new], q)
+                        seen[now] = True
+                    at = self._inside(now)
+                    fits = (scores[at] >= least) & (scores[at] <= high)
+                    if skip is not None:
+                        fits &= self.ids[at] != skip
+                    at = at[fits]
+                    best_id, best = np.append(best_id, self.ids[at]), np.append(best, scores[at])
                     order = np.lexsort((best_id, -best))[:k]
                     best_id, best = best_id[order], best[order]
             yield best_id, best
@@ -178,7 +176,7 @@ def _matrix(lists) -> np.ndarray:
     out = np.zeros((len(lists), width))
     for k, v in enumerate(lists):
         out[k, : len(v)] = v
-    return np.floor(out)
+    return out
 
 
 def _searcher(k: int, same: bool):
@@ -197,7 +195,7 @@ def _searcher(k: int, same: bool):
                     held = []
                 _, _, anchor, label, v, lows, highs = row
                 roots = [n for of, n in forest.roots.items() if (of == label) == same]
-                for w, (ids, scores) in enumerate(forest.search(np.floor(np.array(v)), roots, zip(lows, highs), k, anchor if same else None)):
+                for w, (ids, scores) in enumerate(forest.search(np.array(v, np.float64), roots, zip(lows, highs), k, anchor if same else None)):
                     out += [(anchor, w, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["id", "window", "other", "score"])
@@ -210,8 +208,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, same: bool) -> Dat
     of the query's label (``same``, the query's own id left out) or of other labels with
     lows[i] <= score <= highs[i], as (id, window i, other, score, rk)."""
     # equal vectors of one label: the k smallest ids and one more, as the query's own is left out
-    first = top_per_group(candidates, ["label", "v"], ["vec_id"], k + 1).drop("rk")
-    first = cut_lineage(first)
+    first = cut_lineage(top_per_group(candidates.distinct(), ["label", "v"], ["vec_id"], k + 1).drop("rk"))
     shards = max(1, -(-first.count() // SHARD))
     none = F.lit(None).cast("array<long>")
     dealt = first.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "label", "v", none.alias("lows"), none.alias("highs"))
