@@ -8,8 +8,9 @@ score one less the distance of the nearest language.  Ties in frequency go by th
 code, ties in distance by the language's name.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without a labelled
-document every text is ``und``.  Letters from U+4000 on share 16,384 codes.  Equal ids: see
-``common``.  Profiles are counted over all labelled training rows; the profiles (PROFILE
+document every text is ``und``, and an empty table gives no rows.  An n-gram's code holds three
+letters in full.  A text is counted whole, long ones in one task at about 60 bytes a letter.
+Equal ids: see ``common``.  Profiles are counted over all labelled training rows; the profiles (PROFILE
 rows a language) are sent to the tasks.
 """
 
@@ -24,22 +25,16 @@ from pairloom.plans import top_per_group
 
 PROFILE, BLOCK, FLUSH = 300, 1 << 18, 1 << 24
 UNKNOWN = "und"
-CODE = 15  # bits of a letter
+CODE = 21  # bits of a letter
 
 _letters: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
-    """Code point to letter code; 0 for all that is no letter."""
+    """Code point to the letter in lower case; 0 for all that is no letter."""
     global _letters
     if _letters is None:
-        out = np.zeros(0x110000, np.uint16)
-        for c in range(0x110000):
-            ch = chr(c)
-            if ch.isalpha():
-                low = ord(ch.lower()[0])
-                out[c] = low if low < 0x4000 else 0x4000 + low % 0x3FFD
-        _letters = out
+        _letters = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
     return _letters
 
 
@@ -51,32 +46,49 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray):
         texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
         heads = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    return _count(letters()[chars], heads)
+
+
+def _count(found: np.ndarray, heads: np.ndarray):
+    """``gram_counts`` of letters, rows given by their n+1 offsets."""
     sizes = np.diff(heads)
-    code = np.zeros(len(chars) + len(sizes) + 1, np.uint64)
+    bits = (int(found.max(initial=0)) + 1).bit_length()
+    if 3 * bits + len(sizes).bit_length() > 64 and len(sizes) > 1:
+        # row and n-gram do not fit into one number: fewer rows at a time
+        half, parts = len(sizes) // 2, []
+        for lo, hi in ((0, half), (half, len(sizes))):
+            row, gram, count = _count(found[heads[lo] : heads[hi]], heads[lo : hi + 1] - heads[lo])
+            parts.append((row + lo, gram, count))
+        return [np.concatenate(x) for x in zip(*parts)]
+    code = np.zeros(len(found) + len(sizes) + 1, np.uint64)
     row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes + 1)
     # one blank before every row, one after the last
-    code[np.arange(len(chars)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)] = letters()[chars]
+    code[np.arange(len(found)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)] = found
     row = np.append(row, U64(max(0, len(sizes) - 1)))
     keep = code != 0
     keep[1:] |= code[:-1] != 0
-    keep[-1] = True
+    keep[0] = keep[-1] = True
     code, row = code[keep], row[keep]
-    if len(code) < 2:
+    if not code.any():
         return [np.zeros(0, t) for t in (np.int64, np.uint64, np.int64)]
-    shift = U64(CODE)
-    top = row << U64(3 * CODE)
+    shift, none = U64(bits), U64((1 << bits) - 1)
+    top = row << U64(3 * bits)
     pair = (code[:-1] << shift) | code[1:]
     # a pair ends on a code that no letter has, and belongs to the row of its letter
     of_pair = np.where(code[:-1] != 0, top[:-1], top[1:])
-    parts = [(top | code)[code != 0], (of_pair | (pair << shift) | U64(0x7FFF))[(code[:-1] != 0) | (code[1:] != 0)]]
-    if len(code) > 2:
-        middle = code[1:-1] != 0
-        parts.append((top[1:-1] | (code[:-2] << (shift + shift)) | pair[1:])[middle])
+    parts = [(top | code)[code != 0], (of_pair | (pair << shift) | none)[(code[:-1] != 0) | (code[1:] != 0)]]
+    middle = code[1:-1] != 0
+    parts.append((top[1:-1] | (code[:-2] << (shift + shift)) | pair[1:])[middle])
     keys = np.sort(np.concatenate(parts))
     at = np.flatnonzero(first_of_runs(keys))
     count = np.diff(np.append(at, len(keys)))
     keys = keys[at]
-    return (keys >> U64(3 * CODE)).astype(np.int64), keys & U64((1 << 3 * CODE) - 1), count
+    gram = np.zeros(len(keys), np.uint64)
+    for place in (2, 1, 0):
+        letter = (keys >> U64(place * bits)) & none
+        gram = (gram << U64(CODE)) | np.where(letter == none, U64((1 << CODE) - 1), letter)
+    last = keys >> U64(3 * bits) if 3 * bits < 64 else np.zeros(len(keys), np.uint64)
+    return last.astype(np.int64), gram, count
 
 
 def ranked(row: np.ndarray, gram: np.ndarray, count: np.ndarray, size: int = PROFILE):
