@@ -11,7 +11,8 @@ the limit, its rows go to pages, by a running sum that is spread over many tasks
 more than half the limit has a page of its own, and a page of others never exceeds the limit.
 One row above the limit is the only way for a shard or page to exceed it.
 
-DataFrame functions only.  Null keys count as one key of their own, null sizes as 0.
+DataFrame functions only.  Null keys count as one key of their own, null sizes as 0.  Texts of
+any length are one row with their size.  An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -78,10 +79,12 @@ def leaves(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
     return done
 
 
-def assign(rows: DataFrame, key: str, size: str, limit: int = LIMIT) -> DataFrame:
+def assign(rows: DataFrame, key: str, size: str, limit: int = LIMIT, carry: list[str] = ()) -> DataFrame:
     """(key, size, depth, prefix, page, shard_rows, shard_bytes, global_depth), one row for each
-    row.  ``page`` is 0 but in shards of one hash that exceed the limit."""
-    rows = rows.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("size")).withColumn("h", place(F.col("key")))
+    row.  ``page`` is 0 but in shards of one hash that exceed the limit.  ``carry`` names columns
+    that are kept as fields of a last column ``row``."""
+    kept = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    rows = rows.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("size"), *kept).withColumn("h", place(F.col("key")))
     parts = [rows.withColumn("cell", prefix(F.col("h"), grain)).join(cells, "cell").drop("cell") for grain, cells in leaves(rows.select("h", "size"), limit)]
     placed = functools.reduce(DataFrame.unionByName, parts)
     sums = cut_lineage(placed.groupBy("low", "depth").agg(F.count(F.lit(1)).alias("shard_rows"), F.sum("size").alias("shard_bytes")))
@@ -99,7 +102,7 @@ def assign(rows: DataFrame, key: str, size: str, limit: int = LIMIT) -> DataFram
         )
     return paged.join(sums, ["low", "depth"]).select(
         "key", "size", F.col("depth").cast("long").alias("depth"), right(F.col("low"), F.lit(BITS) - F.col("depth")).alias("prefix"),
-        "page", "shard_rows", "shard_bytes", F.lit(depth).alias("global_depth"),
+        "page", "shard_rows", "shard_bytes", F.lit(depth).alias("global_depth"), *(["row"] if carry else []),
     )
 
 
@@ -112,7 +115,11 @@ def directory(assigned: DataFrame) -> DataFrame:
     return shards.select(F.explode(F.sequence(first, first + count - 1)).alias("entry"), "depth", "prefix")
 
 
-def write_shards(rows: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
-    """The rows as Parquet, a folder for each shard."""
-    where = assigned.select(F.col("key").alias(key), "depth", "prefix", "page")
-    rows.join(where, key).repartition("depth", "prefix", "page").write.partitionBy("depth", "prefix", "page").parquet(path)
+def write_shards(rows: DataFrame, key: str, size: str, path: str, limit: int = LIMIT) -> None:
+    """All rows with all columns as Parquet below folders depth, prefix and page, one folder and
+    file for each shard; columns of the rows that have these names are written as ``_depth`` and
+    so on.  Repeated and null keys are rows like all others."""
+    names = {c: f"_{c}" if c in ("depth", "prefix", "page") else c for c in rows.columns}
+    placed = assign(rows, key, size, limit, carry=rows.columns)
+    out = placed.select("depth", "prefix", "page", *[F.col(f"row.`{c}`").alias(n) for c, n in names.items()])
+    out.repartition("depth", "prefix", "page").write.partitionBy("depth", "prefix", "page").parquet(path)
