@@ -315,6 +315,64 @@ def test_languages(odd):
     assert {r.lang_pred for r in rank_order.identify(distinct_documents(odd), {}).collect()} == {"und"}
 
 
+def gram_counts_of(text):
+    """The n-grams of 1 to 3 letters of a text as codes, by a dictionary."""
+    words = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()
+    out, none = collections.Counter(), (1 << rank_order.CODE) - 1
+    line = [0, *[ord(c) for c in " ".join(words).replace(" ", "\0")], 0] if words else []
+    code = lambda a, b, c: (a << 2 * rank_order.CODE) | (b << rank_order.CODE) | c
+    out.update(code(0, 0, a) for a in line if a)
+    out.update(code(a, b, none) for a, b in zip(line, line[1:]))
+    out.update(code(a, b, c) for a, b, c in zip(line, line[1:], line[2:]) if b)
+    return out
+
+
+def test_grams_by_dictionary_in_any_place(odd):
+    """A text has the same n-grams as first, middle and last of a block, letters from all planes."""
+    texts = [t for t in plain(odd).values()] + ["𐐀𐐁 𐐀𐐁b", "漢字 漢字かな x", "\U0001F642 a", "ǅ ß İ"]
+    want = [gram_counts_of(t) for t in texts]
+    for order in (list(range(len(texts))), list(range(len(texts)))[::-1], *[[k] for k in range(len(texts))], [5, 5, 3, 5]):
+        raw = [texts[k].encode() for k in order]
+        offs = np.cumsum([0, *map(len, raw)])
+        row, gram, count = rank_order.gram_counts(np.frombuffer(b"".join(raw), np.uint8), offs)
+        got = collections.defaultdict(dict)
+        for r, g, n in zip(row.tolist(), gram.tolist(), count.tolist()):
+            got[r][g] = n
+        assert [got[p] for p in range(len(order))] == [want[k] for k in order]
+
+
+def test_language_scores_by_brute_force(spark, odd):
+    docs, size = plain(odd), 40
+    lists = {}
+    rank = lambda counts: {g: p for p, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size])}
+    by_lang = collections.defaultdict(collections.Counter)
+    for r in odd.collect():
+        if r.lang is not None:
+            by_lang[r.lang].update(gram_counts_of(r.text))
+    lists = {lang: rank(c) for lang, c in by_lang.items()}
+    profiles = rank_order.learn_profiles(odd, size=size)
+    assert {lang: [int(g) for g in p] for lang, p in profiles.items()} == {lang: sorted(p, key=p.get) for lang, p in lists.items()}
+    model = rank_order.Identifier(profiles, size)
+    import pyarrow as pa
+
+    texts = [docs[i] for i in sorted(docs)]
+    names, scores = model.batch(pa.array(texts))
+    for text, name, score in zip(texts, names, scores):
+        own = rank(gram_counts_of(text))
+        if not own:
+            assert (name, score) == ("und", 0)
+            continue
+        cost = {lang: sum(abs(p[g] - k) if g in p else size for g, k in own.items()) / (len(own) * size) for lang, p in lists.items()}
+        best = min(sorted(cost), key=cost.get)
+        assert name == best and abs(score - (1 - cost[best])) < 1e-9
+
+
+def test_language_ties_go_by_name(spark):
+    rows = spark.createDataFrame([(1, "abc", "zz"), (2, "abc", "aa"), (3, "abc", None)], "doc_id long, text string, lang string")
+    got = rank_order.identify(distinct_documents(rows), rank_order.learn_profiles(rows)).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("aa", 1.0)}
+
+
 def test_quality(spark, odd):
     docs = distinct_documents(odd)
     labels = odd.select("doc_id", F.when(F.col("text").contains("z"), 0).otherwise(1).alias("label"))
@@ -333,6 +391,18 @@ def test_sharding_of_hot_keys(spark):
     assert len({r.entry for r in entries}) == len(entries)
 
 
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [("a", 300, 1, "x"), ("a", 300, 1, "x"), ("a", 900, 2, None), (None, 5, 3, "n"), ("b", None, 4, "y")] + [(f"k{k}", 50, k, "z") for k in range(200)]
+    df = spark.createDataFrame(rows, "key string, size long, page long, row string")
+    extendible_sharding.write_shards(df, "key", "size", f"{tmp_path}/shards", 1000)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    order = lambda x: sorted(x, key=str)
+    assert order(tuple(r) for r in back.select("key", "size", "_page", "row").collect()) == order(rows)
+    back = back.withColumn("file", F.input_file_name())
+    for r in back.groupBy("depth", "prefix", "page").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.countDistinct("file").alias("files")).collect():
+        assert (r.b is None or r.b <= 1000 or r.n == 1) and r.files == 1
+
+
 EMPTY = ["op1_extendible_sharding", "op2_simhash_vptree", "op3_spaced_seeds", "op4_vector_packing", "op6_deleted_interpolation", "op7_block_simhash", "op8_rank_order", "op9_lsa_neighbours", "op10_suffix_dedup", "pipeline"]
 
 
