@@ -87,19 +87,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Polynomial hashes modulo 2**64 of any byte range, from one running sum."""
 
-    BASE, SIZE = 0x5851F42D4C957F2D, 0
-    powers = inverse = np.zeros(0, np.uint64)
+    BASE, OTHER = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
+    tables: dict = {}
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data)
-        if Rolling.SIZE < n + 1:
-            Rolling.SIZE = size = max(n + 1, 1 << 21)
-            Rolling.powers = Rolling._series(Rolling.BASE, size)
-            Rolling.inverse = Rolling._series(pow(Rolling.BASE, -1, 2**64), size)
+        if base not in Rolling.tables or len(Rolling.tables[base][0]) < n + 1:
+            size = max(n + 1, 1 << 20)
+            Rolling.tables[base] = Rolling._series(base, size), Rolling._series(pow(base, -1, 2**64), size)
+        self.powers, self.inverse = Rolling.tables[base]
         self.sums = np.zeros(n + 1, np.uint64)
         x = data.astype(np.uint64)
         x += U64(1)
-        x *= Rolling.powers[:n]
+        x *= self.powers[:n]
         np.cumsum(x, out=self.sums[1:])
 
     @staticmethod
@@ -109,14 +109,14 @@ class Rolling:
         return np.cumprod(steps, dtype=np.uint64)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Rolling.inverse[start])
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of every k bytes in a row."""
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:n]) * Rolling.inverse[:n])
+        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):

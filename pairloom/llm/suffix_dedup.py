@@ -5,8 +5,9 @@ Every ``length``-byte window takes as trigger the smallest rolling hash of its
 reaches to the end of its last window.  Equal windows have equal triggers wherever they
 stand, so each window lies in exactly one phrase and can only recur under the same trigger.
 
-1. parse: tasks cut their documents into phrases and collapse equal ones of a chunk; the
-   rows (trigger, phrase hash, first document, place) go to buckets of the trigger.
+1. parse: tasks cut their documents into phrases and collapse equal ones of a block, then of a
+   chunk of ``CHUNK`` phrases; the rows (trigger, phrase hash, first document, place) go to
+   buckets of the trigger, of which there are more the more bytes the texts have.
 2. dictionary: a phrase's first document owns it; occurrences in later documents are
    removed whole.  Distinct phrases under one trigger may share some windows only: these
    entries alone are fetched as text.
@@ -15,15 +16,16 @@ stand, so each window lies in exactly one phrase and can only recur under the sa
 4. corpus order: the spans are merged by document and cut out.
 
 A trigger that many phrases share (a common header, say) is split: each of its windows is a
-phrase of its own with a trigger from its own hash, which equal windows share.  Such triggers are
+phrase of its own with a trigger from its own hash, which equal windows share, and a phrase hash
+to another base.  Such triggers are
 found on every ``SHARE``-th document (by hash), where they have ``OFTEN`` phrases or more; which
 ones are found decides speed only, never results.
 
 No step gathers more than one bucket of the dictionary or one document.  Triggers replace
 the usual "hash modulo p" rule, which leaves windows without any trigger.
 
-Null and empty texts have nothing to remove.  Repeats within one document stay.  Equal ids:
-see ``common``.  The first document (smallest id) keeps its text.  Extra columns are ignored.
+Null and empty texts have nothing to remove, an empty table gives no rows.  Long texts are parsed
+in pieces.  Repeats within one document stay.  Equal ids: see ``common``.  The first document (smallest id) keeps its text.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +54,9 @@ from pairloom.llm.common import (
 from pairloom.plans import cut_lineage
 
 LENGTH, TRIGGER = 50, 20
-BLOCK, CHUNK = 1 << 18, 1 << 24  # bytes hashed at once, bytes parsed before rows are sent
+BLOCK, CHUNK = 1 << 18, 1 << 20  # bytes hashed at once, phrases and spans kept before rows are sent
+PIECE = 1 << 19  # bytes of a long text that are parsed at once
+BUCKET = 1 << 23  # bytes of text a bucket
 KEY = U64((1 << 48) - 1)
 SHARE, OFTEN, SPLIT = 32, 64, 1 << 20  # SPLIT: most triggers that are sent to the tasks
 FOUND = "doc_id long, start long, end long, trigger long"
@@ -91,6 +95,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, split: np
     last[:-1] &= ~valid[1:] | change
     s, e = np.flatnonzero(first), np.flatnonzero(last)
     trigger = m[s] & KEY
+    cut = np.zeros(0, bool)
     if len(split):
         cut = split[np.minimum(np.searchsorted(split, trigger), len(split) - 1)] == trigger
         count = np.where(cut, e - s + 1, 1)
@@ -99,8 +104,22 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, split: np
         s, e, trigger = at, np.where(cut, at, e), np.repeat(trigger, count)
         own = mix(roll.spans(s[cut], s[cut] + length) ^ U64(0x9E3779B97F4A7C15))
         trigger[cut] = own & KEY
+    phrase = roll.spans(s, e + length) & KEY
+    if cut.any():
+        # the trigger is a hash of the same bytes: a second base makes 96 bits of both
+        phrase[cut] = Rolling(data, Rolling.OTHER).spans(s[cut], e[cut] + length) & KEY
     row = np.searchsorted(offsets, s, "right") - 1
-    return row, s - offsets[row], e - s + 1, trigger, roll.spans(s, e + length) & KEY
+    return row, s - offsets[row], e - s + 1, trigger, phrase
+
+
+def collapse(doc, pos, n, trig, phrase, length: int):
+    """Phrases by trigger and hash without those that a smaller document has too; their spans."""
+    order = np.lexsort((doc, phrase, trig))
+    doc, pos, n, trig, phrase = (x[order] for x in (doc, pos, n, trig, phrase))
+    new = first_of_runs(trig, phrase)
+    later = doc > doc[new][np.cumsum(new) - 1] if len(doc) else np.zeros(0, bool)
+    spans = merged(doc[later], pos[later], pos[later] + n[later] + length - 1)
+    return [x[~later] for x in (doc, pos, n, trig, phrase)], spans
 
 
 def _triggers(length: int):
@@ -133,15 +152,9 @@ def _span_rows(doc, start, end, trigger=None) -> pa.RecordBatch:
 def _parser(buckets: int, length: int, split: np.ndarray):
     step = ((1 << 48) + buckets - 1) // buckets
 
-    def send(parts):
-        doc, pos, n, trig, phrase = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((doc, phrase, trig))
-        doc, pos, n, trig, phrase = (x[order] for x in (doc, pos, n, trig, phrase))
-        new = first_of_runs(trig, phrase)
-        owner = doc[new][np.cumsum(new) - 1] if len(doc) else doc
-        later = doc > owner
-        spans = merged(doc[later], pos[later], pos[later] + n[later] + length - 1)
-        doc, pos, n, trig, phrase = (x[~later] for x in (doc, pos, n, trig, phrase))
+    def send(parts, spans):
+        (doc, pos, n, trig, phrase), more = collapse(*(np.concatenate(x) for x in zip(*parts)), length)
+        spans = merged(*(np.concatenate(x) for x in zip(*spans, more)))
         # 48-bit triggers are minima, so low values prevail: spread them before cutting ranges
         place = ((trig * U64(0x9E3779B97F4A7C15)) & KEY) // U64(step)
         order = np.argsort(place, kind="stable")
@@ -160,24 +173,26 @@ def _parser(buckets: int, length: int, split: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "phrases", "rest"])
 
     def run(batches):
-        parts, size = [], 0
+        parts, spans, size = [], [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offs = byte_rows(batch.column("text"))
             for i, j in blocks(offs, BLOCK):
                 # one long row is parsed in pieces that overlap by a window less one byte
                 lo, hi = int(offs[i]), int(offs[j])
-                cut = range(lo, max(lo + 1, hi - length + 1), BLOCK * 8) if j == i + 1 else [lo]
+                cut = range(lo, max(lo + 1, hi - length + 1), PIECE) if j == i + 1 else [lo]
                 for a in cut:
-                    z = min(hi, a + BLOCK * 8 + length - 1) if j == i + 1 else hi
+                    z = min(hi, a + PIECE + length - 1) if j == i + 1 else hi
                     row, pos, n, trig, phrase = parse(data[a:z], np.array([0, z - a]) if j == i + 1 else offs[i : j + 1] - lo, length, split)
-                    parts.append((ids[i:j][row], pos + (a - lo if j == i + 1 else 0), n, trig, phrase))
-                    size += z - a
-                if size >= CHUNK:
-                    yield send(parts)
-                    parts, size = [], 0
+                    kept, found = collapse(ids[i:j][row], pos + (a - lo if j == i + 1 else 0), n, trig, phrase, length)
+                    parts.append(kept)
+                    spans.append(found)
+                    size += len(kept[0]) + len(found[0])
+                    if size >= CHUNK:
+                        yield send(parts, spans)
+                        parts, spans, size = [], [], 0
         if parts:
-            yield send(parts)
+            yield send(parts, spans)
 
     return run
 
@@ -271,7 +286,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, share: int = SHARE, of
     """(doc_id, start, end): bytes covered by a ``length``-byte string that also starts in a
     document with a smaller id.  ``docs``: the rows of ``distinct_documents``.  Spans of a
     document may touch or overlap."""
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(docs.sparkSession), -(-size // BUCKET))
     split = common_triggers(docs, length, share, often)
     rows = docs.mapInArrow(_parser(buckets, length, split), "bucket int, phrases binary, rest binary")
     found = cut_lineage(rows.groupBy("bucket").applyInArrow(_dictionary(length), FOUND))
