@@ -46,21 +46,28 @@ def _more_words(h: np.ndarray, words: int):
         yield mix(h * U64(2 * k + 1) ^ U64(0x9E3779B97F4A7C15 * k & (2**64 - 1)))
 
 
+def shingle_hashes(raw: bytes, width: int) -> list[int]:
+    """The hash of every shingle of a text, in order."""
+    tokens = raw.lower().split()
+    n = max(1, len(tokens) - width + 1) if tokens else 0
+    if not n:
+        return []
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[min(width, len(tokens)) - 1 :].tolist())]
+
+
 def fingerprint_rows(texts: list[bytes], width: int = SHINGLE, words: int = 1):
     """Fingerprints (a row of ``words`` numbers a text) and shingle counts."""
-    hashes, counts = [], []
-    digest = xxhash.xxh64_intdigest
-    for raw in texts:
-        tokens = raw.lower().split()
-        n = max(1, len(tokens) - width + 1) if tokens else 0
-        counts.append(n)
-        if n:
-            joined = b" ".join(tokens)
-            ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-            starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-            hashes += [digest(joined[s:e], SEED) for s, e in zip(starts, ends[min(width, len(tokens)) - 1 :].tolist())]
-    counts = np.array(counts, np.int64)
-    out = np.zeros((len(texts), words), np.uint64)
+    return vote([shingle_hashes(raw, width) for raw in texts], words)
+
+
+def vote(shingles: list, words: int):
+    """Fingerprints and sizes of lists of shingle hashes."""
+    hashes = [h for own in shingles for h in own]
+    counts = np.array([len(own) for own in shingles], np.int64)
+    out = np.zeros((len(shingles), words), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         at = (np.cumsum(counts) - counts)[some]
@@ -200,8 +207,9 @@ def _band(ratio: float | None):
     return F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(ratio)).cast("long") if ratio else F.lit(0).cast("long")
 
 
-def links(points: DataFrame, radius: int, words: int = 1, parts: int = PARTS, ratio: float | None = None, leaf: int = LEAF, homes: int = HOMES) -> DataFrame:
-    """points (id, n, fp), fp distinct: edges (a, b) that connect just what links connect."""
+def links(points: DataFrame, radius: int, words: int = 1, parts: int = PARTS, ratio: float | None = None, leaf: int = LEAF, homes: int = HOMES, task=None) -> DataFrame:
+    """points (id, n, fp), fp distinct: edges (a, b) that connect just what links connect, or what
+    ``task`` makes of each leaf."""
     # the largest number of fingerprints that may meet; one count for each band
     total = points.groupBy(_band(ratio).alias("band")).count().agg(F.max("count")).first()[0] or 0
     size = min(SAMPLE, max(256, 8 * -(-total // leaf)))
@@ -241,7 +249,7 @@ def links(points: DataFrame, radius: int, words: int = 1, parts: int = PARTS, ra
     heavy = points.mapInArrow(place({}, False), kind).groupBy("band", "tree", "leaf").count().where(F.col("count") > homes).collect()
     split = {(r["band"], r["tree"], r["leaf"]): -(-r["count"] // homes) for r in heavy}
     rows = points.mapInArrow(place(split, True), kind)
-    return rows.groupBy("band", "tree", "leaf", "block").applyInArrow(_leaf(radius, words), "a long, b long")
+    return rows.groupBy("band", "tree", "leaf", "block").applyInArrow(task or _leaf(radius, words), "a long, b long")
 
 
 def near_duplicates(
