@@ -103,6 +103,26 @@ def test_suffix_dedup_splits_common_triggers(spark):
     assert np.unique(np.unique(np.stack([trig, phrase]), axis=1)[0], return_counts=True)[1].max() < 100
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    """A text of several pieces, and slices of it and of its copy, against a set of all windows."""
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefgh "), 3 * suffix_dedup.PIECE // 2))
+    at = [5, suffix_dedup.PIECE - 30, suffix_dedup.PIECE + 1, len(long) - 900]
+    texts = [long, *[long[a : a + 800] + "x" + long[a + 300 : a + 360] for a in at], "y" * 100 + long[1000:]]
+    windows, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        own = [t[p : p + 50] for p in range(len(t) - 49)]
+        for p, w in enumerate(own):
+            if w in windows:
+                gone[p : p + 50] = True
+        windows.update(own if i < 5 else [])
+        want[i] = (len(t), int(gone.sum()), hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()).hexdigest())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {i: (r.n_bytes, r.n_removed, r.kept_sha256) for i, r in by_id(suffix_dedup.strip_repeats(docs)).items()} == want
+    assert want[5][1] > len(long) - 1100
+
+
 def test_simhash_groups(odd):
     docs = plain(odd)
     fps = {}
