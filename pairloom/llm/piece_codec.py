@@ -8,11 +8,12 @@ shorter ones; a piece must be compatible with its left neighbour, and must not e
 bitfield marks that no way leads on.  If none is left, the position is marked and the last piece
 taken back.  Pieces that merging their own letters does not give are not in the automaton.
 
-Blanks become U+2581, and one is put in front if the model says so.  No piece has U+2581 after
-another character, so that a text falls into words (such signs, then others) which are encoded
-on their own and remembered; characters without a piece cut as well and become bytes, or the
-unknown id in models without them.  The last is checked when a model is loaded, which also
-refuses models of another type, with a normaliser or with user-defined or unused pieces.
+Blanks become U+2581, and one is put in front if the model says so.  Two characters that no piece
+has side by side are never merged, so that a text may be cut there.  No piece has U+2581 after
+another character: a text falls into words (such signs, then others), and these into parts, which
+are encoded on their own and remembered.  Characters without a piece are parts of their own and
+become bytes, or the unknown id in models without them.  Models of another type, with a normaliser
+or with user-defined or unused pieces are refused when they are loaded.
 
 Texts are cut between words in parts of ``PART`` characters, so that long ones need little more
 than their ids.  Null reads as empty, and an empty text has the end id only.  Repeated and null
@@ -42,16 +43,20 @@ codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 class _Words(dict):
-    """Word to ids; forgotten as a whole when it has grown too large."""
+    """Word to ids.  When it has grown too large it starts anew, and words of the time before are
+    taken over as they come again."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, word):
-        ids = self.encode(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= LONG:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -75,11 +80,13 @@ class Codec:
         self._check(model, path)
         self.chars = {p for p in self.ids if len(p) == 1}
         self.longest = max(map(len, self.ids))
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
+        for p, i in self.ids.items():
             if set(p) <= self.chars and self.merged(p) == [p]:
-                self.automaton.add_word(p, len(p))
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        self.names, self.length = names, [len(n) for n in names]
         self.pairs: dict = {}
         cuts = "".join(c for c in map(chr, range(1, 32)) if c not in self.chars)
         out = re.escape(cuts)
@@ -123,18 +130,25 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        """Do the two pieces, merged anew from their letters, come out as they are?"""
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        names = [self.names[left], self.names[right]]
+        found = self.pairs[left << 32 | right] = self.merged("".join(names)) == names
+        return found
+
+    def _matches(self, text: str, lo: int, hi: int) -> list[list[int]]:
+        """The ids of the pieces from each position of [lo, hi), short ones first."""
+        found: list = [[] for _ in range(hi - lo)]
+        length, n, first = self.length, hi - lo, lo - 1
+        for end, i in self.automaton.iter(text, lo, min(len(text), hi + self.longest)):
+            if (k := end - length[i] - first) < n:
+                found[k].append(i)
         return found
 
-    def _lengths(self, text: str):
-        """A function from a position to the lengths of the pieces there, ascending; positions
-        are searched by windows, of which the last two are kept."""
+    def _by_windows(self, text: str):
+        """``_matches`` of one position of a long text: windows of it, of which the last two are kept."""
         kept: dict = {}
 
         def at(pos):
@@ -142,56 +156,57 @@ class Codec:
             if w not in kept:
                 if len(kept) > 1:
                     kept.pop(next(iter(kept)))
-                lo = w * WINDOW
-                found: list = [[] for _ in range(min(WINDOW, len(text) - lo))]
-                for end, size in self.automaton.iter(text, lo, min(len(text), lo + WINDOW + self.longest)):
-                    if (k := end - size + 1 - lo) < WINDOW:
-                        found[k].append(size)
-                kept[w] = found
+                kept[w] = self._matches(text, w * WINDOW, min(len(text), w * WINDOW + WINDOW))
             return kept[w][pos - w * WINDOW]
 
         return at
 
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text whose characters all have one."""
-        lengths, n = self._lengths(text), len(text)
+    def backtrack(self, text: str) -> list[int]:
+        """The ids of a text whose characters all have a piece."""
+        n, length, pairs = len(text), self.length, self.pairs
+        at = self._matches(text, 0, n).__getitem__ if n <= WINDOW else self._by_windows(text)
         failed = bytearray((n >> 3) + 1)
-        pieces, tried, pos, last = [], [], 0, None
-        k = len(lengths(0)) - 1
+        ids, tried, pos, last = [], [], 0, -1
+        offers = at(0)
+        k = len(offers) - 1
         while True:
-            sizes = lengths(pos)
             while k >= 0:
-                end = pos + sizes[k]
+                i = offers[k]
+                end = pos + length[i]
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    piece = text[pos:end]
-                    if last is None or self.compatible(last, piece):
+                    if last < 0:
+                        break
+                    fits = pairs.get(last << 32 | i)
+                    if self.compatible(last, i) if fits is None else fits:
                         break
                 k -= 1
             if k >= 0:
-                pieces.append(piece)
+                ids.append(i)
+                if end == n:
+                    return ids
                 tried.append(k)
-                last, pos = piece, end
-                if pos == n:
-                    return pieces
-                k = len(lengths(pos)) - 1
+                last, pos = i, end
+                offers = at(pos)
+                k = len(offers) - 1
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                pos -= len(pieces.pop())
+                pos -= length[ids.pop()]
+                offers = at(pos)
                 k = tried.pop() - 1
-                last = pieces[-1] if pieces else None
+                last = ids[-1] if ids else -1
 
     def encode_word(self, word: str) -> list[int]:
-        out, a, n = [], 0, len(word)
-        while a < n:
-            b = a
-            while b < n and word[b] in self.chars:
-                b += 1
-            if b > a:
-                out += [self.ids[p] for p in self.backtrack(word[a:b])]
-            if b < n:
-                out += [self.byte[x] for x in word[b].encode()] if self.byte else [self.unknown]
-            a = b + 1
-        return out
+        """A word is cut where two characters meet that no piece has side by side."""
+        out, a, inside = [], 0, self.inside
+        for b in range(1, len(word)):
+            if word[b - 1 : b + 1] not in inside:
+                out += self.known[word[a:b]]
+                a = b
+        if a:
+            return out + self.known[word[a:]]
+        if word[0] not in self.chars:
+            return [self.byte[x] for x in word.encode()] if self.byte else [self.unknown]
+        return self.backtrack(word)
 
     def _parts(self, text: str):
         text = text.replace(" ", MARK)
