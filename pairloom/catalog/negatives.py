@@ -131,20 +131,51 @@ def peak_windows(spark, sf):
     return p.where(rich), p.where(~rich).withColumnRenamed("peak_id", "cand_id").drop("factor", "cell")
 
 
-@reg("neg_other_target")
+#: peaks p, candidate windows c numbered by GC, the factors of a cell m and what they bind
+OTHER = """WITH RECURSIVE w AS (SELECT pair_id AS peak_id, 'TF'||(off%7) AS factor, dataset_source AS cell, 'doc'||doc_id AS chrom, off::BIGINT AS start_pos, (off+length(rna_sequence))::BIGINT AS end_pos,
+   (length(rna_sequence)-length(translate(rna_sequence,'GC','')))/length(rna_sequence) AS gc FROM pairs),
+ p AS (SELECT *, ('0x'||substr(sha256('42|'||peak_id||'|xtf'),1,8))::BIGINT AS hx, ('0x'||substr(sha256('42|'||peak_id||'|gc'),1,8))::BIGINT AS hg FROM w WHERE gc>=0.5),
+ c AS (SELECT *, row_number() OVER (ORDER BY gc, sha256('42|'||peak_id), peak_id)-1 AS idx FROM w WHERE {candidates}),
+ m AS (SELECT cell, factor, row_number() OVER (PARTITION BY cell ORDER BY factor)-1 AS own, count(*) OVER (PARTITION BY cell)-1 AS others FROM (SELECT DISTINCT cell, factor FROM p)),
+ bx AS (SELECT DISTINCT a.peak_id, q.factor FROM p a JOIN p q ON q.cell=a.cell AND q.chrom=a.chrom AND q.start_pos<a.end_pos AND q.end_pos>a.start_pos),
+ xt AS (SELECT p.peak_id, o.factor, p.cell, p.chrom, p.start_pos, p.end_pos FROM p JOIN m USING (cell, factor) JOIN m o ON o.cell=p.cell AND o.factor<>p.factor LEFT JOIN bx ON bx.peak_id=p.peak_id AND bx.factor=o.factor
+   WHERE bx.peak_id IS NULL QUALIFY row_number() OVER (PARTITION BY p.peak_id ORDER BY (o.own - (o.own>m.own)::INT - hx % m.others + m.others) % m.others)=1),
+ bg AS (SELECT DISTINCT q.factor, q.cell, c.idx FROM c JOIN p q ON q.chrom=c.chrom AND q.start_pos<c.end_pos AND q.end_pos>c.start_pos),
+ n AS (SELECT gc, count(*) AS n FROM c GROUP BY gc),
+ z AS (SELECT v.gc, coalesce(sum(n) FILTER (n.gc < v.gc-0.05::DOUBLE),0)::BIGINT AS lo, coalesce(sum(n) FILTER (n.gc <= v.gc+0.05::DOUBLE),0)::BIGINT AS hi FROM (SELECT DISTINCT gc FROM p) v, n GROUP BY v.gc),
+ a AS (SELECT peak_id, factor, cell, lo, hi-lo AS n, hg % nullif(hi-lo,0) AS h FROM p JOIN z USING (gc)),
+ r AS (SELECT a.*, 0::BIGINT AS k, bg.idx IS NULL AS free FROM a LEFT JOIN bg ON bg.factor=a.factor AND bg.cell=a.cell AND bg.idx=lo+h WHERE n>0
+   UNION ALL SELECT t.peak_id, t.factor, t.cell, t.lo, t.n, t.h, t.k+1, bg.idx IS NULL FROM (SELECT * FROM r WHERE NOT free AND k+1<n) t LEFT JOIN bg ON bg.factor=t.factor AND bg.cell=t.cell AND bg.idx=t.lo+(t.h+t.k+1)%t.n),
+ gf AS (SELECT r.*, c.chrom, c.start_pos, c.end_pos FROM r JOIN c ON c.idx=lo+(h+k)%n WHERE free)"""
+
+
+@reg(
+    "neg_other_target",
+    sql("pairs", OTHER.format(candidates="true") + """ SELECT *, 'xtf' AS kind, 0 AS binding_label FROM xt UNION ALL SELECT peak_id, factor, cell, chrom, start_pos, end_pos, 'gc', 0 FROM gf"""),
+)
 def neg_other_target(spark, sf):
     peaks, cand = (cut_lineage(d) for d in peak_windows(spark, sf))
     cand = cand.unionByName(peaks.select(F.col("peak_id").alias("cand_id"), "chrom", "start_pos", "end_pos", "seq"))
     return ng.other_target(peaks, cand).drop("seq")
 
 
+@reg(
+    "neg_other_target_left",
+    sql("pairs", OTHER.format(candidates="gc<0.5") + """ SELECT p.peak_id, factor, p.cell, 'xtf' AS kind, CASE WHEN others>0 THEN 'all_factors_bind' ELSE 'no_other_factor' END AS reason
+   FROM p JOIN m USING (cell, factor) WHERE peak_id NOT IN (SELECT peak_id FROM xt)
+ UNION ALL SELECT peak_id, factor, cell, 'gc', CASE WHEN n>0 THEN 'all_windows_bound' ELSE 'no_window_in_reach' END FROM a WHERE peak_id NOT IN (SELECT peak_id FROM gf)"""),
+)
+def neg_other_target_left(spark, sf):
+    peaks, cand = (cut_lineage(d) for d in peak_windows(spark, sf))
+    return ng.without_negative(ng.other_target_all(peaks, cand))
+
+
 @reg(
     "neg_cross_unit",
     sql("pairs", """WITH o AS (SELECT DISTINCT protein_name, dataset_source, rna_sequence FROM pairs WHERE binding_label=1),
- q AS (SELECT dataset_source, rna_sequence, sha256('42|'||dataset_source||'|'||rna_sequence) AS h FROM (SELECT DISTINCT dataset_source, rna_sequence FROM o)),
+ q AS (SELECT DISTINCT dataset_source, rna_sequence FROM o),
  u AS (SELECT DISTINCT protein_name, dataset_source FROM o)
- SELECT u.protein_name, u.dataset_source, q.rna_sequence FROM u JOIN q USING (dataset_source) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.protein_name=u.protein_name AND o.dataset_source=u.dataset_source AND o.rna_sequence=q.rna_sequence)
- QUALIFY row_number() OVER (PARTITION BY u.protein_name, u.dataset_source ORDER BY h) <= 10000"""),
+ SELECT u.protein_name, u.dataset_source, q.rna_sequence FROM u JOIN q USING (dataset_source) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.protein_name=u.protein_name AND o.dataset_source=u.dataset_source AND o.rna_sequence=q.rna_sequence)"""),
 )
 def neg_cross_unit(spark, sf):
     pos = views.pairs(spark, sf).where("binding_label = 1")

@@ -41,7 +41,7 @@ NEEDS = {"proteins": ["docs"], "document_proteins": ["docs"], "pairs": ["docs"],
 def sql(views: str, body: str) -> str:
     """Body with the named views (and what they need) put in front as CTEs.
 
-    A body that starts with ``WITH`` has its own CTEs appended.
+    A body that starts with ``WITH`` or ``WITH RECURSIVE`` has its own CTEs appended.
     """
     order: list[str] = []
 
@@ -57,6 +57,8 @@ def sql(views: str, body: str) -> str:
     body = body.strip()
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
