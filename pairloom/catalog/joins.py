@@ -118,7 +118,7 @@ def jn_interval_merge(spark, sf):
  SELECT ha AS a, hb AS b, round(i::DOUBLE/(na+nb-i),9) AS jaccard, round(i::DOUBLE/least(na,nb),9) AS containment FROM p WHERE i::DOUBLE/(na+nb-i) >= 0.4"""),
 )
 def jn_pair_similarity(spark, sf):
-    out = jn.pair_similarity(views.literature(spark, sf), "rna_sequence", k=4, min_sim=0.4)
+    out = jn.pair_similarity(views.literature(spark, sf), "rna_sequence", k=4, min_sim=0.4, texts=False)
     return out.select("a", "b", rd("jaccard").alias("jaccard"), rd("containment").alias("containment"))
 
 
@@ -130,7 +130,7 @@ def jn_pair_similarity(spark, sf):
  SELECT a, b, round(i::DOUBLE/(na+nb-i),9) AS jaccard, round(i::DOUBLE/least(na,nb),9) AS containment FROM p WHERE i::DOUBLE/(na+nb-i) >= 0.5"""),
 )
 def jn_pair_similarity_probes(spark, sf):
-    out = jn.pair_similarity(views.pairs(spark, sf), "rna_sequence", k=12, min_sim=0.5)
+    out = jn.pair_similarity(views.pairs(spark, sf), "rna_sequence", k=12, min_sim=0.5, texts=False)
     return out.select("a", "b", rd("jaccard").alias("jaccard"), rd("containment").alias("containment"))
 
 

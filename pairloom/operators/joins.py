@@ -112,49 +112,70 @@ def top_neighbours(queries: DataFrame, hits: DataFrame, n=1, clusters: DataFrame
 POSTING = 2000  # members of one k-mer handled by one task slice
 
 
-def pair_similarity(df: DataFrame, seq: str, k=3, min_sim=0.5) -> DataFrame:
-    """All pairs of distinct sequences with k-mer Jaccard >= min_sim, exactly.
+def shared_words(numbered: DataFrame) -> DataFrame:
+    """(sid, words) to (sid, n, ws): the number n of a sequence's words and, rarest first, those
+    that other sequences have too.
 
-    Copies are collapsed first.  Prefix filtering: two sets this similar share one
-    of the |x| - ceil(t|x|) + 1 rarest k-mers of each, so only those are indexed;
-    long posting lists are cut in slices.  Nothing is capped.
+    A word of one sequence only never meets another; it just comes before all others in order.
     """
-    s = df.select(F.col(seq).alias("seq")).distinct().withColumn("words", kmers("seq", k, distinct=True))
-    s = s.where(F.size("words") > 0).withColumn("sid", F.unhex(F.md5("seq")))
-    # words travel as 64-bit hashes: a clash only adds a candidate, which the check below removes
-    long = s.select("sid", F.size("words").alias("n"), F.explode("words").alias("word")).withColumn("w", F.xxhash64("word")).drop("word")
-    freq = long.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    # a word of a single sequence can never meet another one; it only takes its place in the prefix
-    ranked = long.join(freq, "w").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(min_sim) - 1e-9) + 1).cast("int")
-    index = ranked.select("sid", "n", F.explode(F.slice("ws", F.lit(1), keep)).alias("x")).select("sid", "n", "x.w", "x.df").where("df > 1")
-    index = cut_lineage(index)
-    slices = F.ceil(F.col("df") / POSTING).cast("int")
-    left = index.select(
-        F.col("sid").alias("a"), F.col("n").alias("na"), "w", F.pmod(F.xxhash64("sid"), slices.cast("long")).cast("int").alias("part")
-    )
-    right = index.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "w", F.explode(F.sequence(F.lit(0), slices - 1)).alias("part"))
-    small, big = F.least("na", "nb"), F.greatest("na", "nb")
-    cand = left.join(right, ["w", "part"]).where((F.col("a") < F.col("b")) & (small >= big * min_sim - 1e-9)).select("a", "b")
-    # few bytes but much work per row: a fixed partition count keeps the check spread out
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cand = cand.repartition(width, "a", "b").distinct()
-    text = s.select("sid", "seq")
-    j = cand.join(text.select(F.col("sid").alias("a"), F.col("seq").alias("seq_a")), "a")
-    j = j.join(text.select(F.col("sid").alias("b"), F.col("seq").alias("seq_b")), "b")
-    # sequences are narrower than their word sets: cut the words again after the join
-    j = j.withColumns({"wa": kmers("seq_a", k, distinct=True), "wb": kmers("seq_b", k, distinct=True)})
-    j = j.withColumn("inter", F.size(F.array_intersect("wa", "wb")))
-    na, nb = F.size("wa"), F.size("wb")
-    j = j.withColumn("jaccard", F.col("inter") / (na + nb - F.col("inter"))).where(F.col("jaccard") >= min_sim)
-    ha, hb = F.sha2("seq_a", 256), F.sha2("seq_b", 256)
-    first = ha < hb
-    return j.select(
-        F.least(ha, hb).alias("a"), F.greatest(ha, hb).alias("b"),
-        F.when(first, F.col("seq_a")).otherwise(F.col("seq_b")).alias("seq_a"),
-        F.when(first, F.col("seq_b")).otherwise(F.col("seq_a")).alias("seq_b"),
-        "jaccard", (F.col("inter") / F.least(na, nb)).alias("containment"),
+    long = numbered.select("sid", F.size("words").alias("n"), F.explode("words").alias("w"))
+    freq = long.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return long.join(freq, "w").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+
+
+def pair_similarity(df: DataFrame, seq: str, k=3, min_sim=0.5, texts=True) -> DataFrame:
+    """All pairs of distinct sequences with k-mer Jaccard >= min_sim, exactly but for a clash of
+    64-bit word hashes: a, b (sha-256 of the sequences, a < b), jaccard, containment and, with
+    ``texts``, seq_a and seq_b.
+
+    Copies are collapsed first.  Prefix filtering: two sets this similar share one of the
+    |x| - ceil(t|x|) + 1 rarest words of each, so only those are indexed, with their position and
+    the shared words before it.  A pair is met at its first common word, where no word before is
+    in both; what can still be common after the two positions must reach the overlap that the
+    similarity needs.  Long posting lists are cut in slices.  Nothing is capped.
+    """
+    seqs = df.select(F.col(seq).alias("seq")).distinct().select(
+        F.monotonically_increasing_id().alias("sid"), F.unhex(F.sha2("seq", 256)).alias("sha"), "seq",
+        F.transform(kmers("seq", k, distinct=True), lambda x: F.xxhash64(x)).alias("words"),
+    )
+    seqs = cut_lineage(seqs.where(F.size("words") > 0))
+    ranked = cut_lineage(shared_words(seqs))
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(min_sim) - 1e-9) + 1
+    alone = F.col("n") - F.size("ws")
+    index = ranked.select("sid", "n", alone.alias("alone"), "ws", F.posexplode("ws").alias("i", "x"))
+    index = index.where(F.col("alone") + F.col("i") < keep).select(
+        "sid", "n", (F.col("alone") + F.col("i") + 1).cast("int").alias("at"), F.transform(F.slice("ws", F.lit(1), F.col("i")), lambda x: x["w"]).alias("before"),
+        "x.w", F.ceil(F.col("x.df") / POSTING).cast("int").alias("slices"),
     )
+    index = cut_lineage(index)
+    side = lambda o: [F.col(c).alias(f"{c}_{o}") for c in ("n", "at", "before")]
+    left = index.select(F.col("sid").alias("a"), *side("a"), "w", F.pmod(F.xxhash64("sid"), F.col("slices").cast("long")).cast("int").alias("part"))
+    right = index.select(F.col("sid").alias("b"), *side("b"), "w", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(min_sim / (1.0 + min_sim)) - 1e-9)
+    may = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * min_sim - 1e-9) & (may >= need) & ~F.arrays_overlap("before_a", "before_b")
+    cand = left.join(right, ["w", "part"]).where((F.col("a") < F.col("b")) & fits).select("a", "b")
+    # few bytes but much work per row: about as many tasks as the index has rows for
+    cand = cand.repartition(check_width(index), "a")
+    words = lambda c: ranked.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.transform("ws", lambda x: x["w"]).alias(f"w_{c}"))
+    j = cand.join(words("a"), "a").join(words("b"), "b").withColumn("inter", F.size(F.array_intersect("w_a", "w_b")))
+    j = j.withColumn("jaccard", F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).where(F.col("jaccard") >= min_sim)
+    j = j.select("a", "b", "jaccard", (F.col("inter") / F.least("n_a", "n_b")).alias("containment"))
+    of = lambda c: seqs.select(F.col("sid").alias(c), F.struct("sha", *(["seq"] if texts else [])).alias(f"s_{c}"))
+    j = j.join(of("a"), "a").join(of("b"), "b")
+    ends = F.sort_array(F.array("s_a", "s_b"))
+    j = j.select("jaccard", "containment", ends[0].alias("x"), ends[1].alias("y"))
+    out = {"a": F.lower(F.hex("x.sha")), "b": F.lower(F.hex("y.sha"))} | ({"seq_a": F.col("x.seq"), "seq_b": F.col("y.seq")} if texts else {})
+    return j.select(*[c.alias(n) for n, c in out.items()], "jaccard", "containment")
+
+
+CHECKED = 200_000  # index rows whose candidates one task checks
+
+
+def check_width(index: DataFrame) -> int:
+    """Tasks for the check of candidates: by the rows of the index, at least the session's number."""
+    width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, -(-index.count() // CHECKED))
 
 
 BLOCK = 2048
