@@ -227,25 +227,122 @@ def standardise(df: DataFrame, ref: DataFrame, key: str, vec: str, scale=False)
     return df.withColumn("_st", st).withColumn(vec, out).drop("_st")
 
 
+PIVOTS, SAMPLE = 512, 8192
+
+
+def _unit(rows) -> np.ndarray:
+    m = np.vstack(rows).astype(float)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1.0, n)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def pivots(t: DataFrame, key: str, vec: str, n: int) -> np.ndarray:
+    """n unit vectors of a bounded sample, each the farthest from those before it."""
+    drawn = _unit(t.select(vec).orderBy(F.xxhash64(key), key).limit(min(SAMPLE, 16 * n)).toPandas()[vec].to_list())
+    out, far = [0], _angles(drawn, drawn[:1])[:, 0]
+    while len(out) < min(n, len(drawn)) and far.max() > 0:
+        out.append(int(far.argmax()))
+        far = np.minimum(far, _angles(drawn, drawn[out[-1:]])[:, 0])
+    return drawn[out]
+
+
+class _Clusters:
+    """Targets dealt to the pivot at the smallest angle; a cluster's radius is its largest angle."""
+
+    def __init__(self, t: DataFrame, key: str, vec: str):
+        self.key, self.vec, self.size = key, vec, BLOCK
+        n = t.count()
+        self.pivots = pivots(t, key, vec, max(1, min(PIVOTS, -(-n // BLOCK)))) if n else np.zeros((1, 1))
+        self.rows = cut_lineage(self.deal(t))
+        # at most PIVOTS rows
+        seen = self.rows.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.max("_a").alias("r")).collect()
+        self.n, self.radius = np.zeros(len(self.pivots), np.int64), np.zeros(len(self.pivots))
+        for r in seen:
+            self.n[r["_c"]], self.radius[r["_c"]] = r["n"], r["r"]
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        centre, key, vec = self.pivots, self.key, self.vec
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    a = _angles(_unit(pdf[vec].to_list()), centre)
+                    yield pdf.assign(_c=a.argmin(1).astype("int32"), _a=a.min(1))
+
+        return df.select(F.col(key).cast("string").alias(key), F.col(vec).cast("array<double>").alias(vec)).mapInPandas(run, f"{key} string, {vec} array<double>, _c int, _a double")
+
+    def others(self, q: DataFrame) -> DataFrame:
+        """q (key, vec, _c, _b): a row for every further cluster that may hold a target of similarity _b or more."""
+        centre, radius, filled, key, vec = self.pivots, self.radius, self.n > 0, self.key, self.vec
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    least = np.maximum(0.0, _angles(_unit(pdf[vec].to_list()), centre) - radius - 1e-7)
+                    need = (np.cos(least) >= pdf["_b"].to_numpy()[:, None]) & filled
+                    need[np.arange(len(pdf)), pdf["_c"]] = False
+                    r, c = np.nonzero(need)
+                    yield pd.DataFrame({key: pdf[key].to_numpy()[r], vec: pdf[vec].to_numpy()[r], "_c": c.astype("int32")})
+
+        return q.select(key, vec, "_c", "_b").mapInPandas(run, f"{key} string, {vec} array<double>, _c int")
+
+    def best(self, visits: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """visits (key, vec, _c): the k nearest of each query in each block of the cluster."""
+        key, vec = self.key, self.vec
+        visits = cut_lineage(visits.select(key, vec, "_c"))
+        asked = np.zeros(len(self.n), np.int64)
+        for r in visits.groupBy("_c").count().collect():
+            asked[r["_c"]] = r["count"]
+        of = lambda counts: F.element_at(F.array(*[F.lit(int(max(1, -(-x // self.size)))) for x in counts]), F.col("_c") + 1)
+        # cluster c meets its queries in blocks of both
+        own, other = (lambda n: F.pmod(F.xxhash64(key), of(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), of(n).cast("int") - 1)))
+        left = visits.withColumn("_qb", own(asked)).withColumn("_tb", other(self.n))
+        right = self.rows.select(F.col(key), F.col(vec).alias("_tv"), "_c").withColumn("_tb", own(self.n)).withColumn("_qb", other(asked)).withColumnRenamed(key, "_tk")
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame(columns=["query", "target", "sim"])
+            sim = _unit(a[vec].to_list()) @ _unit(b["_tv"].to_list()).T
+            qi, ti = a[key].to_numpy(), b["_tk"].to_numpy()
+            if exclude_self:
+                sim[qi[:, None] == ti[None, :]] = -np.inf
+            # ties go to the smaller name, as in the final ranking
+            by_name = np.argsort(ti, kind="stable")
+            sim, ti = sim[:, by_name], ti[by_name]
+            order = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, sim.shape[1])]
+            rows = np.repeat(np.arange(len(qi)), order.shape[1])
+            out = pd.DataFrame({"query": qi[rows], "target": ti[order.ravel()], "sim": sim[rows, order.ravel()]})
+            return out[np.isfinite(out["sim"])]
+
+        at = ["_c", "_tb", "_qb"]
+        return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(run, "query string, target string, sim double")
+
+
 def cosine_knn(q: DataFrame, t: DataFrame, key: str, vec: str, k: int, center=False, scale=False, exclude_self=True) -> DataFrame:
-    """Top-k cosine neighbours; each block keeps k per query, then k overall."""
+    """Top-k cosine neighbours, exact.
+
+    Targets lie in clusters about pivots.  A query is held against its own cluster first; a further
+    cluster is visited only if the angle to its pivot less its radius allows the k-th similarity
+    found.  A cluster meets its queries in blocks, each of which keeps k a query.
+    """
     if center or scale:
         ref = t
         q, t = standardise(q, ref, key, vec, scale), standardise(t, ref, key, vec, scale)
-
-    def keep(qi, Q, ti, T):
-        sim = Q @ T.T
-        if exclude_self:
-            sim[qi[:, None] == ti[None, :]] = -np.inf
-        m = min(k, sim.shape[1])
-        order = np.argsort(-sim, axis=1, kind="stable")[:, :m]
-        rows = np.repeat(np.arange(len(qi)), m)
-        cols = order.ravel()
-        out = pd.DataFrame({"query": qi[rows], "target": ti[cols], "sim": sim[rows, cols]})
-        return out[np.isfinite(out["sim"])]
-
-    part = vector_products(q, t, key, vec, keep, "query string, target string, sim double")
-    return top_per_group(part, "query", [F.desc("sim"), "target"], k)
+    clusters = _Clusters(t, key, vec)
+    if not clusters.n.sum():
+        return q.select(F.col(key).cast("string").alias("query"), F.lit("").alias("target"), F.lit(0.0).alias("sim"), F.lit(1).alias("rk")).limit(0)
+    asked = cut_lineage(clusters.deal(q))
+    near = cut_lineage(top_per_group(clusters.best(asked, k, exclude_self), "query", [F.desc("sim"), "target"], k).drop("rk"))
+    if len(clusters.pivots) == 1:
+        return top_per_group(near, "query", [F.desc("sim"), "target"], k)
+    bound = near.groupBy(F.col("query").alias(key)).agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("_b"))
+    further = clusters.others(asked.join(bound, key, "left").withColumn("_b", F.coalesce("_b", F.lit(-2.0))))
+    both = near.unionByName(clusters.best(further, k, exclude_self))
+    return top_per_group(both, "query", [F.desc("sim"), "target"], k)
 
 
 def cosine_pairs(df: DataFrame, key: str, vec: str, center=False, min_sim=None) -> DataFrame:
