@@ -189,8 +189,7 @@ RANKING = """WITH m AS (SELECT protein_name, experiment_id, avg(probe_intensity)
 
 
 def ranking(spark, sf):
-    p = views.pairs_seq(spark, sf).withColumn("protein_length", F.length("protein_sequence")).drop("protein_sequence")
-    return ag.intensity_ranking(p)
+    return ag.intensity_ranking(views.pairs_keyed(spark, sf))
 
 
 @reg(

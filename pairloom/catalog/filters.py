@@ -80,9 +80,10 @@ def flt_best_experiment_z(spark, sf):
  FROM pairs_seq WHERE length(rna_sequence)>=10 AND length(protein_sequence)>=20"""),
 )
 def flt_quality(spark, sf):
-    p = views.pairs_seq(spark, sf)
-    kept = fl.quality_rows(p)
-    q = fl.quality_problems(p)
+    p = views.pairs_keyed(spark, sf)
+    kept = fl.quality_rows(p, prot_length="protein_length")
+    counted = p.groupBy("protein_key").agg(F.count(F.lit(1)).alias("n")).join(views.protein_texts(spark, sf), "protein_key")
+    q = fl.quality_problems(counted, weight="n")
     n = kept.agg(F.count(F.lit(1))).scalar()
     total = p.agg(F.count(F.lit(1))).scalar()
     return q.select(n.alias("rows_kept"), total.alias("rows_in"), "distinct_sequences", F.col("min_length").cast("long").alias("min_length"), "failed")
@@ -136,14 +137,16 @@ def ddp_replicates(spark, sf):
 
 @reg(
     "ddp_variants",
-    sql("pairs proteins", """WITH q AS (SELECT p.protein_name, dataset_source, split, regexp_replace(substr(protein_sequence, CASE dataset_source WHEN 'fr' THEN 11 ELSE 1 END),'[^ACDEFGHIKLMNPQRSTVWY]','','g') AS s FROM pairs p JOIN proteins USING (protein_name)),
+    sql("pairs_seq", """WITH q AS (SELECT protein_name, dataset_source, split, regexp_replace(substr(protein_sequence, CASE dataset_source WHEN 'fr' THEN 11 ELSE 1 END),'[^ACDEFGHIKLMNPQRSTVWY]','','g') AS s FROM pairs_seq),
  v AS (SELECT protein_name, md5(s) AS seq, min(split) AS split_first_seen, min(dataset_source) AS first_source, count(*) AS n_rows FROM q GROUP BY protein_name, md5(s))
  SELECT *, count(*) OVER (PARTITION BY protein_name) AS n_variants, CASE WHEN count(*) OVER (PARTITION BY protein_name)>1 THEN 1 ELSE 0 END AS multi_sequence FROM v"""),
 )
 def ddp_variants(spark, sf):
-    p = views.pairs_seq(spark, sf).withColumn(
-        "protein_sequence",
-        F.when(F.col("dataset_source") == "fr", F.expr("substr(protein_sequence, 11)")).otherwise(F.col("protein_sequence")),
-    )
-    v = fl.variant_registry(p)
+    """Rows of one language have their proteins without the first ten residues."""
+    cut = lambda c: F.concat(c, F.lit("|cut"))
+    p = views.pairs_keyed(spark, sf)
+    p = p.withColumn("protein_key", F.when(F.col("dataset_source") == "fr", cut(F.col("protein_key"))).otherwise(F.col("protein_key")))
+    whole = views.protein_texts(spark, sf)
+    short = whole.select(cut(F.col("protein_key")).alias("protein_key"), F.expr("substr(protein_sequence, 11)").alias("protein_sequence"))
+    v = fl.variant_registry(p, texts=whole.unionByName(short))
     return v.withColumn("seq", F.md5("protein_sequence")).drop("protein_sequence")

@@ -23,11 +23,11 @@ FLAGS_SQL = """e AS (SELECT * FROM pairs_seq WHERE split='test'), t AS (SELECT *
  SELECT pair_id, CASE WHEN protein_name IN (SELECT protein_name FROM t) THEN 1 ELSE 0 END AS protein_name_in_train,
   CASE WHEN md5(protein_sequence) IN (SELECT md5(protein_sequence) FROM t) THEN 1 ELSE 0 END AS protein_sequence_in_train,
   CASE WHEN rna_sequence IN (SELECT rna_sequence FROM t WHERE binding_label=1) THEN 1 ELSE 0 END AS rna_in_train_positives,
-  CASE WHEN protein_name||rna_sequence IN (SELECT protein_name||rna_sequence FROM t) THEN 1 ELSE 0 END AS exact_pair_in_train,
+  CASE WHEN md5(protein_sequence)||rna_sequence IN (SELECT md5(protein_sequence)||rna_sequence FROM t) THEN 1 ELSE 0 END AS exact_pair_in_train,
   CASE WHEN protein_name IN (SELECT protein_name FROM t) THEN 1 ELSE 0 END AS gene_key_in_train FROM e"""),
 )
 def jn_leakage(spark, sf):
-    p = views.pairs_seq(spark, sf)
+    p = views.pairs_keyed(spark, sf)
     return jn.annotate_leakage(p.where("split = 'test'"), p.where("split = 'train'")).select("pair_id", *jn.LEAKAGE_FLAGS)
 
 
@@ -335,13 +335,13 @@ def jn_motif_transfer(spark, sf):
     sql("pairs_seq", "WITH " + FLAGS_SQL + """, l AS (SELECT * FROM pairs_seq WHERE split='val')
  SELECT count(*) AS n_rows, count(DISTINCT protein_name) AS n_names, count(DISTINCT CASE WHEN protein_name IN (SELECT protein_name FROM t) THEN protein_name END) AS n_names_in_train,
   count(DISTINCT CASE WHEN protein_name IN (SELECT protein_name FROM l) THEN protein_name END) AS n_names_in_literature, count(*) AS n_with_sequences,
-  count(*) FILTER (protein_name||rna_sequence IN (SELECT protein_name||rna_sequence FROM l)) AS pairs_in_literature,
-  count(*) FILTER (protein_name||rna_sequence IN (SELECT protein_name||rna_sequence FROM t)) AS exact_pair_in_train,
+  count(*) FILTER (md5(protein_sequence)||rna_sequence IN (SELECT md5(protein_sequence)||rna_sequence FROM l)) AS pairs_in_literature,
+  count(*) FILTER (md5(protein_sequence)||rna_sequence IN (SELECT md5(protein_sequence)||rna_sequence FROM t)) AS exact_pair_in_train,
   count(*) FILTER (rna_sequence IN (SELECT rna_sequence FROM t WHERE binding_label=1)) AS rna_in_train_positives,
-  round(count(*) FILTER (protein_name||rna_sequence IN (SELECT protein_name||rna_sequence FROM t))::DOUBLE/count(*),9) AS fraction_exact_pair_in_train FROM e"""),
+  round(count(*) FILTER (md5(protein_sequence)||rna_sequence IN (SELECT md5(protein_sequence)||rna_sequence FROM t))::DOUBLE/count(*),9) AS fraction_exact_pair_in_train FROM e"""),
 )
 def jn_overlap_assay(spark, sf):
-    p = views.pairs_seq(spark, sf)
+    p = views.pairs_keyed(spark, sf)
     s = lambda x: p.where(F.col("split") == x)
     o = jn.assay_overlap(s("test"), s("val"), s("train"))
     return o.withColumn("fraction_exact_pair_in_train", rd("fraction_exact_pair_in_train"))

@@ -22,30 +22,35 @@ def rows(spark, sf):
     return cut_lineage(views.pairs(spark, sf))
 
 
+def keyed_rows(spark, sf):
+    """Rows with their own document's protein as a digest, written once."""
+    return cut_lineage(views.pairs_keyed(spark, sf))
+
+
 def by_split(spark, sf, name):
     return views.pairs(spark, sf).where(F.col("split") == name)
 
 
 @reg(
     "ml_features",
-    sql("pairs proteins", """WITH j AS (SELECT p.*, length(protein_sequence) AS pl FROM pairs p JOIN proteins USING (protein_name)), tr AS (SELECT * FROM j WHERE split='train'),
+    sql("pairs_seq", """WITH j AS (SELECT *, length(protein_sequence) AS pl, md5(protein_sequence) AS pk FROM pairs_seq), tr AS (SELECT * FROM j WHERE split='train'),
  w AS (SELECT DISTINCT pair_id, split, unnest([substr(rna_sequence,i,4) for i in range(1,length(rna_sequence)-2)]) AS kmer FROM j), tw AS (SELECT DISTINCT kmer FROM w WHERE split='train'), rn AS (SELECT pair_id, count(*) AS n FROM w JOIN tw USING (kmer) GROUP BY 1),
- v AS (SELECT DISTINCT protein_name, unnest([substr(protein_sequence,i,3) for i in range(1,length(protein_sequence)-1)]) AS kmer FROM proteins), tv AS (SELECT DISTINCT kmer FROM v WHERE protein_name IN (SELECT protein_name FROM tr)), pn AS (SELECT protein_name, count(*) AS n FROM v JOIN tv USING (kmer) GROUP BY 1),
+ v AS (SELECT DISTINCT md5(prot) AS pk, unnest([substr(prot,i,3) for i in range(1,length(prot)-1)]) AS kmer FROM docs WHERE length(prot)>=30), tv AS (SELECT DISTINCT kmer FROM v WHERE pk IN (SELECT pk FROM tr)), pn AS (SELECT pk, count(*) AS n FROM v JOIN tv USING (kmer) GROUP BY 1),
  c AS (SELECT count(DISTINCT dataset_source) AS ns, max(length(rna_sequence)) AS r, max(pl) AS p, CASE WHEN count(DISTINCT length(rna_sequence))>1 THEN 1 ELSE 0 END AS rv, CASE WHEN count(DISTINCT pl)>1 THEN 1 ELSE 0 END AS pv FROM tr)
  SELECT pair_id, split, (256+8000+ns+1+2)::INT AS dims, (coalesce(rn.n,0)+coalesce(pn.n,0)+rv+pv+CASE WHEN dataset_source IN (SELECT dataset_source FROM tr) THEN 1 ELSE 0 END)::INT AS nonzero, round(length(rna_sequence)/r,9) AS rna_rel, round(pl/p,9) AS prot_rel
- FROM j LEFT JOIN rn USING (pair_id) LEFT JOIN pn USING (protein_name), c"""),
+ FROM j LEFT JOIN rn USING (pair_id) LEFT JOIN pn USING (pk), c"""),
 )
 def ml_features(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    f = ml.build_features(views.pairs(spark, sf), views.proteins(spark, sf))
+    f = ml.build_features(views.pairs_keyed(spark, sf), views.protein_texts(spark, sf), "protein_key")
     a = vector_to_array("features")
     return f.select("pair_id", "split", F.size(a).alias("dims"), F.size(F.filter(a, lambda x: x != 0)).alias("nonzero"), rd("rna_rel").alias("rna_rel"), rd("prot_rel").alias("prot_rel"))
 
 
 @reg("ml_baselines")
 def ml_baselines(spark, sf):
-    p = ml.build_features(rows(spark, sf), views.proteins(spark, sf))
+    p = ml.build_features(keyed_rows(spark, sf), views.protein_texts(spark, sf), "protein_key")
     return rounded(ml.train_baselines(p.select("binding_label", "split", "features")), "auroc", "auprc")
 
 
@@ -127,7 +132,7 @@ def ml_label_prior(spark, sf):
 
 @reg("ml_marginals")
 def ml_marginals(spark, sf):
-    return rounded(ml.shortcut_audit(rows(spark, sf), views.proteins(spark, sf), "pair_id"), "auroc", "auroc_std", "auprc", digits=6)
+    return rounded(ml.shortcut_audit(keyed_rows(spark, sf), views.protein_texts(spark, sf), "pair_id", protein="protein_key"), "auroc", "auroc_std", "auprc", digits=6)
 
 
 @reg("ml_rna_audit")

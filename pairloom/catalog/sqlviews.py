@@ -16,7 +16,7 @@ VIEWS = {
   FROM (SELECT d.*, l.quality, unnest(CASE WHEN length(rna) <= 60 THEN [0::BIGINT] ELSE list_concat(range(0, length(rna)-59, 60),
      CASE WHEN (length(rna)-60) % 60 <> 0 THEN [length(rna)-60] ELSE [] END) END) AS off
      FROM docs d JOIN labels l USING (doc_id) WHERE length(rna) >= 4))""",
-    "pairs_seq": "pairs_seq AS (SELECT p.*, q.protein_sequence FROM pairs p JOIN proteins q USING (protein_name))",
+    "pairs_seq": "pairs_seq AS (SELECT p.*, d.prot AS protein_sequence FROM pairs p JOIN docs d USING (doc_id) WHERE length(d.prot) >= 30)",
     "scores": """scores AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || floor(l_extendedprice*100+0.5::DOUBLE)::BIGINT AS row_id,
   'P' || l_suppkey AS protein_name, 'R' || l_partkey AS rna_id,
   CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS binding_label, l_quantity/50 AS score_a, l_discount AS score_b,
@@ -35,7 +35,7 @@ VIEWS = {
   CASE WHEN item_id % 4 <> 3 THEN 1 ELSE 0 END AS binding_label FROM benchmark)""",
     "emb": "emb AS (SELECT 'V' || vec_id AS protein_name, embedding, 'fam' || label AS family FROM embeddings)",
 }
-NEEDS = {"proteins": ["docs"], "document_proteins": ["docs"], "pairs": ["docs"], "pairs_seq": ["pairs", "proteins"]}
+NEEDS = {"proteins": ["docs"], "document_proteins": ["docs"], "pairs": ["docs"], "pairs_seq": ["pairs"]}
 
 
 def sql(views: str, body: str) -> str:

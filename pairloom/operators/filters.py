@@ -71,15 +71,16 @@ def best_experiment_by_motif(df, z, group="protein_name", experiment="experiment
     return _best(df, both, group, experiment)
 
 
-def quality_rows(df, rna="rna_sequence", prot="protein_sequence", min_rna=10, min_prot=20) -> DataFrame:
-    return df.where(
-        F.col(rna).isNotNull() & F.col(prot).isNotNull() & (F.length(rna) >= min_rna) & (F.length(prot) >= min_prot)
-    )
+def quality_rows(df, rna="rna_sequence", prot="protein_sequence", min_rna=10, min_prot=20, prot_length=None) -> DataFrame:
+    """``prot_length`` names a column with the protein's length, for rows that do not carry its text."""
+    long = F.col(prot_length) if prot_length else F.length(prot)
+    return df.where(F.col(rna).isNotNull() & long.isNotNull() & (F.length(rna) >= min_rna) & (long >= min_prot))
 
 
-def quality_problems(df, seq="protein_sequence", min_len=10) -> DataFrame:
-    """One row of checks: placeholder text, distinct sequences, shortest length."""
-    per = df.groupBy(seq).agg(F.count(F.lit(1)).alias("_n"))
+def quality_problems(df, seq="protein_sequence", min_len=10, weight=None) -> DataFrame:
+    """One row of checks: placeholder text, distinct sequences, shortest length; ``weight`` names a
+    column with the number of rows that a row stands for."""
+    per = df.groupBy(seq).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     return per.agg(
         F.sum(F.when(F.lower(F.trim(seq)) == "ok", F.col("_n")).otherwise(0)).alias("placeholders"),
         F.count(seq).alias("distinct_sequences"),
@@ -142,11 +143,17 @@ def average_replicates(df, keys, value) -> DataFrame:
     return df.groupBy(*_list(keys)).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("replicates"))
 
 
-def variant_registry(df, name="protein_name", seq="protein_sequence", source="dataset_source", split="split") -> DataFrame:
-    """Unique (name, sequence) variants; the first split is the alphabetically first."""
-    clean = df.withColumn(seq, sanitize_protein(seq)["seq"])
-    v = clean.groupBy(name, seq).agg(
-        F.min(split).alias("split_first_seen"), F.min(source).alias("first_source"), F.count(F.lit(1)).alias("n_rows")
+def variant_registry(df, name="protein_name", seq="protein_sequence", source="dataset_source", split="split", texts=None, key="protein_key") -> DataFrame:
+    """Unique (name, sequence) variants; the first split is the alphabetically first.
+
+    With ``texts`` (key, seq) the rows carry the key only: they are counted by it before the
+    texts come in, once for each name and key.
+    """
+    of = [name, seq if texts is None else key]
+    v = df.groupBy(*of).agg(F.min(split).alias("_split"), F.min(source).alias("_source"), F.count(F.lit(1)).alias("_n"))
+    v = v if texts is None else v.join(texts, key)
+    v = v.withColumn(seq, sanitize_protein(seq)["seq"]).groupBy(name, seq).agg(
+        F.min("_split").alias("split_first_seen"), F.min("_source").alias("first_source"), F.sum("_n").alias("n_rows")
     )
     per = v.groupBy(name).agg(F.count(F.lit(1)).alias("n_variants"))
     return v.join(per, name).withColumn("multi_sequence", (F.col("n_variants") > 1).cast("int"))

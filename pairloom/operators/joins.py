@@ -35,10 +35,16 @@ def _digest(c):
     return F.unhex(F.md5(c))
 
 
+def _canonical(df: DataFrame) -> DataFrame:
+    """Add _p, _r and _g: the digest of the protein, taken from ``protein_key`` (md5 of the text in
+    upper case) where rows carry it instead of the text, the RNA and the gene key."""
+    p = F.unhex("protein_key") if "protein_key" in df.columns else _digest(F.upper("protein_sequence"))
+    return df.withColumns({"_p": p, "_r": normalize_rna("rna_sequence"), "_g": nm.gene_key("protein_name")})
+
+
 def annotate_leakage(ev: DataFrame, train: DataFrame) -> DataFrame:
     """Five train-leakage flags per eval row."""
-    canon = {"_p": _digest(F.upper("protein_sequence")), "_r": normalize_rna("rna_sequence"), "_g": nm.gene_key("protein_name")}
-    e, t = ev.withColumns(canon), train.withColumns(canon)
+    e, t = _canonical(ev), _canonical(train)
     out = flag_in(e, t, "protein_name", "protein_name_in_train")
     out = flag_in(out, t, "_p", "protein_sequence_in_train")
     out = flag_in(out, t.where(F.col("binding_label") == 1), "_r", "rna_in_train_positives")
@@ -647,10 +653,10 @@ def motif_vs_transfer(conc: DataFrame, transfer: DataFrame, key="protein_key") -
 
 def assay_overlap(df: DataFrame, literature: DataFrame, train: DataFrame) -> DataFrame:
     """One row: names, rows with both sequences, literature pairs and train leakage."""
-    canon = {"_p": _digest(F.upper("protein_sequence")), "_r": normalize_rna("rna_sequence"), "_g": nm.gene_key("protein_name")}
-    lit, d = literature.withColumns(canon), df.withColumns(canon)
-    has = (F.length("protein_sequence") > 0) & (F.length("_r") > 0)
-    flagged = flag_in(annotate_leakage(d, train).withColumns(canon), lit, ["_p", "_r"], "pair_in_literature")
+    lit = _canonical(literature)
+    long = F.col("protein_length") if "protein_length" in df.columns else F.length("protein_sequence")
+    flagged = flag_in(_canonical(annotate_leakage(df, train)), lit, ["_p", "_r"], "pair_in_literature")
+    has = (long > 0) & (F.length("_r") > 0)
     flagged = flag_in(flagged, lit, "_g", "name_in_literature")
     both = F.coalesce(has, F.lit(False)).cast("int")
     n = F.sum(both)

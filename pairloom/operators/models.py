@@ -383,7 +383,10 @@ def protein_vectors(df, group="protein_name", seq="protein_sequence", k=3) -> Da
 
 
 def build_features(df, proteins, group="protein_name", seq="rna_sequence", source="dataset_source", split="split", k=4):
-    """RNA 4-mers, protein 3-mers, source, lengths over the train maximum; scaled by train only."""
+    """RNA 4-mers, protein 3-mers, source, lengths over the train maximum; scaled by train only.
+
+    ``group`` is the key by which rows name their protein of ``proteins``.
+    """
     p = protein_vectors(proteins, group)
     d = word_vector(df, seq, k, "AUGC", "rna_vec").join(p, group)
     train = d.where(F.col(split) == "train")
@@ -434,17 +437,21 @@ def kmer_lr(train, test, key, seq="rna_sequence", label=LABEL, k_max=4) -> DataF
 
 
 def shortcut_audit(
-    df, proteins, key, group="protein_name", seq="rna_sequence", label=LABEL, folds=5, rna_k=4, protein_k=3, parallelism=4, seed=42
+    df, proteins, key, group="protein_name", seq="rna_sequence", label=LABEL, folds=5, rna_k=4, protein_k=3, parallelism=4, seed=42, protein=None
 ) -> DataFrame:
     """RNA-only, protein-only and both, under random, protein-disjoint and RNA-disjoint folds.
 
+    Folds go by ``group``; ``protein`` (by default the same) is the key by which rows name their
+    protein of ``proteins``.
+
     Every fold is scored by a model of the others: mean and spread of the folds' metrics, with
     the label prior (``prior``) as the score that knows names only.  A fold with one label has
     no metric and counts in n_folds only.
     """
-    triad = proteins.select(group, triad_letters("protein_sequence").alias("_t"))
-    prot = word_vector(triad, "_t", protein_k, "0123456", "prot_vec").select(group, "prot_vec")
-    d = word_vector(df.select(key, group, seq, label), seq, rna_k, "AUGC", "rna_vec").join(prot, group)
+    protein = protein or group
+    triad = proteins.select(protein, triad_letters("protein_sequence").alias("_t"))
+    prot = word_vector(triad, "_t", protein_k, "0123456", "prot_vec").select(protein, "prot_vec")
+    d = word_vector(df.select(key, group, seq, label, *([] if protein == group else [protein])), seq, rna_k, "AUGC", "rna_vec").join(prot, protein)
     views = {"random": None, "protein_disjoint": group, "rna_disjoint": seq}
     inputs = {"rna": ["rna_vec"], "protein": ["prot_vec"], "both": ["rna_vec", "prot_vec"]}
 

@@ -57,9 +57,8 @@ def document_number(name="protein_name"):
     return F.regexp_extract(name, "d([0-9]+)$", 1).cast("long")
 
 
-def pairs(spark, sf) -> DataFrame:
-    """Every 60-letter window of every labelled document."""
-    d = docs(spark, sf).drop("prot").join(table(spark, sf, "labels"), "doc_id").where(F.length("rna") >= 4)
+def _windows(d: DataFrame, spark, sf, *more) -> DataFrame:
+    d = d.join(table(spark, sf, "labels"), "doc_id").where(F.length("rna") >= 4)
     return d.select("*", F.explode(window_offsets("rna", WINDOW, WINDOW)).alias("off")).select(
         F.concat_ws("_", F.lit("pair"), F.col("doc_id").cast("string"), F.col("off").cast("string")).alias("pair_id"),
         "doc_id",
@@ -73,11 +72,32 @@ def pairs(spark, sf) -> DataFrame:
         .when(F.col("lang") == "fr", "Danio rerio").alias("organism"),
         (F.col("n_chars").cast("double") / (F.col("off") + 1)).alias("probe_intensity"),
         F.when(F.col("off") % 7 < 4, "train").when(F.col("off") % 7 == 4, "val").otherwise("test").alias("split"),
+        *more,
     )
 
 
+def pairs(spark, sf) -> DataFrame:
+    """Every 60-letter window of every labelled document."""
+    return _windows(docs(spark, sf).drop("prot"), spark, sf)
+
+
+def pairs_keyed(spark, sf) -> DataFrame:
+    """``pairs`` of documents with a protein of 30 residues or more, each with its own document's
+    protein as a digest and a length: the long text stays in ``protein_texts``."""
+    d = docs(spark, sf).where(F.length("prot") >= 30)
+    keyed = d.select("*", F.md5("prot").alias("protein_key"), F.length("prot").alias("protein_length")).drop("prot")
+    return _windows(keyed, spark, sf, "protein_key", "protein_length")
+
+
+def protein_texts(spark, sf) -> DataFrame:
+    """Every distinct protein once, by its digest."""
+    d = docs(spark, sf).where(F.length("prot") >= 30).select(F.md5("prot").alias("protein_key"), F.col("prot").alias("protein_sequence"))
+    return d.dropDuplicates(["protein_key"])
+
+
 def pairs_seq(spark, sf) -> DataFrame:
-    return pairs(spark, sf).join(proteins(spark, sf), "protein_name")
+    """``pairs_keyed`` with the protein texts."""
+    return pairs_keyed(spark, sf).join(protein_texts(spark, sf), "protein_key").drop("protein_key", "protein_length")
 
 
 def scores(spark, sf) -> DataFrame:
