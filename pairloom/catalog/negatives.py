@@ -17,14 +17,28 @@ reg = register(QUERIES, SQL)
 
 @reg("neg_uniform")
 def neg_uniform(spark, sf):
-    p = views.pairs_seq(spark, sf)
-    return ng.shuffle_uniform(p, p).drop("protein_sequence")
+    p = views.pairs_keyed(spark, sf).drop("protein_key", "protein_length")
+    return ng.shuffle_uniform(p, p)
 
 
 @reg("neg_dinuc")
 def neg_dinuc(spark, sf):
-    p = views.pairs_seq(spark, sf)
-    return ng.shuffle_dinuc(p, p).drop("protein_sequence")
+    p = views.pairs_keyed(spark, sf).drop("protein_key", "protein_length")
+    return ng.shuffle_dinuc(p, p)
+
+
+@reg("neg_failures")
+def neg_failures(spark, sf):
+    """What the strategies could not generate, for the curated pairs and for all windows."""
+    lit = views.literature(spark, sf)
+    p = cut_lineage(views.pairs_keyed(spark, sf).select("pair_id", "protein_name", "rna_sequence", "binding_label"))
+    shuffles = ng.STRATEGY_ORDER[:2]
+    both = ng.shuffle_uniform(p, p).unionByName(ng.shuffle_dinuc(p, p))
+    parts = [
+        ng.generation_failures(lit, ng.generate_all(lit)).withColumn("pairs", F.lit("curated")),
+        ng.generation_failures(p, both, shuffles).withColumn("pairs", F.lit("windows")),
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 KJ = """len(list_intersect({a},{b}))::DOUBLE/len(list_distinct(list_concat({a},{b})))"""
@@ -61,8 +75,23 @@ def neg_cross_rna(spark, sf):
 
 @reg("neg_expand")
 def neg_expand(spark, sf):
-    train = views.pairs_seq(spark, sf).where("split = 'train'")
-    return ng.class_balance(ng.expand_benchmark(views.literature(spark, sf), train))
+    """The expanded benchmark, row by row."""
+    train = views.pairs_keyed(spark, sf).where("split = 'train'")
+    return ng.expand_benchmark(views.literature(spark, sf), train).drop("protein_sequence")
+
+
+@reg(
+    "neg_expand_balance",
+    sql("pairs literature", """WITH t AS (SELECT DISTINCT rna_sequence FROM pairs WHERE split='train' AND binding_label=1),
+ o AS (SELECT *, row_number() OVER (PARTITION BY protein_sequence, rna_sequence ORDER BY pair_id) AS i FROM literature)
+ SELECT CASE binding_label WHEN 1 THEN 'curated_positive' ELSE 'curated_negative' END AS example_class, '' AS neg_strategy, count(*) AS n, count(DISTINCT protein_name) AS proteins,
+  count(*) FILTER (rna_sequence IN (SELECT rna_sequence FROM t)) AS rna_leaked FROM o WHERE i=1 GROUP BY ALL"""),
+)
+def neg_expand_balance(spark, sf):
+    """The curated classes of the expanded benchmark; the generated ones depend on random draws."""
+    train = views.pairs_keyed(spark, sf).where("split = 'train'")
+    balance = ng.class_balance(ng.expand_benchmark(views.literature(spark, sf), train))
+    return balance.where("neg_strategy = ''")
 
 
 @reg(
