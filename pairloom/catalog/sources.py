@@ -160,18 +160,52 @@ def motif_files(spark, sf, meme: bool):
     return path + "/*"
 
 
+def motif_library(spark, sf):
+    """One motif file per protein: HOMER, MEME or a consensus line of codes, by the protein's number."""
+    p = views.pairs(spark, sf)
+    top = km.top_kmers(km.positive_counts(p, "protein_name", "rna_sequence", 8), "protein_name", "n", 10)
+    m = km.motif_matrix(top, "protein_name", "kmer", "n")
+    base = lambda b: F.max(F.when(F.col("base") == b, F.round("p", 4)).otherwise(0.0))
+    row = m.groupBy("protein_name", "pos").agg(*[base(b).alias(b) for b in "ACGU"])
+    frequent = F.array_join(F.array_compact(F.array(*[F.when(F.col(b) >= 0.3, b) for b in "ACGU"])), "")
+    codes = {"".join(sorted(v)): c for c, v in so.IUPAC.items()} | {b: b for b in "ACGU"}
+    code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), frequent), F.lit("N"))
+    nth = F.regexp_extract("protein_name", "([0-9]+)$", 1).cast("int") % 3
+    number = lambda sep: F.concat_ws(sep, *[F.format_number(b, 4) for b in "ACGU"])
+    line = F.when(nth == 0, number("\t")).when(nth == 1, F.concat(F.lit(" "), number("  "))).otherwise(code)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"])
+    body = row.groupBy("protein_name").agg(lines.alias("b"))
+    text = (
+        F.when(nth == 0, F.concat(F.lit(">CONS\t"), "protein_name", F.lit("\t0\n"), F.array_join("b", "\n"), F.lit("\n")))
+        .when(nth == 1, F.concat(F.lit("MEME version 5\nMOTIF one\nletter-probability matrix: alength= 4\n"), F.array_join("b", "\n"), F.lit("\n")))
+        .otherwise(F.concat(F.lit("motif without a matrix\nConsensus  "), F.array_join("b", ""), F.lit("\n")))
+    )
+    path = so.scratch_path(spark, "motif_library")
+    body.select(text.alias("value"), F.col("protein_name").alias("motif")).write.partitionBy("motif").text(path)
+    return path
+
+
+CODES = ", ".join(f"('{c}', {i}, '{b}')" for c, v in (so.IUPAC | {b: b for b in "ACGU"}).items() for i, b in enumerate(v))
+CODE_OF = " ".join(f"WHEN '{''.join(sorted(v))}' THEN '{c}'" for c, v in so.IUPAC.items())
+
+
 @reg(
     "src_motif_tables",
-    sql("pairs", MOTIF + """, b AS (SELECT protein_name, pos, base FROM pwm QUALIFY row_number() OVER (PARTITION BY protein_name, pos ORDER BY p DESC, base)=1),
- c AS (SELECT protein_name, string_agg(base,'' ORDER BY pos) AS consensus FROM b GROUP BY 1)
- SELECT c.protein_name AS motif_id, consensus, CASE WHEN substr(consensus,1,7)=substr(consensus,2,7) THEN substr(consensus,1,7) ELSE substr(consensus,1,7)||','||substr(consensus,2,7) END AS kmers,
-  (SELECT round(sum(p),4) FROM pwm WHERE pwm.protein_name=c.protein_name) AS total FROM c"""),
+    sql("pairs", MOTIF.replace("WITH kc", "WITH RECURSIVE kc") + f""", z AS (SELECT protein_name AS m, substr(protein_name,4)::INT % 3 AS kind, pos, base, p FROM pwm),
+ b AS (SELECT m, pos, base FROM z QUALIFY row_number() OVER (PARTITION BY m, pos ORDER BY p DESC, base)=1), c AS (SELECT m, string_agg(base,'' ORDER BY pos) AS matrix FROM b GROUP BY 1),
+ f AS (SELECT m, pos, string_agg(base,'' ORDER BY base) FILTER (p>=0.3) AS s FROM z GROUP BY 1,2), l AS (SELECT m, string_agg(CASE s {CODE_OF} ELSE CASE WHEN length(s)=1 THEN s ELSE 'N' END END,'' ORDER BY pos) AS codes FROM f GROUP BY 1),
+ o(code, i, base) AS (VALUES {CODES}),
+ e AS (SELECT m, w, 0 AS n, substr(codes,w,7) AS win, '' AS word, []::INT[] AS path FROM l, range(1,3) r(w)
+   UNION ALL SELECT m, w, n+1, win, word||base, list_append(path, i) FROM e JOIN o ON code=substr(win,n+1,1) WHERE n<7),
+ x AS (SELECT m, word, min((w, path)) AS place FROM e WHERE n=7 GROUP BY 1,2), y AS (SELECT m, word, row_number() OVER (PARTITION BY m ORDER BY place) AS rk FROM x),
+ k AS (SELECT m, string_agg(word, ',' ORDER BY rk) AS words FROM y WHERE rk<=10 GROUP BY 1)
+ SELECT DISTINCT z.m AS motif_id, ['homer','meme','iupac'][kind+1] AS kind, 8 AS width, CASE kind WHEN 2 THEN codes ELSE matrix END AS consensus,
+  CASE kind WHEN 2 THEN words ELSE CASE WHEN substr(matrix,1,7)=substr(matrix,2,7) THEN substr(matrix,1,7) ELSE substr(matrix,1,7)||','||substr(matrix,2,7) END END AS kmers
+ FROM z JOIN c USING (m) JOIN l USING (m) JOIN k USING (m)"""),
 )
 def src_motif_tables(spark, sf):
-    homer = so.load_pwms(spark, motif_files(spark, sf, meme=False))
-    cons = so.consensus_kmers(homer, 7, 10)
-    total = homer.groupBy("motif_id").agg(F.round(F.sum("p"), 4).alias("total"))
-    return cons.select("motif_id", "consensus", F.array_join("kmers", ",").alias("kmers")).join(total, "motif_id")
+    motifs = so.load_motifs(spark, motif_library(spark, sf), 7, 10, id_col="motif")
+    return motifs.withColumn("kmers", F.array_join("kmers", ","))
 
 
 @reg(

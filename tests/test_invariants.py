@@ -404,6 +404,25 @@ def test_meme_files(spark, sf):
     assert b == Counter((k[1], k[2], v) for k, v in a.items()) and len(a) > 0
 
 
+def test_motif_files_by_content(spark, tmp_path):
+    from pairloom.sources import load_motifs
+
+    files = {
+        "h.motif": ">ACGU\tnamed\t5\n0.9\t0.1\t0\t0\n0.1\t0.8\t0.1\t0\n0.2\t0.2\t0.3\t0.3\n",
+        "m.txt": "MEME\nMOTIF x\nletter-probability matrix: alength= 4 w= 3\n 0.1 0.2 0.3 0.4\n 0.25 0.25 0.25 0.25\n 1e-3 9e-1 0 0.099\n\nletter-probability matrix: alength= 4\n 1 0 0 0\n",
+        "i.txt": "no matrix\nConsensus ARY\n",
+        "short.txt": "consensus A\n",
+        "empty.txt": "nothing here\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = {r["motif_id"]: (r["kind"], r["width"], r["consensus"], r["kmers"]) for r in rows(load_motifs(spark, str(tmp_path / "*"), 2, 5))}
+    assert got == {
+        "named": ("homer", 3, "ACG", ["AC", "CG"]), "m": ("meme", 3, "UAC", ["UA", "AC"]), "i": ("iupac", 3, "ARY", ["AA", "AG", "AC", "AU", "GC"]),
+        "short": ("iupac", 1, "A", []), "empty": ("none", 0, "", []),
+    }
+
+
 def test_windows_reader_needs_its_columns(spark, tmp_path):
     from pairloom.sources import load_windows
 
