@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom import functions as fn, views
 from pairloom.catalog.aggregates import exemplar_rows
-from pairloom.catalog.metrics import auc_sql, rounded
+from pairloom.catalog.metrics import auc_sql, boot_auc, rounded, spearman_sql
 from pairloom.catalog.registry import rd, register
 from pairloom.catalog.sqlviews import sql
 from pairloom.operators import metrics as mt, models as ml
@@ -110,7 +110,7 @@ def ml_knn_transfer(spark, sf):
     return rounded(ml.knn_transfer(by_split(spark, sf, "test"), w, neighbours(spark, sf), "pair_id", "protein_name", "rna_sequence", 4), "score", digits=6)
 
 
-def neighbours(spark, sf):
+def neighbours(spark, sf, n=3):
     node = lambda c: F.concat(F.lit("src"), (F.substring(c, 2, 10).cast("int") % 20).cast("string"))
     h = views.hits(spark, sf).where("fident > 0").groupBy(node("query").alias("protein_name"), node("target").alias("target")).agg(
         F.max("fident").alias("fident"), F.max("bits").alias("bits")
@@ -118,7 +118,61 @@ def neighbours(spark, sf):
     h = h.where(F.col("protein_name") != F.col("target"))
     from pairloom.plans import top_per_group
 
-    return top_per_group(h, "protein_name", [F.desc("bits"), "target"], 3)
+    return top_per_group(h, "protein_name", [F.desc("bits"), "target"], n)
+
+
+NNS = (1, 3, 5)
+SCORERS = ["mean", *[f"nn{n}" for n in NNS]]
+
+
+def transfer_scores(spark, sf, k=4):
+    """Test rows with the mean model's score and those of 1, 3 and 5 neighbours, and their identity bin."""
+    near = neighbours(spark, sf, max(NNS))
+    w = ml.nb_weights(by_split(spark, sf, "train"), "protein_name", "rna_sequence", k)
+    test = by_split(spark, sf, "test")
+    s = ml.neighbour_scores(test, w, near, "pair_id", "protein_name", "rna_sequence", k, NNS)
+    best = ml.best_identity(near, "protein_name")
+    d = test.select("pair_id", "binding_label", "rna_sequence", "probe_intensity").join(s, "pair_id").join(best, "protein_name", "left")
+    return d.withColumn("identity_bin", fn.identity_bin(F.coalesce("best_identity", F.lit(0.0)))).withColumns({c: F.round(c, 6) for c in SCORERS})
+
+
+IBIN = "CASE WHEN {x}<=0 THEN 'no_hit' WHEN {x}<0.3 THEN '<30%' WHEN {x}<0.5 THEN '30-50%' WHEN {x}<0.7 THEN '50-70%' WHEN {x}<0.9 THEN '70-90%' ELSE '>=90%' END"
+TRANSFER = NBW.format(g="protein_name") + f""", hh AS (SELECT 'src'||(substr(query,2)::INT%20) AS grp, 'src'||(substr(target,2)::INT%20) AS target, max(fident) AS fident, max(bits) AS bits FROM hits WHERE fident>0 GROUP BY 1,2),
+ nn AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY bits DESC, target) AS rk FROM hh WHERE grp<>target QUALIFY rk<=5), ns AS (SELECT nn.*, n FROM nn, (VALUES (1),(3),(5)) v(n) WHERE rk<=n), nt AS (SELECT *, sum(fident) OVER (PARTITION BY grp, n) AS t FROM ns),
+ bl AS (SELECT nt.grp, w.kmer, sum(weight*fident/t) FILTER (n=1) AS w1, sum(weight*fident/t) FILTER (n=3) AS w3, sum(weight*fident/t) FILTER (n=5) AS w5 FROM nt JOIN w ON w.grp=nt.target GROUP BY 1,2), ht AS (SELECT DISTINCT grp FROM bl),
+ sw AS (SELECT pair_id, te.grp AS protein_name, any_value(te.binding_label) AS binding_label, round(sum(c*mw.weight),6) AS "mean", round(sum(c*CASE WHEN ht.grp IS NULL THEN mw.weight ELSE coalesce(w1,0) END),6) AS nn1,
+  round(sum(c*CASE WHEN ht.grp IS NULL THEN mw.weight ELSE coalesce(w3,0) END),6) AS nn3, round(sum(c*CASE WHEN ht.grp IS NULL THEN mw.weight ELSE coalesce(w5,0) END),6) AS nn5
+  FROM te LEFT JOIN ht USING (grp) LEFT JOIN bl USING (grp,kmer) JOIN mw USING (kmer) GROUP BY 1,2),
+ ib AS (SELECT sw.*, {IBIN.format(x="coalesce(fident,0)")} AS identity_bin FROM sw LEFT JOIN nn ON nn.grp=sw.protein_name AND rk=1)"""
+
+
+@reg(
+    "ml_knn_scores",
+    sql("pairs hits", TRANSFER + """ SELECT pair_id, protein_name, identity_bin, "mean"+0.0::DOUBLE AS "mean", nn1+0.0::DOUBLE AS nn1, nn3+0.0::DOUBLE AS nn3, nn5+0.0::DOUBLE AS nn5 FROM ib"""),
+)
+def ml_knn_scores(spark, sf):
+    """Scores of 1, 3 and 5 neighbours in one pass."""
+    return rounded(transfer_scores(spark, sf).select("pair_id", "protein_name", "identity_bin", *SCORERS), *SCORERS, digits=6)
+
+
+@reg(
+    "ml_knn_report",
+    sql("pairs hits", TRANSFER + """, lg AS (SELECT protein_name, binding_label, identity_bin, scorer, s FROM (UNPIVOT ib ON "mean", nn1, nn3, nn5 INTO NAME scorer VALUE s)),
+ ok AS (SELECT protein_name FROM ib GROUP BY 1 HAVING min(binding_label)<max(binding_label)), sc AS (SELECT unnest(['overall', identity_bin]) AS scope, scorer, protein_name, binding_label, s FROM lg WHERE protein_name IN (SELECT protein_name FROM ok)),
+ un AS (SELECT DISTINCT scope, protein_name FROM sc), ix AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY protein_name)-1 AS idx, count(*) OVER (PARTITION BY scope) AS n FROM un),
+ dr AS (SELECT scope, b AS replicate, ('0x'||substr(sha256('42|'||b||'|'||idx),1,8))::BIGINT % n AS idx FROM ix, range(0,200) r(b)), mu AS (SELECT dr.scope, replicate, protein_name, count(*) AS m FROM dr JOIN ix USING (scope, idx) GROUP BY ALL),
+ cl AS (SELECT scope, scorer, protein_name, s, sum(binding_label) AS p, sum(1-binding_label) AS n FROM sc GROUP BY ALL), rw AS (SELECT scope, scorer, replicate, s, p*m AS p, n*m AS n FROM cl JOIN mu USING (scope, protein_name)),
+ """ + boot_auc("rep", "rw", "scope, scorer, replicate") + ", " + boot_auc("pt", "cl", "scope, scorer") + ", " + boot_auc("pg", "cl", "scope, scorer, protein_name") + """,
+ md AS (SELECT scope, scorer, quantile_cont(auroc,0.5) AS gm FROM pg WHERE auroc IS NOT NULL GROUP BY ALL), d AS (SELECT r.scope, r.scorer, r.auroc, r.auroc-f.auroc AS delta FROM rep r JOIN rep f ON f.scope=r.scope AND f.replicate=r.replicate AND f.scorer='mean'),
+ z AS (SELECT scope, scorer, count(*) AS n_rows, count(DISTINCT protein_name) AS n_groups FROM sc GROUP BY ALL)
+ SELECT d.scope, d.scorer, round(any_value(pt.auroc),9) AS auroc, round(quantile_cont(d.auroc,0.025),9) AS auroc_lo, round(quantile_cont(d.auroc,0.975),9) AS auroc_hi, round(quantile_cont(delta,0.025),9)+0.0::DOUBLE AS delta_lo, round(quantile_cont(delta,0.975),9)+0.0::DOUBLE AS delta_hi,
+  round(any_value(pt.auroc)-any_value(p0.auroc),9)+0.0::DOUBLE AS delta, round(any_value(gm),9) AS group_median, any_value(n_rows) AS n_rows, any_value(n_groups) AS n_groups
+ FROM d JOIN pt USING (scope, scorer) JOIN pt p0 ON p0.scope=d.scope AND p0.scorer='mean' JOIN md ON md.scope=d.scope AND md.scorer=d.scorer JOIN z ON z.scope=d.scope AND z.scorer=d.scorer GROUP BY d.scope, d.scorer"""),
+)
+def ml_knn_report(spark, sf):
+    """AUROC by scorer, overall and by identity bin, with cluster intervals."""
+    r = ml.transfer_report(transfer_scores(spark, sf), SCORERS, "protein_name").drop("p_le_0")
+    return rounded(r, "auroc", "auroc_lo", "auroc_hi", "delta", "delta_lo", "delta_hi", "group_median")
 
 
 @reg(
@@ -163,12 +217,34 @@ def ml_profile_knn(spark, sf):
     return rounded(ml.profile_regression(e.select("protein_name", "embedding"), prof), "median_rho", "top5_overlap", digits=6)
 
 
+def intensity_table(spark, sf):
+    d = cut_lineage(transfer_scores(spark, sf, 3))
+    t = ml.intensity_spearman(d, d, SCORERS[:2], "protein_name", "pair_id", "rna_sequence", "probe_intensity", min_probes=30)
+    return t.join(d.select("protein_name", "identity_bin").distinct(), "protein_name")
+
+
 @reg("ml_intensity")
 def ml_intensity(spark, sf):
-    p = rows(spark, sf)
-    w = ml.nb_weights(p.where("split = 'train'"), "protein_name", "rna_sequence", 3)
-    s = ml.nb_scores(p, w, "pair_id", "protein_name", "rna_sequence", 3)
-    return rounded(ml.intensity_spearman(p, s, "protein_name", "pair_id", "rna_sequence", "probe_intensity"), "rho", "ceiling", digits=6)
+    """Rank correlation of the transferred scores with intensities, and the ceiling of an own ridge."""
+    return rounded(intensity_table(spark, sf), "mean", "nn1", "own_cv", digits=6)
+
+
+@reg("ml_intensity_summary")
+def ml_intensity_summary(spark, sf):
+    s = ml.intensity_summary(intensity_table(spark, sf), [*SCORERS[:2], "own_cv"], "protein_name")
+    return rounded(s, "mean", "mean_lo", "mean_hi", "median", digits=6)
+
+
+@reg(
+    "ml_intensity_transfer",
+    sql("pairs hits", TRANSFER.replace("substr(rna_sequence,i,4) for i in range(1,length(rna_sequence)-2)", "substr(rna_sequence,i,3) for i in range(1,length(rna_sequence)-1)").replace("a.x||b.x||c.x||d.x AS kmer FROM al a, al b, al c, al d", "a.x||b.x||c.x AS kmer FROM al a, al b, al c") + """,
+ pr AS (SELECT protein_name, rna_sequence, min(pair_id) AS pair_id, avg(probe_intensity) AS v FROM pairs WHERE split='test' GROUP BY 1,2), ok AS (SELECT protein_name, count(*) AS n_probes FROM pr GROUP BY 1 HAVING count(*)>=30),
+ j AS (SELECT pr.protein_name, v, "mean", nn1 FROM pr JOIN ok USING (protein_name) JOIN sw USING (pair_id)), l AS (SELECT protein_name, scorer, v, s FROM (UNPIVOT j ON "mean", nn1 INTO NAME scorer VALUE s)), """ + spearman_sql("r", "l", "protein_name, scorer", "v", "s", 30) + """
+ SELECT ok.protein_name, n_probes, round(max(rho) FILTER (scorer='mean'),6)+0.0::DOUBLE AS "mean", round(max(rho) FILTER (scorer='nn1'),6)+0.0::DOUBLE AS nn1 FROM ok LEFT JOIN r USING (protein_name) GROUP BY 1,2"""),
+)
+def ml_intensity_transfer(spark, sf):
+    """The closed-form columns of ml_intensity."""
+    return rounded(intensity_table(spark, sf).select("protein_name", "n_probes", "mean", "nn1"), "mean", "nn1", digits=6)
 
 
 GCF = "(length({0})-length(translate({0},'GC','')))/length({0})"

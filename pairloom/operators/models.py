@@ -26,7 +26,7 @@ from pairloom.functions.sequence import (
 from pairloom.operators import kmers as km, metrics as mt
 from pairloom.operators.joins import cosine_knn
 from pairloom.operators.splits import kfold
-from pairloom.plans import cut_lineage, quantiles, top_per_group
+from pairloom.plans import cut_lineage, ordered_prefix, quantiles, top_per_group
 
 LABEL = "binding_label"
 SHARD_ROWS = 50_000
@@ -88,6 +88,46 @@ def knn_transfer(rows, weights, neighbours, key, group, seq, k=4, n=3) -> DataFr
     return c.join(model, [group, "kmer"], "left").groupBy(key, group).agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("score"))
 
 
+def neighbour_scores(rows, weights, neighbours, key, group, seq, k=4, ns=(1, 3, 5)) -> DataFrame:
+    """(key, group, mean, nn1, nn3, ..): scores by the mean model and by the identity-weighted models
+    of the nearest n groups, all in one pass over the rows; the mean model without hits."""
+    near = neighbours.where((F.col("rk") <= max(ns)) & (F.col("fident") > 0))
+    each = near.select("*", F.explode(F.filter(F.array(*[F.lit(n) for n in ns]), lambda n: n >= F.col("rk"))).alias("_n"))
+    total = each.groupBy(group, "_n").agg(F.sum("fident").alias("_t"))
+    blend = each.join(total, [group, "_n"]).join(weights.withColumnRenamed(group, "target"), "target")
+    part = F.col("weight") * F.col("fident") / F.col("_t")
+    wide = blend.groupBy(group, "kmer").agg(*[F.sum(F.when(F.col("_n") == n, part)).alias(f"_w{n}") for n in ns])
+    hit = wide.select(group).distinct().withColumn("_hit", F.lit(1))
+    c = word_counts(rows, [key, group], seq, k).join(hit, group, "left").join(wide, [group, "kmer"], "left")
+    c = c.join(mean_weights(weights).withColumnRenamed("weight", "_mean"), "kmer", "left")
+    zero = F.lit(0.0)
+    mean = F.coalesce("_mean", zero)
+    of = lambda n: F.when(F.col("_hit").isNull(), mean).otherwise(F.coalesce(f"_w{n}", zero))
+    return c.groupBy(key, group).agg(F.sum(F.col("n") * mean).alias("mean"), *[F.sum(F.col("n") * of(n)).alias(f"nn{n}") for n in ns])
+
+
+def best_identity(neighbours, group) -> DataFrame:
+    """Identity of each group's nearest neighbour."""
+    return neighbours.where("rk = 1").select(group, F.col("fident").alias("best_identity"))
+
+
+def transfer_report(scored, scorers, group, n_boot=200, ref="mean", bins="identity_bin", label=LABEL, seed=42) -> DataFrame:
+    """scored (group, label, bins, a column for each scorer): by scorer, overall and by bin, the AUROC
+    with its interval over resampled groups, the difference to ``ref`` with its interval, the median
+    AUROC of a group, and the rows and groups that took part (groups with both labels)."""
+    from pairloom.operators.bootstrap import paired_bootstrap
+
+    both = scored.groupBy(group).agg(F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a < _b").select(group)
+    scored = scored.join(both, group, "left_semi")
+    long = scored.select(group, label, bins, *scorers).unpivot([group, label, bins], list(scorers), "scorer", "score")
+    long = cut_lineage(long.select(group, label, "scorer", "score", F.explode(F.array(F.lit("overall"), F.col(bins))).alias("scope")))
+    ci = paired_bootstrap(long, ref, n_boot, unit=group, label=label, stratum="scope", seed=seed)
+    per = mt.auroc(long, ["scope", "scorer", group], "score", label).where("auroc IS NOT NULL")
+    mid = quantiles(per, ["scope", "scorer"], "auroc", {"group_median": 0.5})
+    size = long.groupBy("scope", "scorer").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(group).alias("n_groups"))
+    return ci.join(mid, ["scope", "scorer"]).join(size, ["scope", "scorer"])
+
+
 def label_prior(train, test, key, group="protein_name", seq="rna_sequence", label=LABEL) -> DataFrame:
     """Mean train label of the protein, else of the RNA, else of all; and the degree variant."""
     p = train.groupBy(group).agg(F.avg(label).alias("_p"))
@@ -351,18 +391,40 @@ def ridge_groups(df, group, key, seq, target, k=3, alpha=1.0, limit=SHARD_ROWS)
     return combined(parts, [group], "sums").groupBy(group).applyInPandas(solve, f"{group} {gtype}, weights array<double>")
 
 
-def intensity_spearman(df, scores, group, key, seq, value, k=3, folds=3, min_probes=200, alpha=0.01, seed=42) -> DataFrame:
-    """Spearman of model scores with intensity, and an own ridge in cross-validation as ceiling."""
-    d = df.select(group, key, seq, value)
-    n = d.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_probes).select(group)
-    d = cut_lineage(kfold(d.join(n, group, "left_semi"), folds, key, by=seq, seed=seed))
+def intensity_spearman(df, scores, scorers, group, key, seq, value, k=3, folds=3, min_probes=200, alpha=0.01, seed=42) -> DataFrame:
+    """(group, n_probes, a rank correlation with the intensity for each scorer, own_cv): the last is a
+    ridge of the group's own probes on the ranks of their intensities, in cross-validation.
+
+    Replicates of a probe are averaged; groups of fewer than ``min_probes`` probes are left out.
+    ``scores``: (key, scorers..) of the first key of a probe.
+    """
+    d = df.groupBy(group, seq).agg(F.min(key).alias(key), F.avg(value).alias(value))
+    n = d.groupBy(group).agg(F.count(F.lit(1)).alias("n_probes")).where(F.col("n_probes") >= min_probes)
+    d = cut_lineage(kfold(d.join(n.select(group), group, "left_semi"), folds, key, by=seq, seed=seed))
+    at = d.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = ordered_prefix(at, group, value, {"_before": "_c"}).select(group, value, (F.col("_before") + (F.col("_c") - 1) / 2.0).alias("_rank"))
+    d = cut_lineage(d.join(ranks, [group, value]))
     unit = lambda c: F.concat_ws("|", F.col(group).cast("string"), c.cast("string"))
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda x: x != F.col("fold"))
-    train = d.select(group, key, seq, value, F.explode(others).alias("leave")).withColumn("unit", unit(F.col("leave")))
-    own = score_groups(d.withColumn("unit", unit(F.col("fold"))), ridge_groups(train, "unit", key, seq, value, k, alpha), "unit", seq, k)
-    ceiling = mt.spearman(own, group, value, "score").select(group, F.col("rho").alias("ceiling"))
-    model = mt.spearman(d.join(scores.select(key, "score"), key), group, value, "score")
-    return model.join(ceiling, group)
+    train = d.select(group, key, seq, "_rank", F.explode(others).alias("leave")).withColumn("unit", unit(F.col("leave")))
+    own = score_groups(d.withColumn("unit", unit(F.col("fold"))), ridge_groups(train, "unit", key, seq, "_rank", k, alpha), "unit", seq, k)
+    out = n.join(mt.spearman(own, group, value, "score").select(group, F.col("rho").alias("own_cv")), group, "left")
+    long = d.select(group, key, value).join(scores.select(key, *scorers), key).unpivot([group, value], list(scorers), "scorer", "score")
+    rho = mt.spearman(long, [group, "scorer"], value, "score")
+    wide = rho.groupBy(group).agg(*[F.max(F.when(F.col("scorer") == c, F.col("rho"))).alias(c) for c in scorers])
+    return out.join(wide, group, "left")
+
+
+def intensity_summary(table, scorers, group, bins="identity_bin", n_boot=200, seed=42) -> DataFrame:
+    """By scorer, overall and by bin: number, mean and median of the groups' correlations and the
+    interval of the mean over resampled groups."""
+    from pairloom.operators.bootstrap import bootstrap_stat
+
+    long = table.select(group, bins, *scorers).unpivot([group, bins], list(scorers), "scorer", "rho").where("rho IS NOT NULL")
+    long = cut_lineage(long.select(group, "scorer", "rho", F.explode(F.array(F.lit("overall"), F.col(bins))).alias("scope")))
+    by = ["scope", "scorer"]
+    ci = bootstrap_stat(long, group, "rho", "mean", by, n_boot, seed).withColumnsRenamed({"point": "mean", "stat_lo": "mean_lo", "stat_hi": "mean_hi"})
+    return ci.drop("n_replicates").join(quantiles(long, by, "rho", {"median": 0.5}), by)
 
 
 # ---- spark.ml -----------------------------------------------------------------
