@@ -184,15 +184,62 @@ def ml_label_prior(spark, sf):
     return rounded(ml.label_prior(by_split(spark, sf, "train"), by_split(spark, sf, "test"), "pair_id", "experiment_id"), "prior", "degree_prior")
 
 
+def fold_shares(spark, sf, p):
+    """Overlap and similarity of the audit's folds, by split."""
+    from pairloom.operators.joins import pair_similarity
+
+    p = p.drop("split").withColumn("rna_key", F.sha2("rna_sequence", 256))
+    f = ml.audit_folds(p, "pair_id")
+    rna = pair_similarity(p, "rna_sequence", k=12, min_sim=0.5, texts=False)
+    shares = ml.fold_overlap(f, "protein_name", "protein_key", "rna_sequence")
+    rna = ml.fold_similarity(f, "rna_key", cut_lineage(rna), (0.5, 0.8), "rna")
+    prot = pair_similarity(views.protein_texts(spark, sf), "protein_sequence", k=12, min_sim=0.5, texts=False)
+    # proteins are named by md5 in the rows and by sha-256 in the pairs
+    named = views.protein_texts(spark, sf).select("protein_key", F.sha2("protein_sequence", 256).alias("sha"))
+    for c in ("a", "b"):
+        prot = prot.join(named.withColumnsRenamed({"sha": c, "protein_key": f"_{c}"}), c)
+    prot = cut_lineage(prot.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "jaccard"))
+    return shares.join(rna, "split").join(ml.fold_similarity(f, "protein_key", prot, (0.5, 0.7), "protein"), "split")
+
+
+SHARES = ["name_in_train", "protein_in_train", "rna_in_train", "pair_in_train", "rna_similar_50", "rna_similar_80", "protein_similar_50", "protein_similar_70"]
+
+
 @reg("ml_marginals")
 def ml_marginals(spark, sf):
-    return rounded(ml.shortcut_audit(keyed_rows(spark, sf), views.protein_texts(spark, sf), "pair_id", protein="protein_key"), "auroc", "auroc_std", "auprc", digits=6)
+    p = keyed_rows(spark, sf)
+    m = ml.shortcut_audit(p, views.protein_texts(spark, sf), "pair_id", protein="protein_key").join(fold_shares(spark, sf, p), "split")
+    return rounded(m, "auroc", "auroc_std", "auprc", *SHARES, digits=6)
+
+
+SIMILAR_SQL = """{n}_w AS (SELECT s, list_distinct([substr(s,i,12) for i in range(1,length(s)-10)]) AS w FROM (SELECT DISTINCT {c} AS s FROM p) WHERE length(s)>=12), {n}_x AS (SELECT s, len(w) AS n, unnest(w) AS t FROM {n}_w),
+ {n}_p AS (SELECT a.s AS a, b.s AS b, count(*)::DOUBLE/(any_value(a.n)+any_value(b.n)-count(*)) AS sim FROM {n}_x a JOIN {n}_x b ON a.t=b.t AND a.s<>b.s GROUP BY 1,2 HAVING sim>=0.5), {n}_s AS (SELECT a, b, sim FROM {n}_p UNION ALL SELECT DISTINCT {c}, {c}, 1.0::DOUBLE FROM p),
+ {n}_c AS (SELECT DISTINCT split, {c} AS s, fold FROM f), {n}_h AS (SELECT c.split, c.s, c.fold, max(sim) AS sim FROM {n}_c c JOIN {n}_s q ON q.a=c.s JOIN {n}_c d ON d.split=c.split AND d.s=q.b AND d.fold<>c.fold GROUP BY ALL)"""
+
+
+@reg(
+    "ml_fold_shares",
+    sql("pairs_seq", """WITH p AS (SELECT pair_id, protein_name, protein_sequence, rna_sequence, binding_label FROM pairs_seq),
+ g AS (SELECT protein_name, (row_number() OVER (ORDER BY sha256('42|'||protein_name), protein_name)-1)%5 AS fold FROM (SELECT DISTINCT protein_name FROM p)), s AS (SELECT rna_sequence, (row_number() OVER (ORDER BY sha256('42|'||rna_sequence), rna_sequence)-1)%5 AS fold FROM (SELECT DISTINCT rna_sequence FROM p)),
+ f AS (SELECT *, 'random' AS split, (row_number() OVER (PARTITION BY binding_label ORDER BY sha256('42|'||pair_id), pair_id)-1)%5 AS fold FROM p UNION ALL SELECT p.*, 'protein_disjoint', fold FROM p JOIN g USING (protein_name) UNION ALL SELECT p.*, 'rna_disjoint', fold FROM p JOIN s USING (rna_sequence)),
+ o AS (SELECT split, fold, rna_sequence, protein_sequence, (min(fold) OVER n < max(fold) OVER n)::INT AS name_in_train, (min(fold) OVER t < max(fold) OVER t)::INT AS protein_in_train, (min(fold) OVER r < max(fold) OVER r)::INT AS rna_in_train, (min(fold) OVER b < max(fold) OVER b)::INT AS pair_in_train FROM f
+   WINDOW n AS (PARTITION BY split, protein_name), t AS (PARTITION BY split, protein_sequence), r AS (PARTITION BY split, rna_sequence), b AS (PARTITION BY split, protein_sequence, rna_sequence)),
+ """ + SIMILAR_SQL.format(n="r", c="rna_sequence") + ", " + SIMILAR_SQL.format(n="t", c="protein_sequence") + """
+ SELECT o.split, round(avg(name_in_train),6) AS name_in_train, round(avg(protein_in_train),6) AS protein_in_train, round(avg(rna_in_train),6) AS rna_in_train, round(avg(pair_in_train),6) AS pair_in_train,
+  round(avg((coalesce(r_h.sim,0)>=0.5)::INT),6) AS rna_similar_50, round(avg((coalesce(r_h.sim,0)>=0.8)::INT),6) AS rna_similar_80, round(avg((coalesce(t_h.sim,0)>=0.5)::INT),6) AS protein_similar_50, round(avg((coalesce(t_h.sim,0)>=0.7)::INT),6) AS protein_similar_70
+ FROM o LEFT JOIN r_h ON r_h.split=o.split AND r_h.s=o.rna_sequence AND r_h.fold=o.fold LEFT JOIN t_h ON t_h.split=o.split AND t_h.s=o.protein_sequence AND t_h.fold=o.fold GROUP BY o.split"""),
+)
+def ml_fold_shares(spark, sf):
+    """The closed-form columns of ml_marginals."""
+    return rounded(fold_shares(spark, sf, keyed_rows(spark, sf)), *SHARES, digits=6)
 
 
 @reg("ml_rna_audit")
 def ml_rna_audit(spark, sf):
-    p = rows(spark, sf)
-    return rounded(ml.rna_audit(p, "protein_name", "dataset_source", "doc_id", "pair_id"), "auroc", digits=6)
+    """Datasets are a protein's windows of one source; the source is their cell."""
+    p = rows(spark, sf).withColumn("dataset", F.concat_ws("_", "protein_name", "dataset_source"))
+    a = ml.rna_audit(p, "dataset", "dataset_source", "doc_id", "pair_id")
+    return rounded(a, "auroc", "cell_median", "all_median", "all_mean", digits=6)
 
 
 @reg("ml_reverse")

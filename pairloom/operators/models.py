@@ -26,7 +26,8 @@ from pairloom.functions.sequence import (
 from pairloom.operators import kmers as km, metrics as mt
 from pairloom.operators.joins import cosine_knn
 from pairloom.operators.splits import kfold
-from pairloom.plans import cut_lineage, ordered_prefix, quantiles, top_per_group
+from pairloom.plans import cut_lineage, hash_rank, ordered_prefix, quantiles, top_per_group
+from pairloom.plans.ordering import with_quantiles
 
 LABEL = "binding_label"
 SHARD_ROWS = 50_000
@@ -498,6 +499,16 @@ def kmer_lr(train, test, key, seq="rna_sequence", label=LABEL, k_max=4) -> DataF
     return fit_scores(sc.transform(a), sc.transform(b), lr, label).select(key, label, "score")
 
 
+def audit_splits(group, seq) -> dict:
+    return {"random": None, "protein_disjoint": group, "rna_disjoint": seq}
+
+
+def audit_folds(df, key, group="protein_name", seq="rna_sequence", label=LABEL, folds=5, seed=42) -> DataFrame:
+    """The rows of ``shortcut_audit`` with split and fold."""
+    parts = [kfold(df, folds, key, by=by, label=None if by else label, seed=seed).withColumn("split", F.lit(name)) for name, by in audit_splits(group, seq).items()]
+    return cut_lineage(_union(parts))
+
+
 def shortcut_audit(
     df, proteins, key, group="protein_name", seq="rna_sequence", label=LABEL, folds=5, rna_k=4, protein_k=3, parallelism=4, seed=42, protein=None
 ) -> DataFrame:
@@ -514,7 +525,6 @@ def shortcut_audit(
     triad = proteins.select(protein, triad_letters("protein_sequence").alias("_t"))
     prot = word_vector(triad, "_t", protein_k, "0123456", "prot_vec").select(protein, "prot_vec")
     d = word_vector(df.select(key, group, seq, label, *([] if protein == group else [protein])), seq, rna_k, "AUGC", "rna_vec").join(prot, protein)
-    views = {"random": None, "protein_disjoint": group, "rna_disjoint": seq}
     inputs = {"rna": ["rna_vec"], "protein": ["prot_vec"], "both": ["rna_vec", "prot_vec"]}
 
     def fit(train, test, kind, cols):
@@ -523,7 +533,7 @@ def shortcut_audit(
         return fit_scores(va.transform(train), va.transform(test), lr, label).select(*kind, label, "score")
 
     parts, todo = [], []
-    for name, by in views.items():
+    for name, by in audit_splits(group, seq).items():
         f = cut_lineage(kfold(d, folds, key, by=by, label=None if by else label, seed=seed))
         for k in range(folds):
             train, test = f.where(F.col("fold") != k), f.where(F.col("fold") == k)
@@ -544,35 +554,94 @@ def shortcut_audit(
     )
 
 
-def rna_audit(df, dataset, cell, unit, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, per_own=1.0, seed=42) -> DataFrame:
-    """Per dataset RNA-only AUROC: random rows, held-out units, cross-unit negatives (``per_own`` a positive), GC alone."""
+def fold_overlap(df, group, protein, seq, fold="fold", split="split") -> DataFrame:
+    """By split: the shares of rows whose protein name, protein, RNA and pair also occur in another fold.
+
+    Every row is a test row once, in its own fold; a key occurs in another fold if its folds differ.
+    """
+    out = df.select(split, fold, group, protein, seq)
+    keys = {"name_in_train": [group], "protein_in_train": [protein], "rna_in_train": [seq], "pair_in_train": [protein, seq]}
+    for name, on in keys.items():
+        by = [split, *on]
+        # a key in every row of the table is one row here, and the join's large side can be split
+        ends = out.groupBy(*by).agg(F.min(fold).alias("_lo"), F.max(fold).alias("_hi"))
+        out = out.join(ends, by).withColumn(name, (F.col("_lo") < F.col("_hi")).cast("int")).drop("_lo", "_hi")
+    return out.groupBy(split).agg(*[F.avg(n).alias(n) for n in keys])
+
+
+def fold_similarity(df, key, pairs, cuts, name, fold="fold", split="split") -> DataFrame:
+    """By split: the shares of rows whose sequence has one of similarity c or more in another fold, for
+    each cut c.  ``key`` names the sequences' digests, pairs: (a, b, jaccard) of different sequences."""
+    seqs = df.select(split, fold, F.col(key).alias("_a"))
+    cells = seqs.groupBy(split, "_a", fold).agg(F.count(F.lit(1)).alias("_rows"))
+    ends = cells.groupBy(split, "_a").agg(F.min(fold).alias("_lo"), F.max(fold).alias("_hi"))
+    own = ends.select(split, "_a", "_lo", "_hi", F.lit(1.0).alias("_sim"))
+    both = pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("jaccard").alias("_sim"))
+    both = both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "_sim"))
+    near = both.join(ends.withColumnRenamed("_a", "_b"), "_b").select(split, "_a", "_lo", "_hi", "_sim")
+    # the best similar sequence by the folds it lies in: two of them are enough to serve every fold
+    best = own.unionByName(near).groupBy(split, "_a", "_lo", "_hi").agg(F.max("_sim").alias("_sim"))
+    hit = cells.join(best, [split, "_a"]).where((F.col("_lo") != F.col(fold)) | (F.col("_hi") != F.col(fold)))
+    hit = hit.groupBy(split, "_a", fold).agg(F.max("_sim").alias("_sim"))
+    rows = cells.join(hit, [split, "_a", fold], "left")
+    share = lambda c: F.sum(F.when(F.col("_sim") >= c, F.col("_rows")).otherwise(0)) / F.sum("_rows")
+    return rows.groupBy(split).agg(*[share(c).alias(f"{name}_similar_{round(100 * c)}") for c in cuts])
+
+
+FIT_NEGATIVES = 10_000  # cross-unit negatives of one dataset that a model is fitted on; all are tested
+
+
+def rna_audit(df, dataset, cell, unit, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, cap=FIT_NEGATIVES, seed=42) -> DataFrame:
+    """(dataset, cell, kind, n_pos, n_neg, auroc, n_cell, cell_median, all_median, all_mean): RNA-only AUROC per
+    dataset on random rows, held-out units, cross-unit negatives and by GC alone, with the medians.
+
+    Cross-unit negatives are all positives of the cell's other datasets that are not the dataset's
+    own.  All of the test part are scored; the model is fitted on at most ``cap`` of a dataset, the
+    first in a seeded order.
+    """
     from pairloom.operators.negatives import cross_unit
     from pairloom.operators.splits import holdout_units, stratified_rows
 
-    base = df.select(dataset, cell, unit, key, seq, label)
+    base = cut_lineage(df.select(dataset, cell, unit, key, seq, label))
 
-    def evaluate(d, name):
+    def evaluate(d, name, fit_on=None):
         d = cut_lineage(d.select(dataset, key, seq, label, "is_test"))
-        m = fit_groups(d.where("is_test = 0"), dataset, key, seq, label, k, (l2,))
+        train = d.where("is_test = 0") if fit_on is None else fit_on(d.where("is_test = 0"))
+        m = fit_groups(train, dataset, key, seq, label, k, (l2,))
         s = score_groups(d.where("is_test = 1"), m, dataset, seq, k)
-        return mt.auroc(s, dataset, "score", label).select(dataset, F.lit(name).alias("kind"), "auroc"), d
+        return mt.auroc(s, dataset, "score", label).withColumn("kind", F.lit(name)), d
 
-    rand = stratified_rows(base, dataset, key, label, f_test=0.2, f_val=0.0, seed=seed).withColumn("is_test", (F.col("split") == "test").cast("int"))
+    test = (F.col("split") == "test").cast("int")
+    rand = stratified_rows(base, dataset, key, label, f_test=0.2, f_val=0.0, seed=seed).withColumn("is_test", test)
     r, kept = evaluate(rand, "random")
     g = kept.where("is_test = 1").withColumn("score", gc_fraction(seq))
-    gc = mt.auroc(g, dataset, "score", label).select(dataset, F.lit("gc").alias("kind"), "auroc")
+    gc = mt.auroc(g, dataset, "score", label).withColumn("kind", F.lit("gc"))
     held = holdout_units(base, unit, seed=seed).withColumnRenamed("held_out", "is_test")
     t, _ = evaluate(held, "unit")
-    neg = cross_unit(base.where(F.col(label) == 1), dataset, cell, seq, per_own=per_own, seed=seed).withColumn(label, F.lit(0))
+    neg = cross_unit(base.where(F.col(label) == 1), dataset, cell, seq, seed=seed).withColumn(label, F.lit(0))
     pos = base.where(F.col(label) == 1).select(dataset, seq, F.col(label), key)
     mixed = pos.unionByName(neg.select(dataset, seq, label, F.sha2(F.concat_ws("|", dataset, seq), 256).alias(key)))
-    x = stratified_rows(mixed, dataset, key, label, f_test=0.2, f_val=0.0, seed=seed).withColumn("is_test", (F.col("split") == "test").cast("int"))
-    c, _ = evaluate(x, "cross_unit")
-    return _union([r, gc, t, c])
+    x = stratified_rows(mixed, dataset, key, label, f_test=0.2, f_val=0.0, seed=seed).withColumn("is_test", test)
+
+    def bounded(train):
+        ranked = hash_rank(train.where(F.col(label) == 0), dataset, key, f"{seed}|fit", rank="_rk")
+        return train.where(F.col(label) == 1).unionByName(ranked.where(F.col("_rk") <= cap).drop("_rk"))
+
+    c, _ = evaluate(x, "cross_unit", bounded)
+    parts = [p.select(dataset, "kind", "n_pos", "n_neg", "auroc") for p in (r, gc, t, c)]
+    out = cut_lineage(_union(parts).join(base.groupBy(dataset).agg(F.min(cell).alias(cell)), dataset))
+    seen = out.where("auroc IS NOT NULL")
+    every = with_quantiles(seen.groupBy("kind").agg(F.avg("auroc").alias("all_mean")), seen, "kind", "auroc", {"all_median": 0.5})
+    cells = with_quantiles(seen.groupBy(cell, "kind").agg(F.count(F.lit(1)).alias("n_cell")), seen, [cell, "kind"], "auroc", {"cell_median": 0.5})
+    return out.join(cells, [cell, "kind"], "left").join(every, "kind", "left")
 
 
-def reverse_transfer(source, target, group, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, folds=3, per_own=1.0, seed=42) -> DataFrame:
-    """Fit on one assay (its own or cross-group negatives), test on another; prior and own CV as bounds."""
+def reverse_transfer(source, target, group, key, seq="rna_sequence", label=LABEL, k=3, l2=1.0, folds=3, cap=FIT_NEGATIVES, seed=42) -> DataFrame:
+    """Fit on one assay (its own or cross-group negatives), test on another; prior and own CV as bounds.
+
+    Cross-group negatives are the other groups' positives, at most ``cap`` a group: they are only
+    fitted on.
+    """
     from pairloom.operators.negatives import cross_unit
 
     tgt = cut_lineage(target.select(group, key, seq, label))
@@ -580,7 +649,7 @@ def reverse_transfer(source, target, group, key, seq="rna_sequence", label=LABEL
     genomic = source.select(group, key, seq, label)
     parts.append((genomic, "genomic"))
     pos = source.where(F.col(label) == 1)
-    neg = cross_unit(pos.withColumn("_all", F.lit("all")), group, "_all", seq, per_own=per_own, seed=seed)
+    neg = cross_unit(pos.withColumn("_all", F.lit("all")), group, "_all", seq, cap=cap, seed=seed)
     cross = pos.select(group, key, seq, label).unionByName(neg.select(group, F.sha2(F.concat_ws("|", group, seq), 256).alias(key), seq, F.lit(0).alias(label)))
     parts.append((cross, "cross"))
     out = []
