@@ -248,20 +248,28 @@ def ml_reverse(spark, sf):
     return rounded(ml.reverse_transfer(p.where("dataset_source = 'en'"), p.where("dataset_source <> 'en'"), "protein_name", "pair_id"), "auroc", digits=6)
 
 
+PROFILE_K = 5
+
+
 @reg("ml_profile_knn")
 def ml_profile_knn(spark, sf):
-    """Embeddings against the word profile of the whole document with the same number."""
+    """Embeddings against the five-letter profile of the whole document with the same number; the
+    document's windows are the probes."""
     from pairloom.operators import kmers as km
 
     e = views.embeddings(spark, sf)
-    d = views.docs(spark, sf).withColumn("protein_name", F.concat(F.lit("V"), F.col("doc_id").cast("string"))).join(e.select("protein_name"), "protein_name", "left_semi")
-    words = F.array(*[F.lit(w) for w in fn.alphabet_kmers("ACGU", 2)])
-    grid = d.select("protein_name", F.explode(words).alias("kmer"))
-    f = grid.join(km.kmer_freq(d, "protein_name", "rna", [2], "ACGU"), ["protein_name", "kmer"], "left").na.fill(0.0, ["freq"])
-    prof = mt.profile_vectors(f, "protein_name", "kmer", "freq")
+    named = lambda d: d.withColumn("protein_name", F.concat(F.lit("V"), F.col("doc_id").cast("string"))).join(e.select("protein_name"), "protein_name", "left_semi")
+    d = named(views.docs(spark, sf))
+    words = fn.alphabet_kmers("ACGU", PROFILE_K)
+    freq = km.kmer_freq(d, "protein_name", "rna", [PROFILE_K], "ACGU")
+    # a node's few words are one map; its profile is read off in word order
+    found = freq.groupBy("protein_name").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("_m"))
+    full = F.transform(F.lit(words), lambda w: F.coalesce(F.try_element_at(F.col("_m"), w), F.lit(0.0)))
     no = F.substring("protein_name", 2, 20).cast("int") % 5
-    prof = prof.withColumn("split", F.when(no < 3, "train").when(no == 3, "val").otherwise("test"))
-    return rounded(ml.profile_regression(e.select("protein_name", "embedding"), prof), "median_rho", "top5_overlap", digits=6)
+    prof = found.select("protein_name", full.alias("profile")).withColumn("split", F.when(no < 3, "train").when(no == 3, "val").otherwise("test"))
+    probes = named(views.pairs(spark, sf).drop("protein_name")).select("pair_id", "protein_name", "rna_sequence", "binding_label")
+    r = ml.profile_regression(e.select("protein_name", "embedding"), prof, probes, words)
+    return rounded(r, "median_rho", "mean_rho", "mean_lo", "mean_hi", "top20", "probe_auroc", digits=6)
 
 
 def intensity_table(spark, sf):

@@ -469,15 +469,18 @@ def fit_scores(train, test, model, label=LABEL) -> DataFrame:
     return fitted.transform(test).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
 
 
-def train_baselines(df, label=LABEL, split="split", seed=42) -> DataFrame:
-    """LR, random forest and boosted trees on ``features``; validation metrics, best first."""
+def train_baselines(df, label=LABEL, split="split", seed=42, trees=20, depth=6, rounds=5, boosted_depth=4) -> DataFrame:
+    """LR, random forest and boosted trees on ``features``; validation metrics, best first.
+
+    200 trees of depth 15 and 300 rounds of depth 6 are the surveyed sizes; the defaults are smaller.
+    """
     df = cut_lineage(df.select(label, split, "features"))
     train, val = df.where(F.col(split) == "train"), df.where(F.col(split) == "val")
     cols = dict(featuresCol="features", labelCol="label")
     kinds = {
         "logistic": LogisticRegression(maxIter=20, regParam=0.01, **cols),
-        "forest": RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, **cols),
-        "boosted": GBTClassifier(maxIter=5, maxDepth=4, seed=seed, **cols),
+        "forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **cols),
+        "boosted": GBTClassifier(maxIter=rounds, maxDepth=boosted_depth, seed=seed, **cols),
     }
     parts = [fit_scores(train, val, m, label).select(F.lit(n).alias("model"), label, "score") for n, m in kinds.items()]
     scored = cut_lineage(_union(parts))
@@ -696,34 +699,107 @@ def ridge_matrix(train, vec, profile, alphas, held, key) -> tuple:
     return best, fits[best]
 
 
-def profile_regression(emb, prof, key="protein_name", vec="embedding", profile="profile", split="split") -> DataFrame:
-    """Predict profiles of test nodes by the prior mean, cosine neighbours (1 and 5) and ridge."""
-    d = cut_lineage(emb.join(prof, key))
+def _average_ranks(m: np.ndarray) -> np.ndarray:
+    """Ranks of each row's entries, ties by their mean."""
+    order = np.argsort(m, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(m, order, 1)
+    n = m.shape[1]
+    new = np.ones_like(sorted_, bool)
+    new[:, 1:] = sorted_[:, 1:] != sorted_[:, :-1]
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(new, at, 0), 1)
+    end = np.ones_like(new)
+    end[:, :-1] = new[:, 1:]
+    # the end of a run of ties, read from the right
+    last = np.minimum.accumulate(np.where(end, at, n)[:, ::-1], 1)[:, ::-1]
+    out = np.empty_like(m)
+    np.put_along_axis(out, order, (first + last) / 2.0, 1)
+    return out
+
+
+def profile_fit(pred: np.ndarray, truth: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row: Spearman's rho (nan for a constant row) and the share of the ``top`` entries in common
+    (ties by position)."""
+    rank = [_average_ranks(m) for m in (pred, truth)]
+    a, b = (r - r.mean(1, keepdims=True) for r in rank)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rho = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    first = [np.argsort(-m, axis=1, kind="stable")[:, :top] for m in (pred, truth)]
+    common = (first[0][:, :, None] == first[1][:, None, :]).any(2).mean(1)
+    return rho, common
+
+
+def profile_predictions(emb, prof, key="protein_name", vec="embedding", profile="profile", split="split", alphas=(1.0, 10.0, 100.0, 1000.0, 10_000.0)) -> DataFrame:
+    """(key, model, pred, truth) for test nodes: the mean train profile (prior), cosine neighbours (knn1
+    and knn5, weighted by similarity), a ridge whose penalty the validation nodes choose, and the own
+    profile (oracle).  Vectors are z-scored by the train nodes; a profile is one array."""
+    from pairloom.operators.joins import standardise
+
+    d = emb.join(prof, key)
+    d = cut_lineage(standardise(d, d.where(F.col(split) == "train"), key, vec, scale=True))
     train, val, test = (d.where(F.col(split) == s) for s in ("train", "val", "test"))
-    long = train.select(key, F.posexplode(profile).alias("i", "y"))
-    truth = test.select(key, F.posexplode(profile).alias("i", "truth"))
-    mean = long.groupBy("i").agg(F.avg("y").alias("pred"))
-    preds = [truth.select(key, "i").join(mean, "i").withColumn("model", F.lit("prior"))]
-    near = cut_lineage(cosine_knn(test, train, key, vec, 5, center=True))
-    for n in (1, 5):
-        w = near.where(F.col("rk") <= n).withColumn("_w", F.greatest("sim", F.lit(1e-6)))
-        p = w.join(long.withColumnRenamed(key, "target"), "target").groupBy(F.col("query").alias(key), "i").agg((F.sum(F.col("_w") * F.col("y")) / F.sum("_w")).alias("pred"))
-        preds.append(p.withColumn("model", F.lit(f"knn{n}")))
-    _, w = ridge_matrix(train, vec, profile, [0.1, 1.0, 10.0, 100.0], val, key)
+    size = F.posexplode(profile).alias("i", "y")
+    mean = train.select(size).groupBy("i").agg(F.avg("y").alias("y")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda x: x["y"])).scalar()
+    parts = [test.select(key, F.lit("prior").alias("model"), mean.alias("pred")), test.select(key, F.lit("oracle").alias("model"), F.col(profile).alias("pred"))]
+    near = cut_lineage(cosine_knn(test, train, key, vec, 5).join(train.select(F.col(key).alias("target"), F.col(profile).alias("_y")), "target"))
+
+    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
+        # five rows at most
+        pdf = pdf.sort_values("rk")
+        w, y = np.maximum(pdf["sim"].to_numpy(), 1e-3), np.vstack(pdf["_y"].to_list())
+        rows = [(pdf["query"].iloc[0], f"knn{n}", (w[:n, None] * y[:n]).sum(0) / w[:n].sum()) for n in (1, 5)]
+        return pd.DataFrame(rows, columns=[key, "model", "pred"])
+
+    schema = f"{key} string, model string, pred array<double>"
+    parts.append(near.groupBy("query").applyInPandas(blend, schema))
+    _, w = ridge_matrix(train, vec, profile, list(alphas), val, key)
 
     def predict(batches):
         for pdf in batches:
             if len(pdf):
                 x = np.hstack([np.ones((len(pdf), 1)), np.vstack(pdf[vec].to_list())]).astype(float)
-                yield pd.DataFrame({key: pdf[key], "p": list(x @ w)})
-
-    r = test.select(key, vec).mapInPandas(predict, f"{key} string, p array<double>").select(key, F.posexplode("p").alias("i", "pred"))
-    preds.append(r.withColumn("model", F.lit("ridge")))
-    j = cut_lineage(_union([p.select(key, "i", "pred", "model") for p in preds]).join(truth, [key, "i"]))
-    rho = mt.spearman(j, ["model", key], "pred", "truth", min_n=3).groupBy("model").agg(F.count("rho").alias("n"), F.percentile("rho", F.lit(0.5)).alias("median_rho"))
-    word = F.col("i").cast("string").alias("kmer")
-    top = mt.topk_overlap(j.select("model", key, word, F.col("pred").alias("score")), j.select("model", key, word, F.col("truth").alias("score")), ["model", key], 5)
-    return rho.join(top.groupBy("model").agg(F.avg("overlap").alias("top5_overlap")), "model")
+                yield pd.DataFrame({key: pdf[key], "model": "ridge", "pred": list(x @ w)})
+
+    parts.append(test.select(key, vec).mapInPandas(predict, schema))
+    return cut_lineage(_union([p.select(key, "model", "pred") for p in parts]).join(test.select(key, F.col(profile).alias("truth")), key))
+
+
+def probe_scores(pred, probes, words, key="protein_name", seq="rna_sequence", label=LABEL, probe="pair_id") -> DataFrame:
+    """(model, probe, label, score): the mean predicted value of a probe's words (0 without any);
+    ``words``: the profile's words in its order."""
+    k = len(words[0])
+    value = pred.select(key, "model", F.posexplode("pred").alias("i", "value"))
+    at = F.array_position(F.lit(words), F.col("kmer")) - 1 if len(words) <= 64 else None
+    if at is None:  # the words are all of ACGU in order: their place is their number in base four
+        if words != alphabet_kmers("ACGU", k):
+            raise ValueError("words of a long profile must be all words over ACGU in order")
+        at = F.conv(F.translate("kmer", "ACGU", "0123"), 4, 10).cast("long")
+    c = word_counts(probes, [probe, key, label], seq, k).where(F.col("kmer").rlike("^[ACGU]+$")).withColumn("i", at.cast("int"))
+    scored = c.join(value, [key, "i"]).groupBy("model", probe).agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("score"))
+    asked = probes.join(pred.select(key, "model"), key).select("model", probe, label)
+    return asked.join(scored, ["model", probe], "left").na.fill(0.0, ["score"])
+
+
+def profile_regression(emb, prof, probes, words, key="protein_name", vec="embedding", profile="profile", split="split", top=20, n_boot=200, label=LABEL, seq="rna_sequence", probe="pair_id", seed=42) -> DataFrame:
+    """By predictor: number of test nodes, median and mean Spearman with the interval of the mean over
+    resampled nodes, the share of the ``top`` words found, and the AUROC of the probes of test nodes
+    scored by predicted profiles."""
+    from pairloom.operators.bootstrap import bootstrap_stat
+
+    pred = profile_predictions(emb, prof, key, vec, profile, split)
+
+    def fit(batches):
+        for pdf in batches:
+            if len(pdf):
+                rho, common = profile_fit(np.vstack(pdf["pred"].to_list()), np.vstack(pdf["truth"].to_list()), top)
+                yield pd.DataFrame({key: pdf[key], "model": pdf["model"], "rho": [None if np.isnan(x) else x for x in rho], "common": common})
+
+    each = cut_lineage(pred.mapInPandas(fit, f"{key} string, model string, rho double, common double"))
+    ci = bootstrap_stat(each, key, "rho", "mean", "model", n_boot, seed).withColumnsRenamed({"point": "mean_rho", "stat_lo": "mean_lo", "stat_hi": "mean_hi"})
+    out = ci.drop("n_replicates").join(quantiles(each, "model", "rho", {"median_rho": 0.5}), "model")
+    out = out.join(each.groupBy("model").agg(F.avg("common").alias(f"top{top}")), "model", "right")
+    auroc = mt.auroc(probe_scores(pred, probes, words, key, seq, label, probe), "model", "score", label).select("model", F.col("auroc").alias("probe_auroc"))
+    return out.join(auroc, "model", "left")
 
 
 def window_scores(rows, key, seq, scorer, win=101, step=50) -> DataFrame:

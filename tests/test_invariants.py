@@ -356,7 +356,7 @@ def test_model_queries_give_sane_numbers(spark, sf):
         assert vals and all(0 <= v <= 1 for v in vals), name
     f = rows(Q["ml_features"](spark, sf))
     assert len({r["dims"] for r in f}) == 1 and f[0]["dims"] >= 8256
-    assert {r["model"] for r in rows(Q["ml_profile_knn"](spark, sf))} == {"prior", "knn1", "knn5", "ridge"}
+    assert {r["model"] for r in rows(Q["ml_profile_knn"](spark, sf))} == {"prior", "knn1", "knn5", "ridge", "oracle"}
     assert {r["model"] for r in rows(Q["ml_baselines"](spark, sf))} == {"logistic", "forest", "boosted"}
 
 
