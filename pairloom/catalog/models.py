@@ -262,11 +262,9 @@ def ml_profile_knn(spark, sf):
     d = named(views.docs(spark, sf))
     words = fn.alphabet_kmers("ACGU", PROFILE_K)
     freq = km.kmer_freq(d, "protein_name", "rna", [PROFILE_K], "ACGU")
-    # a node's few words are one map; its profile is read off in word order
-    found = freq.groupBy("protein_name").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("_m"))
-    full = F.transform(F.lit(words), lambda w: F.coalesce(F.try_element_at(F.col("_m"), w), F.lit(0.0)))
+    prof = ml.dense_profiles(freq.withColumn("i", ml.word_number("kmer")), "protein_name", "i", "freq", len(words))
     no = F.substring("protein_name", 2, 20).cast("int") % 5
-    prof = found.select("protein_name", full.alias("profile")).withColumn("split", F.when(no < 3, "train").when(no == 3, "val").otherwise("test"))
+    prof = cut_lineage(prof.withColumn("split", F.when(no < 3, "train").when(no == 3, "val").otherwise("test")))
     probes = named(views.pairs(spark, sf).drop("protein_name")).select("pair_id", "protein_name", "rna_sequence", "binding_label")
     r = ml.profile_regression(e.select("protein_name", "embedding"), prof, probes, words)
     return rounded(r, "median_rho", "mean_rho", "mean_lo", "mean_hi", "top20", "probe_auroc", digits=6)

@@ -673,19 +673,23 @@ def ridge_matrix(train, vec, profile, alphas, held, key) -> tuple:
     """Ridge from embedding to profile; alpha by held-out error.  The driver only sees d x d sums."""
 
     def sums(batches):
+        # a short row for each column of [x, y]: its products with x
         for pdf in batches:
             if len(pdf):
                 x = np.hstack([np.ones((len(pdf), 1)), np.vstack(pdf[vec].to_list())]).astype(float)
                 y = np.vstack(pdf[profile].to_list()).astype(float)
-                yield pd.DataFrame({"xx": [(x.T @ x).ravel()], "xy": [(x.T @ y).ravel()]})
-
-    part = train.select(vec, profile).mapInPandas(sums, "xx array<double>, xy array<double>")
-    total = lambda c: part.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    xx = np.array([r["v"] for r in total("xx").orderBy("i").collect()])
-    xy = np.array([r["v"] for r in total("xy").orderBy("i").collect()])
-    d = int(round(len(xx) ** 0.5))
-    xx, xy = xx.reshape(d, d), xy.reshape(d, -1)
-    fits = {a: np.linalg.solve(xx + a * np.diag([1e-9] + [1.0] * (d - 1)), xy) for a in alphas}
+                xy = x.T @ np.hstack([x, y])
+                yield pd.DataFrame({"col": np.arange(xy.shape[1]), "v": list(xy.T)})
+
+    part = train.select(vec, profile).mapInPandas(sums, "col long, v array<double>")
+    total = part.select("col", F.posexplode("v").alias("i", "v")).groupBy("col", "i").agg(F.sum("v").alias("v")).toPandas()
+    d = int(total["i"].max()) + 1
+    both = total.sort_values(["i", "col"])["v"].to_numpy().reshape(d, -1)
+    xx, xy = both[:, :d], both[:, d:]
+    pen = np.diag([1e-9] + [1.0] * (d - 1))
+    # a few columns at a time: the driver's linear algebra then stays on one thread
+    solve = lambda a: np.hstack([np.linalg.solve(xx + a * pen, xy[:, j : j + 16]) for j in range(0, xy.shape[1], 16)])
+    fits = {a: solve(a) for a in alphas}
 
     def errors(batches):
         for pdf in batches:
@@ -729,6 +733,28 @@ def profile_fit(pred: np.ndarray, truth: np.ndarray, top: int) -> tuple[np.ndarr
     return rho, common
 
 
+def word_number(c):
+    """The place of an ACGU word among all words of its length in order."""
+    return F.conv(F.translate(c, "ACGU", "0123"), 4, 10).cast("int")
+
+
+def dense_profiles(long, key, index, value, size: int, out="profile") -> DataFrame:
+    """(key, index, value) cells to one array of ``size`` a key, 0 where there is no cell."""
+    lists = long.groupBy(key).agg(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"))).alias("_c"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, v in zip(pdf["_i"], pdf["_v"]):
+                full = np.zeros(size)
+                full[i] = v
+                rows.append(full)
+            yield pd.DataFrame({key: pdf[key], out: rows})
+
+    kind = dict(long.dtypes)[key]
+    return lists.select(key, F.col("_c.i").alias("_i"), F.col("_c.v").alias("_v")).mapInPandas(run, f"{key} {kind}, {out} array<double>")
+
+
 def profile_predictions(emb, prof, key="protein_name", vec="embedding", profile="profile", split="split", alphas=(1.0, 10.0, 100.0, 1000.0, 10_000.0)) -> DataFrame:
     """(key, model, pred, truth) for test nodes: the mean train profile (prior), cosine neighbours (knn1
     and knn5, weighted by similarity), a ridge whose penalty the validation nodes choose, and the own
@@ -773,7 +799,7 @@ def probe_scores(pred, probes, words, key="protein_name", seq="rna_sequence", la
     if at is None:  # the words are all of ACGU in order: their place is their number in base four
         if words != alphabet_kmers("ACGU", k):
             raise ValueError("words of a long profile must be all words over ACGU in order")
-        at = F.conv(F.translate("kmer", "ACGU", "0123"), 4, 10).cast("long")
+        at = word_number("kmer")
     c = word_counts(probes, [probe, key, label], seq, k).where(F.col("kmer").rlike("^[ACGU]+$")).withColumn("i", at.cast("int"))
     scored = c.join(value, [key, "i"]).groupBy("model", probe).agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("score"))
     asked = probes.join(pred.select(key, "model"), key).select("model", probe, label)
