@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.llm.common import distinct_documents, repeat_ranges
 
 MARK = "▁"
-PART, WINDOW, REMEMBERED, LONG = 1 << 20, 4096, 1 << 18, 48
+PART, WINDOW, REMEMBERED, LONG = 1 << 20, 4096, 1 << 19, 48
 ENCODED = "doc_id long, ids array<int>"
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _loaded: dict = {}
