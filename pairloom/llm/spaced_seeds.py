@@ -12,7 +12,10 @@ mask are looked up as a whole, without gaps.
 The items are a stated query set, held against all documents: they are sent to the tasks in
 blocks of at most ``ITEM_BYTES`` of text (or one item), however many blocks that takes, and
 no document moves.  Null and empty texts, and items without tokens, match nothing; items that
-repeat an id count once (smallest text), the item id null matches as null.
+repeat an id count once (smallest text), the item id null matches as null.  Ties between places
+go to the shorter stretch, then the earlier one.  An empty table on either side gives no rows.
+Texts are searched whole; a token that recurs all through a text and an item costs a look at each
+of their diagonals.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ MASKS = ("111100011", "1000101111")
 STRETCH, SHARE = 13, 0.8
 ITEM_BYTES, BLOCK = 1 << 24, 1 << 18
 FILTER_BITS = 22
+HITS = 1 << 21  # hits that are turned into diagonals at once
 RESULT = "doc_id long, item_id long, matched long, overlap long, item_tokens long, doc_start long, item_start long"
 
 INSIDE = np.zeros(256, bool)
@@ -114,23 +118,28 @@ class Items:
     def overlaps(self, column):
         """(row, item index, equal, length, row start, item start), the best for each row and item."""
         tok, offs = tokens(column)
-        rows, items, shifts = [], [], []
+        # a diagonal of a row and an item as one number
+        longest = int(np.diff(self.offs).max(initial=0)) + 1
+        width = longest + int(np.diff(offs).max(initial=0)) + 1
+        found = []
         for salt, mask, h, pos, item, some in self.tables:
             own, at = seeds(tok, offs, mask, salt)
             maybe = some[(own >> U64(64 - FILTER_BITS)).astype(np.int64)]
             own, at = own[maybe], at[maybe]
             lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            # a seed that recurs in the items gives a hit for each place
-            count = hi - lo
-            k = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            at = np.repeat(at, count)
-            row = np.searchsorted(offs, at, "right") - 1
-            rows.append(row)
-            items.append(item[k])
-            shifts.append(at - offs[row] - pos[k])
-        row, item, shift = (np.concatenate(x).astype(np.int64) for x in (rows, items, shifts))
+            at, lo, count = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            # a seed that recurs in the items gives a hit for each place; many hits are few diagonals
+            group = (np.cumsum(count) - count) // HITS
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(group)) + 1):
+                n = count[part]
+                k = np.repeat(lo[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                place = np.repeat(at[part], n)
+                row = np.searchsorted(offs, place, "right") - 1
+                found.append(np.unique((row * len(self.ids) + item[k]) * width + (place - offs[row] - pos[k] + longest)))
+        code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        row, item, shift = code // width // len(self.ids), code // width % len(self.ids), code % width - longest
         best: dict = {}
-        for r, i, s in np.unique(np.stack([row, item, shift], axis=1), axis=0).tolist() if len(row) else []:
+        for r, i, s in zip(row.tolist(), item.tolist(), shift.tolist()):
             n, m = int(offs[r + 1] - offs[r]), int(self.offs[i + 1] - self.offs[i])
             lo, hi = max(0, -s), min(m, n - s)
             a, b = offs[r] + s, self.offs[i]
