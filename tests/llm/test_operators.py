@@ -178,6 +178,59 @@ def test_spaced_seeds(odd, spark):
     assert not kept & {9001, 9002, 9004} and 9003 in kept
 
 
+def overlaps_by_brute_force(text, item):
+    """The best stretch of a text and an item over all diagonals on which a mask fits equal tokens."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    a, b = words(text), words(item)
+    least, best = min(spaced_seeds.STRETCH, len(b)), None
+    shortest = min(map(len, spaced_seeds.MASKS))
+    masks = list(spaced_seeds.MASKS) + (["1" * len(b)] if 0 < len(b) < shortest else [])
+    for shift in range(-len(b), len(a)):
+        same = {i: a[i + shift] == b[i] for i in range(len(b)) if 0 <= i + shift < len(a)}
+        hit = any(all(c == "0" or same[p + k] for k, c in enumerate(m)) for m in masks for p in same if p + len(m) - 1 in same)
+        if not hit:
+            continue
+        longest = None
+        for end in sorted(i for i in same if same[i]):
+            for start in sorted(i for i in same if same[i] and i <= end):
+                size, equal = end - start + 1, sum(same[i] for i in range(start, end + 1))
+                if equal >= spaced_seeds.SHARE * size - 1e-9:
+                    if longest is None or size > longest[0]:
+                        longest = (size, equal, start)
+                    break
+        if longest and longest[0] >= least:
+            size, equal, start = longest
+            cand = (-equal, size, shift + start, start)
+            best = cand if best is None or cand < best else best
+    return best and (-best[0], best[1], best[2], best[3])
+
+
+def test_spaced_seeds_by_brute_force(spark):
+    rng = np.random.default_rng(14)
+    words = ["a", "b", "cc", "dé", "x1", "the", "of", "日本"]
+    line = lambda n: " ".join(rng.choice(words, n))
+    items = [line(int(n)) for n in rng.integers(1, 30, 12)] + ["a " * 40, "a " * 20 + "b " * 20, None, " .,", "the of the"]
+    texts = [line(int(n)) for n in rng.integers(0, 60, 30)] + ["a " * 90, None, "", "the of the", "b " * 15 + "a " * 15]
+    for k in range(15):
+        own = (items[k % 12] or "").split()
+        for p in rng.integers(0, len(own), len(own) // 7):
+            own[p] = "other"
+        texts.append(line(5) + " " + " ".join(own).upper() + "! " + line(4))
+    docs = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, item_id long").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.overlap, r.doc_start, r.item_start) for r in spaced_seeds.contaminated(docs, bench).collect()}
+    want = {(i, j): f for i, t in enumerate(texts) for j, x in enumerate(items) if (f := overlaps_by_brute_force(t, x))}
+    assert got == want and len(want) > 20
+
+
+def test_spaced_seeds_of_repeated_tokens_end():
+    import pyarrow as pa
+
+    items = spaced_seeds.Items(np.array([5]), pa.array(["a " * 500]))
+    found = items.overlaps(pa.array(["b", "a " * 20_000]))
+    assert [(r, i, n) for r, i, n, *_ in found] == [(1, 0, 500)]
+
+
 def test_masks_hit_two_substitutions():
     from itertools import combinations
 
