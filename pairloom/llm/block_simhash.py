@@ -10,7 +10,8 @@ A search within a Hamming radius cuts the bits in ``radius + 2`` blocks: two fin
 within the radius agree on two whole blocks at least, so each pair of blocks is the key of
 one table.  A pair counts in the first table that finds it.  Equal fingerprints are one row.
 
-DataFrame functions only.  Equal ids: see ``common``; the id null counts as the smallest id.
+DataFrame functions only.  Equal ids: see ``common``; the id null counts as the smallest id.  A
+text of any length is one row; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ the roles that bear loss are intersected with the sorted token spans by binary s
 
 Rows of one conversation are ordered by turn (null first), role and text and read one
 conversation at a time from sorted partitions.  One conversation is the unit of work and has
-to fit in a task; its size is its author's, not the table's.  Null roles and texts count as
+to fit in a task; its size is its author's, not the table's.  An empty table gives no rows.  Null roles and texts count as
 empty; the conversation null is one of its own; a conversation without assistant turns has an
 empty mask.
 """

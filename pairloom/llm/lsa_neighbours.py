@@ -9,11 +9,11 @@ of labelled rows gives ``RANK`` latent directions; every whole text is projected
 The labelled vectors (at most ``SAMPLE`` rows, the smallest by a hash of the id; the
 decomposition takes the ``HEAVY`` heaviest features of each) are sent to the tasks, which
 multiply them with the documents in blocks, exactly.  The ``NEIGHBOURS`` nearest vote with
-their cosine as weight.
+the fourth power of their cosine as weight.
 
 Null texts count as empty; texts without words, and all texts where nothing is labelled,
 score the share of label 1 in the sample, or 0.5.  A document with several labels has the
-smallest.  Equal ids: see ``common``.
+smallest.  Equal ids: see ``common``.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ ratio, and a text meets its own band and the next.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; texts with fewer words
 than a shingle give one shingle of all words; texts without words have the fingerprint zero.
-Null texts count as empty.  Equal ids: see ``common``; the id null is the smallest id.
+Null texts count as empty.  Equal ids: see ``common``; the id null is the smallest id.  Long texts are
+hashed whole, one text at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations

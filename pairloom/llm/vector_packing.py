@@ -13,7 +13,8 @@ token moves, and there is nothing to gather.  Sequence ids are the task's number
 counter, the same in every attempt of a task.
 
 Loss-bearing are all ids of a document but its first, which nothing precedes.  Null texts are
-empty; an empty text gives the end id alone.  Rows that repeat an id are packed each.
+empty; an empty text gives the end id alone.  Rows that repeat an id are packed each.  An empty
+table gives no pieces.
 """
 
 from __future__ import annotations
