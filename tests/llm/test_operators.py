@@ -379,6 +379,22 @@ def test_fingerprints(odd):
     assert fps[30] == fps[460] == fps[470]
 
 
+def test_weighted_fingerprints_by_brute_force(odd):
+    """Every term's hash votes on each bit with the term's length."""
+    docs = {i: t for i, t in plain(odd).items() if t.split()}
+    got = {r.doc_id: r.fp % 2**64 for r in block_simhash.fingerprints(distinct_documents(odd)).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        w = re.split("[ \t\n\x0b\f\r]+", t.lower().strip(" \t\n"))
+        terms = list(zip(w, w[1:])) or [(w[0], w[0])]
+        votes, total = [0] * 64, sum(len(a) + len(b) for a, b in terms)
+        for a, b in terms:
+            h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+            for k in range(64):
+                votes[k] += (len(a) + len(b)) * (h >> k & 1)
+        assert got[i] == sum(1 << k for k in range(64) if 2 * votes[k] > total)
+
+
 def test_languages(odd):
     profiles = rank_order.learn_profiles(odd)
     assert set(profiles) == {"de", "en"}
