@@ -120,6 +120,36 @@ def test_candidates_span_every_cluster():
         assert (cluster(list(zip(i, j)), limit) == cluster(every, limit)).all()
 
 
+def test_pairs_beyond_the_radius(spark):
+    """Sets of four and of five shingles are similar, but many of their fingerprints lie beyond the radius."""
+    rng = np.random.default_rng(14)
+    texts, far = ["in the end of all " * 3] * 2, 0
+    for k in range(60):
+        base = [f"t{k}w{i}" for i in range(9)]
+        texts += [" ".join(base), " ".join(base[:8])]
+    for k in range(60):  # a third text beside two that are closer to each other
+        base = [f"s{k}w{i}" for i in rng.permutation(40)]
+        texts += [" ".join(base), " ".join(base[:-4]), " ".join(base[4:]), " ".join([*base[:-1], "x"])]
+    sets = {k: shingles(t) for k, t in enumerate(texts)}
+    for k in range(2, 122, 2):
+        fp, _ = vote([near_copies.shingle_hashes(texts[k + x].encode(), 5) for x in (0, 1)], near_copies.WORDS)
+        far += int(np.bitwise_count(fp[0] ^ fp[1]).sum() > near_copies.RADIUS)
+    assert far > 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()} == roots(sets)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(15)
+    hashes = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    for common in ((hashes[:0], np.zeros(0, np.int64)), (hashes[::3], rng.integers(2, 9, len(hashes[::3])))):
+        for _ in range(300):
+            a = np.unique(rng.choice(hashes, int(rng.integers(1, 60)), replace=False))
+            b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) - int(rng.integers(0, 6))), replace=False), rng.choice(hashes, int(rng.integers(0, 4)))]))
+            if similarity(set(a.tolist()), set(b.tolist())) >= 0.8:
+                assert np.intersect1d(near_copies._prefix(a, 0.8, common), near_copies._prefix(b, 0.8, common)).size
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_copies.groups(docs).count() == 0
