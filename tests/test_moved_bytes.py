@@ -22,3 +22,16 @@ def test_postings_carry_no_lists_and_pairs_come_once(spark, monkeypatch):
     want = {(*sorted((a, b)), round(sim(a, b), 9)) for a in words for b in words if a < b and sim(a, b) >= 0.5}
     assert len(got) == len(want) > 25
     assert {(*sorted(x[:2]), x[2]) for x in got} == want
+
+
+def test_shuffle_control_reads_rows_once(spark, monkeypatch):
+    rows = [(f"g{i % 3}", i % 2, float(i % 11), float(i * 7 % 13)) for i in range(300)]
+    df = spark.createDataFrame(rows, "protein_name string, binding_label int, a double, b double")
+    calls, cells = [], mt.cells
+    monkeypatch.setattr(mt, "cells", lambda *a, **k: calls.append(1) or cells(*a, **k))
+    r = mt.shuffle_control(df, "a", "b").first()
+    assert len(calls) == 1
+    for c, name in (("a", "real"), ("b", "shuffled")):
+        assert r[f"auroc_{name}"] == pytest.approx(mt.auroc(df, [], c).first().auroc)
+        by = sorted(x.auroc for x in mt.auroc(df, "protein_name", c).collect())
+        assert r[f"median_{name}"] == pytest.approx(by[1])
