@@ -35,3 +35,14 @@ def test_shuffle_control_reads_rows_once(spark, monkeypatch):
         assert r[f"auroc_{name}"] == pytest.approx(mt.auroc(df, [], c).first().auroc)
         by = sorted(x.auroc for x in mt.auroc(df, "protein_name", c).collect())
         assert r[f"median_{name}"] == pytest.approx(by[1])
+
+
+def test_all_foreign_positives_are_not_ranked(spark, monkeypatch):
+    rows = [("u1", "w", "A"), ("u1", "w", "B"), ("u2", "w", "B"), ("u2", "w", None), ("u3", "v", "A"), (None, "w", "C"), ("u1", None, "D")]
+    df = spark.createDataFrame(rows * 2, "unit string, within string, rna_sequence string")
+    monkeypatch.setattr(ng, "ordered_prefix", None)
+    got = [(r.unit, r.within, r.rna_sequence) for r in ng.cross_unit(df, "unit", "within").collect()]
+    # a null unit or sequence owns nothing
+    pool = {"A", "B", "C", None}
+    want = {(u, "w", s) for u, own in (("u1", "AB"), ("u2", "B"), (None, "")) for s in pool if s is None or s not in own}
+    assert len(got) == len(want) and set(got) == want
