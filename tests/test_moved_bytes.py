@@ -46,3 +46,28 @@ def test_all_foreign_positives_are_not_ranked(spark, monkeypatch):
     pool = {"A", "B", "C", None}
     want = {(u, "w", s) for u, own in (("u1", "AB"), ("u2", "B"), (None, "")) for s in pool if s is None or s not in own}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_steps_of_large_groups_move_sums_only(spark):
+    rng = np.random.default_rng(4)
+    rows = [("g", i, "".join(rng.choice(list("ACGU"), 20)), int(i % 2)) for i in range(90)]
+    df = ml.sharded(spark.createDataFrame(rows, "g string, key long, rna_sequence string, binding_label int"), "g", "key", 40)
+    shards = ml._packed_shards(df, "g", "rna_sequence", "binding_label")
+    assert shards.count() == 3 and shards.select(F.sum(F.size("texts"))).first()[0] == 90
+    models = spark.createDataFrame([("g", m, [0.1] * 17, [1.0] * 16) for m in ("x", "y")], "g string, model string, w array<double>, scale array<double>")
+    parts = ml._shard_slopes(shards, models, "g", "string", 2)
+    assert "hashpartitioning" not in parts._jdf.queryExecution().executedPlan().toString()
+    x, y = ml.word_matrix([r[2] for r in rows], 2), np.array([r[3] for r in rows], float)
+    g, h = ml._slopes(ml._design(x, np.ones(16)), y, np.full(17, 0.1))
+    for m in ("x", "y"):
+        total = sum(np.array(r.slopes) for r in parts.where(F.col("model") == m).collect())
+        assert np.allclose(total, np.concatenate([g, h.ravel()]))
+
+
+def test_word_matrix_of_blocks(monkeypatch):
+    seqs = ["ACGU", "", "AC", "NNACGNUACG", "ACGTACGU", "é" * 5 + "ACG", "UUUU"] * 3
+    monkeypatch.setattr(ml, "WORD_ROWS", 4)
+    words = [a + b + c for a in "ACGU" for b in "ACGU" for c in "ACGU"]
+    for s, row in zip(seqs, ml.word_matrix(seqs, 3)):
+        n = [sum(s[i : i + 3] == w for i in range(len(s) - 2)) for w in words]
+        assert row.tolist() == [c / max(1, sum(n)) for c in n]
