@@ -423,6 +423,12 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids), **{n: pa.array(x.astype(k)) for n, x, k in zip(("n_tokens", "n_known", "base_score", "score"), sums, kinds)}})
 
 
+def _release(spark) -> None:
+    """Let Spark delete the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     """docs (doc_id, text, fold), ids unique; fold HELD_OUT is not learned from.
     (doc_id, n_tokens, n_known, train_tokens, base_score, score).  ``contexts`` decides speed only."""
@@ -453,10 +459,12 @@ def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     model = weights, total_a + total_b, types
     # the shuffle files of the learning go before those of the scores come
     del counted, pairs, found, rare, cells
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    _release(docs.sparkSession)
     events = docs.mapInArrow(_send_events(ctx, buckets), "bucket int, chunk long, blobs array<binary>, docs binary")
     parts = cut_lineage(events.groupBy("bucket").applyInArrow(_partial_scores(ctx, *model, buckets), PARTIAL))
+    # the sums are written: the shuffle files of the events go before those of the rare words come
+    del events
+    _release(docs.sparkSession)
     rare = parts.where("docs IS NOT NULL").select("bucket", "blob", "docs", "word").groupBy("bucket").applyInArrow(_rare_scores(*model), "chunk long, blob binary")
     parts = parts.where("docs IS NULL").select("chunk", "blob").unionByName(rare)
     out = parts.groupBy("chunk").applyInArrow(_merged, "doc_id long, n_tokens long, n_known long, base_score double, score double")
