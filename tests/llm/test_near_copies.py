@@ -153,3 +153,28 @@ def test_prefixes_of_similar_sets_meet():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_copies.groups(docs).count() == 0
+
+
+def test_variants_of_one_text_meet_in_few_pairs(spark, monkeypatch):
+    """Most variants of a text are about as near to it as the similarity, and less near to each other."""
+    rng = np.random.default_rng(15)
+    base, texts = [f"v{i}" for i in range(150)], []
+    for k in range(400):
+        copy = list(base)
+        for p in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            copy[p] = f"e{k}x{p}"
+        texts.append(" ".join(copy))
+    pairs, check = [], near_copies.similar_pairs
+    monkeypatch.setattr(near_copies, "similar_pairs", lambda docs, found, *rest: pairs.append(found.distinct().count()) or check(docs, found, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()} == roots({k: shingles(t) for k, t in enumerate(texts)})
+    assert sum(pairs) < 5 * len(texts)
+
+
+def test_parity_bits_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(16)
+    for n in (0, 5, 100, 3000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(0.9 * n)], rng.integers(0, 2**63, n // 8, dtype=np.uint64)]))
+        x, y = near_copies._parity([a, b])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
