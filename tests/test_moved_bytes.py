@@ -1,5 +1,7 @@
 """What moves and what is written: similarity postings, shuffle control, cross-unit negatives, sharded fits."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,24 @@ def test_word_matrix_of_blocks(monkeypatch):
     for s, row in zip(seqs, ml.word_matrix(seqs, 3)):
         n = [sum(s[i : i + 3] == w for i in range(len(s) - 2)) for w in words]
         assert row.tolist() == [c / max(1, sum(n)) for c in n]
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    from pairloom.plans.lineage import CLEANUP
+
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP)
+    grouped = spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+    rows = cut_lineage(grouped)
+    end = time.time() + 20  # Spark deletes beside the next work
+    while shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    # both the written rows and the plan they came from can be used again
+    assert rows.count() == grouped.count() == 1000 and rows.agg(F.sum("n")).first()[0] == 10_000
+    assert spark.conf.get(CLEANUP) == setting
