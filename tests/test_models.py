@@ -1,6 +1,7 @@
 """Profiles from embeddings, neighbour transfer and audits against plain numpy."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pairloom.operators import models as ml
 from pairloom.functions import alphabet_kmers
@@ -120,3 +121,19 @@ def test_neighbour_scores_by_brute_force(spark):
             own = [(t, f) for q, t, f, rk in near if q == g and rk <= n and f > 0]
             model = sum(w[t] * f for t, f in own) / sum(f for _, f in own) if own else mean
             assert abs(got[key][f"nn{n}"] - c @ model) < 1e-9
+
+
+def test_baselines_have_the_surveyed_sizes(spark, monkeypatch):
+    seen = {}
+
+    def recorded(train, test, model, label):
+        seen[type(model).__name__] = model
+        return test.withColumn("score", F.rand(1))
+
+    monkeypatch.setattr(ml, "fit_scores", recorded)
+    df = spark.createDataFrame([(i % 2, ("train", "val")[i // 2 % 2], float(i)) for i in range(8)], "binding_label int, split string, features double")
+    assert ml.train_baselines(df).count() == 3
+    forest, boosted = seen["RandomForestClassifier"], seen["GBTClassifier"]
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 15)
+    assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (300, 6)
+    assert seen["LogisticRegression"].getMaxIter() == 1000
