@@ -1,5 +1,7 @@
 """Profiles from embeddings, neighbour transfer and audits against plain numpy."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -137,3 +139,35 @@ def test_baselines_have_the_surveyed_sizes(spark, monkeypatch):
     assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 15)
     assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (300, 6)
     assert seen["LogisticRegression"].getMaxIter() == 1000
+
+
+def test_rna_audit_fits_on_every_cross_unit_negative(spark, monkeypatch):
+    """Weights, split and AUROC of the cross-unit part, by numpy over all negatives; a limit is passed on only if asked for."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for d in range(4):
+        for j in range(90):
+            rows.append((f"d{d}", "c", f"t{d}_{j % 9}", f"k{d}_{j}", "".join(rng.choice(list("ACGU"), 12, p=[0.4, 0.1, 0.1, 0.4] if d < 2 else [0.25] * 4)), int(j < 60)))
+    rows.append(("d0", "c", "t0_0", "k0_x", rows[90][4], 1))  # a positive of two datasets
+    df = spark.createDataFrame(rows, "dataset string, cell string, unit string, key string, rna_sequence string, binding_label int")
+    monkeypatch.setattr(ml, "POOL_ROWS", 7)
+    got = {r["dataset"]: r for r in ml.rna_audit(df, "dataset", "cell", "unit", "key", k=2).collect() if r["kind"] == "cross_unit"}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    positives = {d: [(r[3], r[4]) for r in rows if r[0] == d and r[5]] for d in got}
+    pool = {s for own in positives.values() for _, s in own}
+    assert len(got) == 4
+    for d, r in got.items():
+        parts = {"train": ([], []), "test": ([], [])}
+        for y, own in ((1, positives[d]), (0, [(sha(f"{d}|{s}"), s) for s in pool - {s for _, s in positives[d]}])):
+            order = sorted(own, key=lambda x: sha(f"42|{x[0]}"))
+            n_train = len(order) - round(len(order) * 0.2)
+            for i, (_, s) in enumerate(order):
+                texts, labels = parts["train" if i < n_train else "test"]
+                texts.append(s)
+                labels.append(y)
+        assert len(parts["train"][0]) > 150
+        w = ml.logistic_fit(ml.word_matrix(parts["train"][0], 2), np.array(parts["train"][1], float), 1.0)
+        score, y = w[0] + ml.word_matrix(parts["test"][0], 2) @ w[1:], np.array(parts["test"][1])
+        pos, neg = np.round(score[y == 1], 9), np.round(score[y == 0], 9)
+        want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+        assert (r["n_pos"], r["n_neg"]) == (len(pos), len(neg)) and abs(r["auroc"] - want) < 0.002
