@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from pairloom.operators import joins as jn
+from pairloom.plans import cut_lineage
 
 
 def table(spark, rng, n, spread):
@@ -49,3 +50,37 @@ def test_empty_and_single(spark):
     assert jn.cosine_knn(df, df, "name", "vec", 3).count() == 0
     assert jn.cosine_knn(df, df.limit(0), "name", "vec", 3).count() == 0
     assert jn.cosine_knn(df.limit(0), df, "name", "vec", 3).count() == 0
+
+
+@pytest.mark.parametrize(("posting", "one_pass", "sim"), [(2000, 10**9, 0.5), (3, 200, 0.5), (3, 200, 0.8)])
+def test_similar_pairs_by_brute_force(spark, monkeypatch, posting, one_pass, sim):
+    """Long and short texts, repeats inside a text, words of many texts, several passes and blocks."""
+    rng = np.random.default_rng(6)
+    letter = lambda n, a="ACGU": "".join(rng.choice(list(a), n))
+    base = [letter(60) for _ in range(30)] + [letter(n, "ACDEFGHIKL") for n in (5, 12, 14, 300, 900)] + ["ACAC" * 15, "é\U0001f600" * 20 + letter(9)]
+    common = letter(40)
+    seqs = [*base, *[b[: len(b) * 2 // 3] + letter(len(b) // 8) for b in base], *[b[3:] for b in base], *[common + letter(n) for n in range(5, 30)], "", "A", None]
+    monkeypatch.setattr(jn, "POSTING", posting)
+    monkeypatch.setattr(jn, "PASS", one_pass)
+    monkeypatch.setattr(jn, "TEXT_CELLS", 4000)
+    df = spark.createDataFrame([(s,) for s in seqs * 2], "s string").repartition(3)
+    got = {(*sorted((r.seq_a, r.seq_b)), round(r.jaccard, 9), round(r.containment, 9)) for r in jn.pair_similarity(df, "s", 6, sim).collect()}
+    words = {s: {s[i : i + 6] for i in range(len(s) - 5)} for s in seqs if s and len(s) > 5}
+    want = set()
+    for a in words:
+        for b in words:
+            both = len(words[a] & words[b])
+            if a < b and both / len(words[a] | words[b]) >= sim:
+                want.add((a, b, round(both / len(words[a] | words[b]), 9), round(both / min(len(words[a]), len(words[b])), 9)))
+    assert got == want and len(want) > 30
+
+
+def test_no_pair_of_random_texts_is_written(spark, monkeypatch):
+    """Texts that share a word by chance meet in their bucket and are not passed on."""
+    rng = np.random.default_rng(7)
+    seqs = ["".join(rng.choice(list("ACGU"), 60)) for _ in range(400)]
+    written = []
+    monkeypatch.setattr(jn, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    assert jn.pair_similarity(spark.createDataFrame([(s,) for s in seqs], "s string"), "s", 5, 0.5).count() == 0
+    met = [df.count() for df in written if "at" in df.columns]
+    assert len(met) == 1 and met[0] < 500  # of 79,800 pairs
