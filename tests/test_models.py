@@ -171,3 +171,74 @@ def test_rna_audit_fits_on_every_cross_unit_negative(spark, monkeypatch):
         pos, neg = np.round(score[y == 1], 9), np.round(score[y == 0], 9)
         want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
         assert (r["n_pos"], r["n_neg"]) == (len(pos), len(neg)) and abs(r["auroc"] - want) < 0.002
+
+
+def test_audit_takes_the_steps_of_spark_ml(spark):
+    """All models of the shortcut audit in one pass a step, against spark.ml fits of each; a protein lies once in a shard."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(11)
+    prot = [("".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), n)), f"p{i}") for i, n in enumerate([2, *rng.integers(20, 60, 9)])]
+    rows = [(f"k{i}", f"p{i % 10}", "".join(rng.choice(list("ACGU"), rng.integers(1, 20))), int(rng.random() < 0.6)) for i in range(220)]
+    df = spark.createDataFrame(rows, "key string, name string, seq string, y int")
+    proteins = spark.createDataFrame(prot, "protein_sequence string, name string")
+    f = ml.audit_folds(df, "key", "name", "seq", "y", 2)
+    splits = list(ml.audit_splits("name", "seq"))
+    shards = ml._audit_shards(f, proteins, "name", "seq", "y", splits, limit=30)
+    assert shards.count() > 8 and shards.select(F.max(F.size("proteins"))).first()[0] < 10
+    audit = ml._Audit(shards, splits, 2, 2, 1)
+    audit.prepare({"rna": (True, False), "both": (True, True)})
+    fits = audit.fit(0.01, 15)
+    digits = dict(zip("AGVILFPYMTSHNQWRKDEC", "00011112222333344556"))
+    triads = {n: np.bincount([int(digits[c]) for c in t], minlength=7) / len(t) for t, n in prot}
+    data = f.collect()
+    for (s, kind, k), (w, b) in zip(audit.models, fits):
+        own = [r for r in data if r[splits[s]] is not None and r[splits[s]] != k]
+        x = ml.word_matrix([r["seq"] for r in own], 2)
+        x = np.hstack([x, np.stack([triads[r["name"]] for r in own])]) if kind == "both" else x
+        train = spark.createDataFrame([(float(r["y"]), Vectors.dense(v)) for r, v in zip(own, x)], ["label", "features"])
+        m = LogisticRegression(maxIter=15, regParam=0.01).fit(train)
+        assert np.allclose(w[: x.shape[1]], m.coefficients.toArray(), atol=1e-5) and abs(b - m.intercept) < 1e-5
+    assert len(fits) == 12
+
+
+def test_prior_of_the_other_folds(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"k{i}", None if i % 11 == 0 else f"p{i % 7}", f"s{rng.integers(9)}", int(rng.random() < 0.5)) for i in range(120)]
+    df = spark.createDataFrame(rows, "key string, name string, seq string, y int")
+    f = ml.audit_folds(df, "key", "name", "seq", "y", 3)
+    assert f.where("protein_disjoint IS NULL").count() == 11
+    for split in ml.audit_splits("name", "seq"):
+        got = sorted((r.fold, r.y, round(r.score, 9)) for r in ml.fold_priors(f, split, "name", "seq", "y").collect())
+        kept, want = f.where(F.col(split).isNotNull()), []
+        for k in range(3):
+            train, test = (kept.where(F.col(split) != k), kept.where(F.col(split) == k))
+            want += [(k, r.y, round(r.prior, 9)) for r in ml.label_prior(train, test.withColumn("key", F.lit(1)), "key", "name", "seq", "y").collect()]
+        assert got == sorted(want) and want
+
+
+def test_shares_of_folds_by_brute_force(spark):
+    """One row a row, not one a split; rows without a name are in no share, as before."""
+    rng = np.random.default_rng(13)
+    rows = [(f"k{i}", None if i % 13 == 0 else f"n{rng.integers(12)}", f"p{rng.integers(30)}", f"s{rng.integers(60)}", i % 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "key string, name string, prot string, seq string, binding_label int")
+    f = ml.audit_folds(df, "key", "name", "seq", folds=3)
+    assert f.count() == 150
+    splits, data = list(ml.audit_splits("name", "seq")), f.collect()
+    got = {r["split"]: r for r in ml.fold_overlap(f, "name", "prot", "seq", splits).collect()}
+    pairs = [("p1", "p2", 0.6), ("p2", "p9", 0.8), ("p3", "zz", 0.9)]
+    near = {r["split"]: r for r in ml.fold_similarity(f, "prot", spark.createDataFrame(pairs, "a string, b string, jaccard double"), (0.5, 0.7), "p", splits).collect()}
+    sim = {(a, b): x for u, v, x in pairs for a, b in ((u, v), (v, u))}
+    for s in splits:
+        own = [r for r in data if r[s] is not None and r["name"] is not None]
+        for name, key in (("name", ["name"]), ("protein", ["prot"]), ("rna", ["seq"]), ("pair", ["prot", "seq"])):
+            folds = {}
+            for r in own:
+                folds.setdefault(tuple(r[c] for c in key), set()).add(r[s])
+            want = np.mean([len(folds[tuple(r[c] for c in key)]) > 1 for r in own])
+            assert abs(got[s][f"{name}_in_train"] - want) < 1e-12
+        all_ = [r for r in data if r[s] is not None]
+        best = [max([1.0 if q["prot"] == r["prot"] else sim.get((r["prot"], q["prot"]), 0) for q in all_ if q[s] != r[s]], default=0) for r in all_]
+        assert abs(near[s]["p_similar_50"] - np.mean([b >= 0.5 for b in best])) < 1e-12
+        assert abs(near[s]["p_similar_70"] - np.mean([b >= 0.7 for b in best])) < 1e-12

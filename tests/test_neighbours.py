@@ -54,6 +54,23 @@ def test_empty_and_single(spark):
 
 @pytest.mark.parametrize(("posting", "one_pass", "sim"), [(2000, 10**9, 0.5), (3, 200, 0.5), (3, 200, 0.8)])
 def test_similar_pairs_by_brute_force(spark, monkeypatch, posting, one_pass, sim):
+    check_pairs(spark, monkeypatch, posting, one_pass, sim)
+
+
+def test_long_texts_share_several_words_of_a_bucket(spark, monkeypatch):
+    """Texts that have a phrase in common are not passed on, similar ones are."""
+    rng = np.random.default_rng(8)
+    letter = lambda n: "".join(rng.choice(list("ACDEFGHIKL"), n))
+    phrase, base = letter(40), letter(600)
+    seqs = [letter(300) + phrase + letter(300) for _ in range(40)] + [base, base[:500] + letter(100), letter(60) + base]
+    written = []
+    monkeypatch.setattr(jn, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    found = jn.pair_similarity(spark.createDataFrame([(s,) for s in seqs], "s string"), "s", 6, 0.5).collect()
+    assert {frozenset((r.seq_a, r.seq_b)) for r in found} == {frozenset((seqs[i], seqs[j])) for i, j in ((40, 41), (40, 42), (41, 42))}
+    assert len({(r.a, r.b) for df in written if "at" in df.columns for r in df.collect()}) < 10
+
+
+def check_pairs(spark, monkeypatch, posting, one_pass, sim):
     """Long and short texts, repeats inside a text, words of many texts, several passes and blocks."""
     rng = np.random.default_rng(6)
     letter = lambda n, a="ACGU": "".join(rng.choice(list(a), n))
