@@ -101,3 +101,21 @@ def test_no_pair_of_random_texts_is_written(spark, monkeypatch):
     assert jn.pair_similarity(spark.createDataFrame([(s,) for s in seqs], "s string"), "s", 5, 0.5).count() == 0
     met = [df.count() for df in written if "at" in df.columns]
     assert len(met) == 1 and met[0] < 500  # of 79,800 pairs
+
+
+def test_visits_are_not_written_as_vectors(spark, monkeypatch):
+    """On vectors without clusters every query needs every cluster: vectors are packed once, results are those of all pairs."""
+    monkeypatch.setattr(jn, "BLOCK", 30)
+    x = np.random.default_rng(9).normal(size=(400, 6))
+    names = [f"v{k // 2:04d}" if k < 20 else f"v{k:04d}" for k in range(400)]  # some names come twice
+    df = spark.createDataFrame(list(zip(names, x.tolist())), "name string, vec array<double>").repartition(5)
+    written = []
+    monkeypatch.setattr(jn, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    got = jn.cosine_knn(df, df, "name", "vec", 4).collect()
+    assert all(w.count() <= 2 * 400 * 30 // 4 for w in written if "vec" in w.columns)
+    assert sum(w.select(jn.F.sum(jn.F.length("m"))).first()[0] for w in written if "m" in w.columns) == 2 * 400 * 6 * 8
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    for k in range(20, 400):
+        best = sorted((s for j, s in enumerate(sim[k]) if names[j] != names[k]), reverse=True)[:4]
+        assert np.allclose(sorted((r["sim"] for r in got if r["query"] == names[k]), reverse=True), best, atol=1e-8)
