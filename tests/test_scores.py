@@ -1,6 +1,7 @@
 """Word scores found inside the rows against plain Python; window texts are made once."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,39 @@ def test_window_texts_are_made_once(spark, tmp_path, view):
     if view is views.pairs_keyed:
         prot = "".join(c for c in letters if c not in "bjouxz").upper()
         assert {(r[0], r[1]) for r in d.select("protein_key", "protein_length").collect()} == {(spark.range(1).select(F.md5(F.lit(prot))).first()[0], len(prot))}
+
+
+def test_kmer_frequencies_move_texts_only(spark):
+    """By brute force over keys that repeat or are null; no word is shuffled."""
+    from pairloom.operators import kmers as km
+
+    rows = [(1, "ACGUAC"), (1, "GGNGG"), (2, "A"), (None, "UUUU"), (None, "AXU"), (3, None), (4, ""), (5, "\u00e9ACGU\U0001f600AC")] + [(k, "ACGU" * k) for k in range(6, 40)]
+    df = spark.createDataFrame(rows, "id long, s string").repartition(3)
+    out = km.kmer_freq(df, "id", "s", [1, 2, 3], "AUGC")
+    assert out.dtypes == [("id", "bigint"), ("kmer", "string"), ("n", "bigint"), ("freq", "double")]
+    want = set()
+    for key in {k for k, _ in rows}:
+        for k in (1, 2, 3):
+            n = Counter(s[i : i + k] for q, s in rows if q == key and s for i in range(len(s) - k + 1) if set(s[i : i + k]) <= set("ACGU"))
+            want |= {(key, w, c, c / sum(n.values())) for w, c in n.items()}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan.split("Exchange")[-1]
+
+
+def test_counts_of_letters_and_pairs(spark):
+    """RNA texts by replacing, others by matching: the same as by hand."""
+    from pairloom import functions as fn
+
+    texts = ["", "A", "AA", "AAAA", "ACGU", "AACAAGAAA", "GGGCCCUUUAAAGC", "acgt tt", "ANNA", "x.[x.[", "UUUUUUUA", " AU "]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "s string")
+    got = {r.s: r for r in df.select("s", fn.nt_counts("s").alias("n"), fn.dinuc_counts("s").alias("d"), fn.dinuc_counts("s", circular=True).alias("c")).collect()}
+    pairs = lambda s: sorted(Counter(s[i : i + 2] for i in range(len(s) - 1)).items())
+    for t in texts:
+        s = t.strip(" ").upper().replace("T", "U")
+        assert [tuple(x) for x in got[t].n] == sorted(Counter(s).items())
+        assert [tuple(x) for x in got[t].d] == pairs(s)
+        assert [tuple(x) for x in got[t].c] == pairs(s + s[0] if len(s) > 1 else s)
+    assert got[None].n is None
+    plan = df.select(fn.dinuc_counts("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "replace(" in plan
