@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import models as ml
@@ -242,3 +243,10 @@ def test_shares_of_folds_by_brute_force(spark):
         best = [max([1.0 if q["prot"] == r["prot"] else sim.get((r["prot"], q["prot"]), 0) for q in all_ if q[s] != r[s]], default=0) for r in all_]
         assert abs(near[s]["p_similar_50"] - np.mean([b >= 0.5 for b in best])) < 1e-12
         assert abs(near[s]["p_similar_70"] - np.mean([b >= 0.7 for b in best])) < 1e-12
+
+
+def test_audit_refuses_null_labels(spark):
+    df = spark.createDataFrame([(f"k{i}", f"n{i % 3}", "ACGU" * (1 + i % 4), None if i == 5 else i % 2) for i in range(12)], "key string, name string, seq string, y int")
+    proteins = spark.createDataFrame([(f"n{i}", "ACDEFGHIK") for i in range(3)], "name string, protein_sequence string")
+    with pytest.raises(Exception, match="labels must not be null"):
+        ml.shortcut_audit(df, proteins, "key", "name", "seq", "y", folds=2)
